@@ -130,9 +130,10 @@ def interpolation_splits(runs: DataFrame) -> DataFrame:
 
     The smallest and largest scale-out of a suite are never tested.
     """
-    folds = scale_outs(runs).select("suite", _inner_nodes(F.col("points")).alias("folds"))
+    nodes = runs.groupBy("suite").agg(F.sort_array(F.collect_set("nodes")).alias("nodes"))
+    inner = F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 2, F.lit(0)))
+    folds = nodes.select("suite", inner.alias("folds"))
     per_fold = runs.join(folds, "suite").select(*runs.columns, F.explode("folds").alias("fold"))
-    per_fold = per_fold.withColumn("fold", F.col("fold").cast(runs.schema["nodes"].dataType))
     return per_fold.withColumn("role", F.when(F.col("nodes") == F.col("fold"), "test").otherwise("train"))
 
 

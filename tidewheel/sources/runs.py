@@ -19,16 +19,18 @@ def _run_of(path) -> list:
     ]
 
 
-def read_run_states(spark: SparkSession, suite_dir: str) -> tuple[DataFrame, DataFrame]:
+def read_run_states(
+    spark: SparkSession, suite_dir: str, state_file: str = "state.json"
+) -> tuple[DataFrame, DataFrame]:
     """``(nodes, run, runtime_ms)`` of the runs that ended well, and ``(nodes, run, exit_code)`` of the others.
 
-    Reads ``state.json`` below every ``<name>.topNNN.runNN`` folder of a suite.
+    Reads the state file in every ``<name>.topNNN.runNN`` folder of a suite.
     """
     states = (
         spark.read.schema("runExitCode int, runTime bigint")
         .option("multiLine", True)
         .option("mode", "FAILFAST")
-        .json(f"{suite_dir.rstrip('/')}/*.top*.run*/state.json")
+        .json(f"{suite_dir.rstrip('/')}/*.top*.run*/{state_file}")
         .select(*_run_of(F.col("_metadata.file_path")), "runExitCode", "runTime")
     )
     ended_well = F.col("runExitCode") == 0
@@ -37,16 +39,23 @@ def read_run_states(spark: SparkSession, suite_dir: str) -> tuple[DataFrame, Dat
     return runs, failed
 
 
-def read_host_metrics(spark: SparkSession, run_dir: str, master: str, logs: str = "logs/dstat/*") -> DataFrame:
+def read_host_metrics(
+    spark: SparkSession,
+    run_dir: str,
+    master: str,
+    logs: str = "logs/dstat/*/*.csv",
+    host_pattern: str = r"([^/.\-]+)(?:\.[^/]*)?\.csv$",
+) -> DataFrame:
     """``(nodes, run, host, seq, usr ... writ)``: one row per sample line of every host but the master.
 
-    ``run_dir`` is one run folder or a pattern over many. A file holds one line per
+    ``run_dir`` is one run folder or a pattern over many, and the first group of
+    ``host_pattern`` finds the host in the path of a file. A file holds one line per
     second of one run on one host, so it is read as a whole: its lines have to be
     counted from its start, and its columns are found by their names in its header.
     """
-    files = spark.read.option("wholetext", True).text(f"{run_dir.rstrip('/')}/{logs}/*.csv")
+    files = spark.read.text(f"{run_dir.rstrip('/')}/{logs}", wholetext=True)
     path = F.col("_metadata.file_path")
-    host = F.regexp_extract(path, r"([^/.\-]+)(?:\.[^/]*)?\.csv$", 1)
+    host = F.regexp_extract(path, host_pattern, 1)
     lines = F.split(F.replace("value", F.lit('"'), F.lit("")), r"\r?\n")
     per_file = (
         files.select(*_run_of(path), host.alias("host"), lines.alias("lines"))
