@@ -35,6 +35,16 @@ def out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("outdeg"))
 
 
+def vertex_degrees(edges: DataFrame) -> DataFrame:
+    """``(v, outdeg)`` of every vertex at either end, 0 without out-edges, in one scan."""
+    ends = F.array(
+        F.struct(F.col("src").alias("v"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("v"), F.lit(0).alias("out"))
+    )
+    return (
+        edges.select(F.explode(ends).alias("e")).groupBy("e.v").agg(F.sum("e.out").alias("outdeg"))
+    )
+
+
 def adjacency(edges: DataFrame, distinct: bool = False, max_neighbors: int = 1_000_000) -> DataFrame:
     """``(v, piece, neighbors)``: destinations per source, duplicates kept unless ``distinct``.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.operators.graph import out_degrees, vertices
+from tidewheel.operators.graph import out_degrees, vertex_degrees
 from tidewheel.plans.skew import out_edges
 from tidewheel.plans.state import LoopState
 
@@ -42,14 +42,17 @@ def pagerank(
         raise ValueError("bulk mode needs the number of pages n")
     loop = LoopState(edges.sparkSession, "pagerank")
     links = loop.save(edges.select("src", "dst").distinct(), "links") if mode == "contrib" else edges
-    degrees = loop.save(out_degrees(links), "degrees")
+    if mode == "static":
+        everyone = loop.save(vertex_degrees(links), "vertices")
+        degrees = everyone.filter(F.col("outdeg") > 0).select(F.col("v").alias("src"), "outdeg")
+    else:
+        degrees = loop.save(out_degrees(links), "degrees")
     layout = out_edges(links, degrees, hot_rows)
 
     base = 0.15 / n if mode == "bulk" else 0.15
     watch = mode == "bulk" and eps is not None
     if mode == "static":
-        everyone = loop.save(vertices(links), "vertices")
-        ranks = everyone.withColumn("rank", F.lit(float(init)))
+        ranks = everyone.select("v", F.lit(float(init)).alias("rank"))
     else:
         ranks = degrees.select(F.col("src").alias("v"), F.lit(float(init)).alias("rank"))
 

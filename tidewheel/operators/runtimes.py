@@ -24,12 +24,12 @@ from tidewheel.functions.kernel import (
     relative_deviation,
     scale_out_point,
 )
+from tidewheel.plans.state import materialize, new_folder
 
 BANDWIDTHS = tuple(range(1, 101))
 
 _REPEAT_BLOCK = 65_536
 _NUMBERING_BUCKETS = 4_096
-_RUNS_PER_CHUNK = 64
 
 
 # -- runs ------------------------------------------------------------------
@@ -143,13 +143,10 @@ def _fold_errors(runs: DataFrame, predictions: DataFrame, *model: str) -> DataFr
     ``variants`` is an array of structs ``(model..., predicted)``, so the runs are
     joined once, whatever the number of models, and reduced before any shuffle.
     """
-    tested = _counted(runs).withColumnRenamed("nodes", "fold").join(predictions, ["suite", "fold"])
-    rows = tested.select("suite", "fold", "minutes", "n", F.explode("variants").alias("variant"))
-    deviation = relative_deviation(F.col("variant.predicted"), F.col("minutes"))
-    return (
-        rows.select("suite", "fold", "n", *[f"variant.{name}" for name in model], deviation.alias("deviation"))
-        .groupBy("suite", "fold", *model)
-        .agg((F.sum(F.col("deviation") * F.col("n")) / F.sum("n")).alias("error"))
+    tested = runs.withColumnRenamed("nodes", "fold").join(predictions, ["suite", "fold"])
+    rows = tested.select("suite", "fold", "minutes", F.inline("variants"))
+    return rows.groupBy("suite", "fold", *model).agg(
+        F.avg(relative_deviation(F.col("predicted"), F.col("minutes"))).alias("error")
     )
 
 
@@ -255,23 +252,38 @@ def prediction_curve(
 # -- learning curves -------------------------------------------------------
 
 
-def _numbered(runs: DataFrame) -> DataFrame:
-    """``(suite, nodes, chunk, minutes, first, next)``: run numbers of each run time within its scale-out.
+def _draw_runs(runs: DataFrame, draws: DataFrame) -> DataFrame:
+    """Draws ``(suite, nodes, runs, number, ...)`` with the minutes of run ``number`` of ``runs`` at a scale-out.
 
-    Numbers are given out per bucket of run times and shifted by the sizes of the
-    buckets before, so no task has to order all runs of a scale-out.
+    Runs are numbered bucket after bucket, and only inside the buckets that a draw
+    falls into, so no task has to order all runs of a scale-out.
     """
+    at, first_key = ["suite", "nodes", "bucket"], ["suite", "nodes"]
     counted = _counted(runs).withColumn("bucket", F.pmod(F.xxhash64("minutes"), F.lit(_NUMBERING_BUCKETS)))
-    sizes = counted.groupBy("suite", "nodes", "bucket").agg(F.sum("n").alias("size"))
-    over = Window.partitionBy("suite", "nodes").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("suite", "nodes", "bucket", F.coalesce(F.sum("size").over(over), F.lit(0)).alias("start"))
-    within = Window.partitionBy("suite", "nodes", "bucket").orderBy("minutes").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = counted.join(starts, ["suite", "nodes", "bucket"]).select(
-        "suite", "nodes", "minutes", "n", (F.col("start") + F.sum("n").over(within)).alias("next")
+    earlier = Window.partitionBy(*first_key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counted.groupBy(*at).agg(F.sum("n").alias("held"))
+    starts = sizes.select(
+        *at,
+        "held",
+        F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("start"),
+        F.sum("held").over(Window.partitionBy(*first_key)).alias("runs"),
+    )
+    # Equal stretches of numbers turn the search for the bucket into a join on the stretch.
+    stretch = F.ceil(F.col("runs") / F.lit(_NUMBERING_BUCKETS))
+    spans = F.sequence(
+        F.floor(F.col("start") / stretch), F.floor((F.col("start") + F.col("held") - 1) / stretch)
     )
-    first = F.col("next") - F.col("n")
-    chunks = F.sequence(F.floor(first / F.lit(_RUNS_PER_CHUNK)), F.floor((F.col("next") - 1) / F.lit(_RUNS_PER_CHUNK)))
-    return numbered.select("suite", "nodes", F.explode(chunks).alias("chunk"), "minutes", first.alias("first"), "next")
+    buckets = starts.select(*at, "start", "held", F.explode(spans).alias("stretch"))
+    found = draws.withColumn("stretch", F.floor(F.col("number") / stretch)).join(buckets, [*first_key, "stretch"])
+    offset = F.col("number") - F.col("start")
+    found = found.filter((offset >= 0) & (offset < F.col("held"))).withColumn("offset", offset)
+
+    upto = Window.partitionBy(*at).orderBy("minutes").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = counted.join(found.select(*at), at, "left_semi").select(
+        *at, "minutes", "n", F.sum("n").over(upto).alias("next")
+    )
+    inside = (F.col("offset") < F.col("next")) & (F.col("offset") >= F.col("next") - F.col("n"))
+    return found.join(numbered, at).filter(inside).select(*draws.columns, "minutes").drop("runs", "number")
 
 
 def subsample_splits(runs: DataFrame, sizes: Sequence[int], n_iter: int, seed: int = 1) -> DataFrame:
@@ -306,7 +318,10 @@ def subsample_splits(runs: DataFrame, sizes: Sequence[int], n_iter: int, seed: i
 
     def pick(role: str, p: Column, stream: int) -> Column:
         return F.struct(
-            F.lit(role).alias("role"), p["x"].alias("nodes"), F.floor(draw(stream, p["x"]) * p["n"]).alias("number")
+            F.lit(role).alias("role"),
+            p["x"].alias("nodes"),
+            p["n"].cast("bigint").alias("runs"),
+            F.floor(draw(stream, p["x"]) * p["n"]).alias("number"),
         )
 
     picks = F.concat(F.transform("train", lambda t: pick("train", t, 2)), F.array(pick("test", F.col("test"), 3)))
@@ -316,15 +331,10 @@ def subsample_splits(runs: DataFrame, sizes: Sequence[int], n_iter: int, seed: i
         "iter",
         "p.role",
         F.col("p.nodes").cast(runs.schema["nodes"].dataType).alias("nodes"),
+        "p.runs",
         "p.number",
-        F.floor(F.col("p.number") / F.lit(_RUNS_PER_CHUNK)).alias("chunk"),
-    )
-    inside = (F.col("number") >= F.col("first")) & (F.col("number") < F.col("next"))
-    return (
-        drawn.join(_numbered(runs), ["suite", "nodes", "chunk"])
-        .filter(inside)
-        .select("suite", "size", "iter", "role", "nodes", "minutes")
     )
+    return _draw_runs(runs, drawn)
 
 
 def split_errors(splits: DataFrame, bandwidths: Sequence[float] = BANDWIDTHS) -> DataFrame:
@@ -396,8 +406,12 @@ def learning_curve(
     seed: int = 1,
     bandwidths: Sequence[float] = BANDWIDTHS,
 ) -> DataFrame:
-    """``(suite, size, model, error)``: mean error of each model over random splits of each size."""
-    errors = split_errors(subsample_splits(runs, sizes, n_iter, seed), bandwidths)
+    """``(suite, size, model, error)``: mean error of each model over random splits of each size.
+
+    The splits are drawn once and written, since the models read them more than once.
+    """
+    splits = materialize(subsample_splits(runs, sizes, n_iter, seed), new_folder(runs.sparkSession, "splits"))
+    errors = split_errors(splits, bandwidths)
     means = errors.groupBy("suite", "size").agg(*[F.avg(m).alias(m) for m in ("ernest", "kernel", "best")])
     return means.unpivot(["suite", "size"], ["ernest", "kernel", "best"], "model", "error")
 

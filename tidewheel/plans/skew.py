@@ -61,11 +61,13 @@ def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None)
         small = F.broadcast(hot_keys)
         hot = edges.join(small, "src").select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
         cold = edges.join(F.broadcast(hot_keys.select("src")), "src", "left_anti")
+    # Partitioned before the degrees join, so the edges are shuffled once.
     cold = (
-        cold.join(degrees, "src")
-        .select("src", "dst", "outdeg")
+        cold.select("src", "dst")
         .repartition(parts, "src")
+        .join(degrees, "src")
         .sortWithinPartitions("src")
+        .select("src", "dst", "outdeg")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     return OutEdges(cold, hot, hot_keys)

@@ -93,8 +93,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.lines_of(table(spark, sf_dir, "documents"), "text", "doc_id")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def price_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,14 +137,15 @@ def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runtimes.runtimes_minutes(raw_runs(spark, sf_dir))
+    """Trimmed runs, written once since the models below read them several times."""
+    return materialize(runtimes.runtimes_minutes(raw_runs(spark, sf_dir)), new_folder(spark, "runs"))
 
 
 # -- sources and sinks -----------------------------------------------------
 
 
 def lines(spark, sf_dir):
-    return document_lines(spark, sf_dir)
+    return files.lines_of(documents(spark, sf_dir), "text", "doc_id")
 
 
 def read_delimited_roundtrip(spark, sf_dir):
@@ -259,12 +260,12 @@ def run_metrics(spark, sf_dir):
 
 
 def word_count(spark, sf_dir):
-    return text_ops.word_count(files.lines_of(table(spark, sf_dir, "documents"), "text"))
+    return text_ops.word_count(files.lines_of(documents(spark, sf_dir), "text"))
 
 
 def grep(spark, sf_dir):
     # A keyword without a line break can only be in a line of a text that holds it.
-    texts = text_ops.grep(table(spark, sf_dir, "documents"), "text", KEYWORD)
+    texts = text_ops.grep(documents(spark, sf_dir), "text", KEYWORD)
     return text_ops.grep(files.lines_of(texts, "text", "doc_id"), "value", KEYWORD)
 
 
@@ -490,7 +491,8 @@ def trim_runs(spark, sf_dir):
 
 
 def runtimes_minutes(spark, sf_dir):
-    return runs(spark, sf_dir).select("suite", "nodes", F.round("minutes", 8).alias("minutes"))
+    minutes = runtimes.runtimes_minutes(raw_runs(spark, sf_dir))
+    return minutes.select("suite", "nodes", F.round("minutes", 8).alias("minutes"))
 
 
 def relative_error(spark, sf_dir):

@@ -19,6 +19,15 @@ def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None
     return lines
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """An input with fewer splits than there are task slots, spread by ``key``; any other as it is.
+
+    Meant for a plain scan before costly work per row.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
 def lines_of(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """``(keys..., value)``: the lines of a text column, as ``read_lines`` would give them."""
     return df.select(*keys, F.explode(split_lines(F.col(text))).alias("value"))
