@@ -1,0 +1,77 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import rows
+from tidewheel.functions.hashing import hash_int, hash_normal, hash_uniform
+from tidewheel.operators import datagen
+from tidewheel.operators.regression import linear_regression_bgd
+from tidewheel.sources.text import read_labeled_points
+
+N = 40000
+
+
+def test_uniform_and_normal_draws(spark):
+    pos = F.col("id")
+    u = spark.range(N).select(hash_uniform(1, pos).alias("u"), hash_uniform(1, pos, 1).alias("v"), hash_uniform(2, pos).alias("w"))
+    r = u.agg(F.min("u"), F.max("u"), F.avg("u"), F.var_pop("u"), F.corr("u", "v"), F.corr("u", "w")).first()
+    assert 0 <= r[0] and r[1] < 1
+    assert r[2] == pytest.approx(0.5, abs=0.01) and r[3] == pytest.approx(1 / 12, abs=0.005)
+    assert abs(r[4]) < 0.02 and abs(r[5]) < 0.02
+    faces = spark.range(N).select(hash_int(1, pos, 6).alias("f")).groupBy("f").count().collect()
+    assert sorted(f.f for f in faces) == list(range(6)) and all(abs(f["count"] - N / 6) < 400 for f in faces)
+    z = spark.range(N).select(hash_normal(1, pos).alias("z")).agg(F.avg("z"), F.stddev("z"), F.kurtosis("z")).first()
+    assert z[0] == pytest.approx(0, abs=0.02) and z[1] == pytest.approx(1, abs=0.02) and z[2] == pytest.approx(0, abs=0.15)
+
+
+def test_same_rows_for_any_partitioning(spark):
+    for gen in (
+        lambda ids: datagen.gen_linreg(ids, seed=3),
+        lambda ids: datagen.gen_kmeans_points(ids, 4, seed=3),
+        lambda ids: datagen.gen_polynomial_features(ids, 3, seed=3),
+    ):
+        assert rows(gen(spark.range(0, 500, 1, 1))) == rows(gen(spark.range(0, 500, 1, 7)))
+        assert rows(gen(spark.range(0, 500, 1, 1))) == rows(gen(spark.range(500).repartition(5)))
+
+
+def test_kmeans_points(spark):
+    points = datagen.gen_kmeans_points(spark.range(N), 3, stddev=0.02, seed=11, skew=[6, 3, 1])
+    means = datagen.kmeans_means(spark, 3, seed=11)
+    assert all(-50 <= c < 50 for mean in means for c in mean)
+    got = points.groupBy("mean_id").agg(F.count("*"), F.avg("x"), F.avg("y"), F.stddev("x"), F.corr("x", "y")).collect()
+    for i, n, x, y, sd, corr in got:
+        assert n / N == pytest.approx([0.6, 0.3, 0.1][i], abs=0.01)
+        assert (x, y) == pytest.approx(means[i], abs=0.12) and sd == pytest.approx(2.0, abs=0.06) and abs(corr) < 0.06
+    even = datagen.gen_kmeans_points(spark.range(N), 3, seed=11, skew=[1, 2])
+    assert all(abs(r["count"] - N / 3) < 500 for r in even.groupBy("mean_id").count().collect())
+    centers = datagen.gen_kmeans_centers(spark, 3, seed=11)
+    assert centers.count() == 3 and [(r.x, r.y) for r in centers.collect()] != [(round(x, 2), round(y, 2)) for x, y in means]
+
+
+def test_linreg_slope(spark):
+    data = datagen.gen_linreg(spark.range(N), seed=5)
+    slope, intercept = data.agg(F.regr_slope("y", "x"), F.regr_intercept("y", "x")).first()
+    assert slope == pytest.approx(2, abs=1e-3) and intercept == pytest.approx(0, abs=1e-3)
+    fit = linear_regression_bgd(data, 2000).first()
+    assert fit.theta1 == pytest.approx(2, abs=1e-2)
+    assert data.filter(F.round("x", 2) != F.col("x")).count() == 0
+
+
+def test_polynomial_features(spark, tmp_path):
+    points = datagen.gen_polynomial_features(spark.range(N), 5, seed=8)
+    row = points.first()
+    x = row.features[1]
+    assert row.features == pytest.approx([x ** k for k in range(5)])
+    slope, intercept, noise = points.agg(
+        F.regr_slope("label", F.element_at("features", 2)),
+        F.regr_intercept("label", F.element_at("features", 2)),
+        F.stddev(F.col("label") - 2 * F.element_at("features", 2) - 10),
+    ).first()
+    assert slope == pytest.approx(2, abs=0.1) and intercept == pytest.approx(10, abs=0.05) and noise == pytest.approx(1, abs=0.02)
+    small = datagen.gen_polynomial_features(spark.range(50), 4, seed=8)
+    for layout in ("label_first", "label_last"):
+        path = str(tmp_path / layout)
+        datagen.polynomial_lines(small, layout).write.text(path)
+        assert rows(read_labeled_points(spark, path, layout)) == rows(small)
+    assert math.isfinite(x)

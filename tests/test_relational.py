@@ -1,0 +1,89 @@
+import datetime
+
+from tests.conftest import rows
+from tidewheel.operators.relational import returned_items, shipping_priority, suite_runtimes
+
+
+def tables(spark, dates_as="string"):
+    def day(text):
+        return text if dates_as == "string" else datetime.date.fromisoformat(text)
+
+    customer = spark.createDataFrame(
+        [(1, "c1", 0, 10.0, "AUTOMOBILE"), (2, "c2", 1, 20.0, "BUILDING"), (3, "c3", 1, 30.0, "AUTOMOBILE")],
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    )
+    orders = spark.createDataFrame(
+        [
+            (10, 1, day("1995-03-11"), 0),
+            (11, 1, day("1995-03-12"), 0),
+            (12, 2, day("1995-01-01"), 0),
+            (13, 3, day("1990-12-31"), 5),
+            (14, 3, day("1991-01-01"), 5),
+        ],
+        f"o_orderkey bigint, o_custkey bigint, o_orderdate {dates_as}, o_shippriority bigint",
+    )
+    lineitem = spark.createDataFrame(
+        [
+            (10, 100.0, 0.1, "R", day("1995-03-13")),
+            (10, 50.0, 0.0, "N", day("1995-03-12")),
+            (10, 10.0, 0.5, "R", day("1996-01-01")),
+            (11, 70.0, 0.0, "R", day("1996-01-01")),
+            (12, 80.0, 0.0, "A", day("1996-01-01")),
+            (13, 30.0, 0.0, "R", day("1995-03-13")),
+            (14, 40.0, 0.5, "R", day("1992-01-01")),
+        ],
+        f"l_orderkey bigint, l_extendedprice double, l_discount double, l_returnflag string, l_shipdate {dates_as}",
+    )
+    nation = spark.createDataFrame([(0, "N0"), (1, "N1")], "n_nationkey int, n_name string")
+    return customer, orders, lineitem, nation
+
+
+def test_shipping_priority_excludes_the_day_itself(spark, partitions):
+    customer, orders, lineitem, _ = tables(spark)
+    got = rows(shipping_priority(customer, orders, lineitem))
+    assert got == [(10, "1995-03-11", 0, 95.0), (13, "1990-12-31", 5, 30.0)]
+
+
+def test_shipping_priority_on_date_columns_and_other_parameters(spark):
+    customer, orders, lineitem, _ = tables(spark, "date")
+    got = rows(shipping_priority(customer, orders, lineitem, segment="BUILDING", date="1995-06-01"))
+    assert got == [(12, datetime.date(1995, 1, 1), 0, 80.0)]
+
+
+def test_a_repeated_customer_repeats_its_orders(spark):
+    customer, orders, lineitem, _ = tables(spark)
+    twice = customer.unionAll(customer.filter("c_custkey = 1"))
+    assert rows(shipping_priority(twice, orders, lineitem))[0] == (10, "1995-03-11", 0, 190.0)
+
+
+def test_returned_items(spark, partitions):
+    customer, orders, lineitem, nation = tables(spark)
+    got = rows(returned_items(customer, orders, lineitem, nation))
+    assert got == [(1, "c1", "N0", 10.0, 165.0), (3, "c3", "N1", 30.0, 20.0)]
+    with_address = customer.selectExpr("*", "'street' as c_address")
+    assert returned_items(with_address, orders, lineitem, nation).columns[2] == "c_address"
+
+
+def test_returned_items_year_is_a_pushed_filter(spark, tmp_path):
+    _, orders, _, _ = tables(spark, "date")
+    customer, _, lineitem, nation = tables(spark, "date")
+    orders.write.parquet(str(tmp_path / "o"))
+    stored = spark.read.parquet(str(tmp_path / "o"))
+    plan = returned_items(customer, stored, lineitem, nation, 1993)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate,1994-01-01)" in plan
+
+
+def test_a_hot_order_is_one_row_when_joined(spark, no_broadcast):
+    customer, orders, lineitem, nation = tables(spark)
+    many = lineitem.filter("l_orderkey = 10").join(spark.range(1000)).drop("id").unionAll(lineitem)
+    got = {r.c_custkey: round(r.revenue, 6) for r in returned_items(customer, orders, many, nation).collect()}
+    assert got == {1: 95.0 * 1001 + 70.0, 3: 20.0}
+
+
+def test_suite_runtimes(spark):
+    experiment = spark.createDataFrame([(1, "s", "b"), (2, "s", "a"), (3, "t", "c"), (4, "s", "b")], "id int, suite string, name string")
+    run = spark.createDataFrame(
+        [(1, 5), (1, 9), (1, 7), (2, 4), (3, 1), (4, 100)], "experiment_id int, time int"
+    )
+    got = [tuple(r) for r in suite_runtimes(experiment, run, "s").collect()]
+    assert got == [("s", "a", 4, 4, -4), ("s", "b", 5, 100, 16)]
