@@ -8,6 +8,7 @@ than the number of different scale-outs however many runs there were.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,51 +27,60 @@ def scale_out_point(x: Column, n: Column, total: Column) -> Column:
 _SUMS = ("m0", "m1", "m2", "t0", "t1")
 
 
-def kernel_terms(x: Column, n: Column, total: Column, at: Column, bandwidth: Column) -> dict[str, Column]:
+def nearest_x(points: Column, at: Column) -> Column:
+    """The training scale-out nearest to ``at``."""
+    return F.array_min(F.transform(points, lambda p: F.struct(F.abs(p["x"] - at).alias("d"), p["x"].alias("x"))))["x"]
+
+
+def kernel_terms(x: Column, n: Column, total: Column, at: Column, bandwidth: Column, center: Column) -> dict[str, Column]:
     """What a training point adds to the five sums behind a local regression at ``at``.
 
-    The sums are taken around ``at``. That changes nothing in the ridge solution, but
-    keeps its precision when one scale-out carries nearly all the weight.
+    Sums around any ``center`` lead to the same solution. Around the scale-out nearest
+    to ``at``, which has the largest weight, they lose no digits to cancellation.
     """
-    d = x - at
-    w = F.exp(-(d * d) / (F.lit(2.0) * bandwidth * bandwidth))
-    return dict(zip(_SUMS, (w * n, w * n * d, w * n * d * d, w * total, w * total * d)))
+    w = F.exp(-((x - at) * (x - at)) / (F.lit(2.0) * bandwidth * bandwidth))
+    u = x - center
+    return dict(zip(_SUMS, (w * n, w * n * u, w * n * u * u, w * total, w * total * u)))
 
 
-def ridge_line(sums: Callable[[str], Column], at: Column, degree: int = 1) -> Column:
+def ridge_line(sums: Callable[[str], Column], at: Column, center: Column, degree: int = 1) -> Column:
     """Value at ``at`` of the line (or, with degree 0, level) that solves the weighted, ridged system."""
     m0, m1, m2, t0, t1 = map(sums, _SUMS)
     if degree == 0:
         return t0 / (m0 + EPSILON)
     if degree != 1:
         raise ValueError("degree is 0 or 1")
-    sq = F.lit(1.0) + at * at
-    top = t0 * m2 - t1 * m1 + F.lit(EPSILON) * (t0 * sq + at * t1)
-    bottom = m0 * m2 - m1 * m1 + F.lit(EPSILON) * (m0 * sq + F.lit(2.0) * at * m1 + m2) + F.lit(EPSILON * EPSILON)
-    return top / bottom
+    ridge = F.lit(EPSILON)
+    top = m2 * t0 - m1 * t1 + (at - center) * (m0 * t1 - m1 * t0) + ridge * (t0 + at * (t1 + center * t0))
+    trace = m0 + m2 + F.lit(2.0) * center * m1 + center * center * m0
+    return top / (m0 * m2 - m1 * m1 + ridge * trace + ridge * ridge)
 
 
 def local_regression(points: Column, at: Column, bandwidth: Column, degree: int = 1) -> Column:
     """Local regression with Gaussian weights at ``at`` over an array of training points."""
+    center = nearest_x(points, at)
 
     def add(sums: Column, p: Column) -> Column:
-        terms = kernel_terms(p["x"], p["n"], p["total"], at, bandwidth)
-        return F.struct(*[(sums[name] + term).alias(name) for name, term in terms.items()])
+        terms = kernel_terms(p["x"], p["n"], p["total"], at, bandwidth, sums["c"])
+        return F.struct(sums["c"].alias("c"), *[(sums[name] + term).alias(name) for name, term in terms.items()])
 
-    zero = F.struct(*[F.lit(0.0).alias(name) for name in _SUMS])
-    return F.aggregate(points, zero, add, lambda sums: ridge_line(lambda name: sums[name], at, degree))
+    start = F.struct(center.alias("c"), *[F.lit(0.0).alias(name) for name in _SUMS])
+    return F.aggregate(points, start, add, lambda sums: ridge_line(lambda name: sums[name], at, sums["c"], degree))
 
 
 def regress_each(rows: DataFrame, keys: Sequence[str], bandwidths: Sequence[float]) -> DataFrame:
-    """``(keys..., bw, predicted)`` for training rows ``(keys..., at, x, n, total)``.
+    """``(keys..., bw, predicted)`` for rows ``(keys..., points)`` at the scale-out ``at``, one of the keys.
 
-    ``at`` is one of the keys. The five sums are plain grouped sums.
+    The five sums are plain grouped sums over the exploded points and bandwidths.
     """
-    each = rows.select("*", F.explode(number_array(bandwidths)).alias("bw"))
-    at, bw = F.col("at"), F.col("bw")
-    terms = kernel_terms(F.col("x"), F.col("n"), F.col("total"), at, bw)
-    sums = each.groupBy(*keys, "bw").agg(*[F.sum(term).alias(name) for name, term in terms.items()])
-    return sums.select(*keys, "bw", ridge_line(F.col, at).alias("predicted"))
+    centered = rows.select(*keys, nearest_x(F.col("points"), F.col("at")).alias("center"), "points")
+    each = centered.select(*keys, "center", F.inline("points")).select(
+        "*", F.explode(number_array(bandwidths)).alias("bw")
+    )
+    at, bw, center = F.col("at"), F.col("bw"), F.col("center")
+    terms = kernel_terms(F.col("x"), F.col("n"), F.col("total"), at, bw, center)
+    sums = each.groupBy(*keys, "center", "bw").agg(*[F.sum(term).alias(name) for name, term in terms.items()])
+    return sums.select(*keys, "bw", ridge_line(F.col, at, center).alias("predicted"))
 
 
 def ernest_features(x: Column) -> list[Column]:
@@ -99,11 +109,16 @@ def ernest_sums(points: Column) -> Column:
     return F.aggregate(points, F.array(*[F.lit(0.0)] * 14), add)
 
 
+# A larger set of columns has to explain more than rounding errors.
+_LEAST_GAIN = 1e-13
+
+
 def nonnegative_fit(gram: np.ndarray, moment: np.ndarray) -> np.ndarray:
     """Least squares with coefficients >= 0 for a stack of small problems, given their products.
 
     The optimum is the unconstrained optimum on some subset of columns, and there are
-    few columns, so every subset is solved and the best feasible one kept.
+    few columns, so every subset is solved and the best feasible one kept. Small sets
+    come first and need no more columns than the data can tell apart.
     """
     size = moment.shape[1]
     scale = np.sqrt(np.maximum(np.einsum("bii->bi", gram), 1e-300))
@@ -111,15 +126,15 @@ def nonnegative_fit(gram: np.ndarray, moment: np.ndarray) -> np.ndarray:
     moment = moment / scale
     best = np.zeros_like(moment)
     best_value = np.zeros(len(moment))
-    for members in range(1, 2 ** size):
-        cols = [k for k in range(size) if members >> k & 1]
+    subsets = [list(cols) for count in range(1, size + 1) for cols in combinations(range(size), count)]
+    for cols in subsets:
         sub = gram[:, cols][:, :, cols]
         solvable = np.flatnonzero(np.linalg.eigvalsh(sub)[:, 0] > 1e-11)
         if not len(solvable):
             continue
         found = np.linalg.solve(sub[solvable], moment[solvable][:, cols][:, :, None])[:, :, 0]
         value = -(found * moment[solvable][:, cols]).sum(axis=1)
-        better = (found >= 0).all(axis=1) & (value < best_value[solvable])
+        better = (found >= 0).all(axis=1) & (value < best_value[solvable] * (1 + _LEAST_GAIN))
         rows = solvable[better]
         best[rows] = 0.0
         best[rows[:, None], cols] = found[better]

@@ -163,8 +163,7 @@ def _per_fold(runs: DataFrame) -> DataFrame:
 
 def cv_score_kernel(runs: DataFrame, bandwidths: Sequence[float] = BANDWIDTHS) -> DataFrame:
     """``(suite, fold, bw, error)`` of local regression for every fold and bandwidth."""
-    rows = _per_fold(runs).select("suite", "fold", "at", F.inline("points"))
-    each = regress_each(rows, ("suite", "fold", "at"), bandwidths)
+    each = regress_each(_per_fold(runs), ("suite", "fold", "at"), bandwidths)
     variants = each.groupBy("suite", "fold").agg(F.collect_list(F.struct("bw", "predicted")).alias("variants"))
     return _fold_errors(runs, variants, "bw")
 
@@ -361,10 +360,9 @@ def split_errors(splits: DataFrame, bandwidths: Sequence[float] = BANDWIDTHS) ->
     inner = F.slice("points", F.lit(2), F.size("points") - 2)
 
     folds = problems.select(*key, "points", F.inline(inner)).select(
-        *key, "points", F.col("x").alias("at"), F.col("total").alias("tested")
+        *key, F.col("x").alias("at"), F.col("total").alias("tested"), _without(points, F.col("x")).alias("points")
     )
-    rows = folds.select(*key, "at", "tested", F.inline(_without(points, F.col("at"))))
-    each = regress_each(rows, (*key, "at", "tested"), bandwidths)
+    each = regress_each(folds, (*key, "at", "tested"), bandwidths)
     chosen = (
         each.groupBy(*key, "bw")
         .agg(F.avg(relative_deviation(F.col("predicted"), F.col("tested"))).alias("score"))

@@ -321,11 +321,11 @@ def _kernel(source: str, keys: str, at: str, h: str) -> str:
     """Local regression per key over rows with nodes, n and total."""
     w = f"exp(-(nodes - {at}) * (nodes - {at}) / (2.0::double * {h} * {h}))"
     e = repr(EPSILON)
-    s = f"""select {keys}, any_value({at}) as x0, sum({w} * n) as m0, sum({w} * n * (nodes - {at})) as m1,
-      sum({w} * n * (nodes - {at}) * (nodes - {at})) as m2, sum({w} * total) as t0,
-      sum({w} * total * (nodes - {at})) as t1 from {source} group by {keys}"""
-    top = f"t0 * m2 - t1 * m1 + {e}::double * (t0 * (1 + x0 * x0) + x0 * t1)"
-    bottom = f"m0 * m2 - m1 * m1 + {e}::double * (m0 * (1 + x0 * x0) + 2 * x0 * m1 + m2) + {e}::double * {e}::double"
+    s = f"""select {keys}, any_value({at}) as x0, any_value(c) as c, sum({w} * n) as m0, sum({w} * n * (nodes - c)) as m1,
+      sum({w} * n * (nodes - c) * (nodes - c)) as m2, sum({w} * total) as t0, sum({w} * total * (nodes - c)) as t1
+      from (select *, arg_min(nodes, abs(nodes - {at})) over (partition by {keys})::double as c from {source}) group by {keys}"""
+    top = f"m2 * t0 - m1 * t1 + (x0 - c) * (m0 * t1 - m1 * t0) + {e}::double * (t0 + x0 * (t1 + c * t0))"
+    bottom = f"m0 * m2 - m1 * m1 + {e}::double * (m0 + m2 + 2 * c * m1 + c * c * m0) + {e}::double * {e}::double"
     return f"select {keys}, ({top}) / ({bottom}) as predicted from ({s})"
 
 
