@@ -155,6 +155,12 @@ def test_kernel_prediction_options(spark, runs):
     for _, at, h, p in rows(runtimes.predict_kernel(runs, query, "bw", degree=0)):
         w = np.exp(-((x - at) ** 2) / (2 * h * h))
         assert p == pytest.approx((w @ y) / w.sum(), rel=1e-9)
+    for degree in (2, 3):
+        for _, at, h, p in rows(runtimes.predict_kernel(runs, query, "bw", degree=degree)):
+            m = np.vander(x, degree + 1, increasing=True)
+            weighted = m.T * np.exp(-((x - at) ** 2) / (2 * h * h))
+            c = np.linalg.solve(weighted @ m + EPS * np.eye(degree + 1), weighted @ y)
+            assert p == pytest.approx(float(c @ float(at) ** np.arange(degree + 1)), rel=1e-4)
 
 
 def test_interpolation_splits(raw):

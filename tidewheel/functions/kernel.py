@@ -48,8 +48,6 @@ def ridge_line(sums: Callable[[str], Column], at: Column, center: Column, degree
     m0, m1, m2, t0, t1 = map(sums, _SUMS)
     if degree == 0:
         return t0 / (m0 + EPSILON)
-    if degree != 1:
-        raise ValueError("degree is 0 or 1")
     ridge = F.lit(EPSILON)
     top = m2 * t0 - m1 * t1 + (at - center) * (m0 * t1 - m1 * t0) + ridge * (t0 + at * (t1 + center * t0))
     trace = m0 + m2 + F.lit(2.0) * center * m1 + center * center * m0
@@ -58,6 +56,8 @@ def ridge_line(sums: Callable[[str], Column], at: Column, center: Column, degree
 
 def local_regression(points: Column, at: Column, bandwidth: Column, degree: int = 1) -> Column:
     """Local regression with Gaussian weights at ``at`` over an array of training points."""
+    if degree > 1:
+        return _solve_curve(_curve_sums(points, at, bandwidth, degree), at)
     center = nearest_x(points, at)
 
     def add(sums: Column, p: Column) -> Column:
@@ -68,6 +68,31 @@ def local_regression(points: Column, at: Column, bandwidth: Column, degree: int
     return F.aggregate(points, start, add, lambda sums: ridge_line(lambda name: sums[name], at, sums["c"], degree))
 
 
+def _curve_sums(points: Column, at: Column, bandwidth: Column, degree: int) -> Column:
+    """Weighted sums of x^0 to x^(2 degree), then of run time times x^0 to x^degree."""
+
+    def add(sums: Column, p: Column) -> Column:
+        w = F.exp(-((p["x"] - at) * (p["x"] - at)) / (F.lit(2.0) * bandwidth * bandwidth))
+        terms = [w * p["n"] * F.pow(p["x"], F.lit(k)) for k in range(2 * degree + 1)]
+        terms += [w * p["total"] * F.pow(p["x"], F.lit(k)) for k in range(degree + 1)]
+        return F.zip_with(sums, F.array(*terms), lambda a, b: a + b)
+
+    return F.aggregate(points, F.array(*[F.lit(0.0)] * (3 * degree + 2)), add)
+
+
+@F.pandas_udf(T.DoubleType())
+def _solve_curve(sums: pd.Series, at: pd.Series) -> pd.Series:
+    """Values at ``at`` of polynomials that solve the weighted, ridged systems given by their sums."""
+    if not len(sums):
+        return pd.Series([], dtype="float64")
+    table = np.stack(sums.to_numpy())
+    size = (table.shape[1] + 1) // 3
+    power = np.arange(size)
+    system = table[:, power[:, None] + power[None, :]] + EPSILON * np.eye(size)
+    solved = np.linalg.solve(system, table[:, 2 * size - 1:, None])[:, :, 0]
+    return pd.Series((solved * at.to_numpy()[:, None] ** power).sum(axis=1))
+
+
 def regress_each(rows: DataFrame, keys: Sequence[str], bandwidths: Sequence[float]) -> DataFrame:
     """``(keys..., bw, predicted)`` for rows ``(keys..., points)`` at the scale-out ``at``, one of the keys.
 

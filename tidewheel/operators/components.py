@@ -56,6 +56,7 @@ def connected_components(
         if labels.filter("changed").isEmpty():
             break
     layout.release()
+    loop.finish()
     result = labels.select("v", "component")
     if not stats:
         return result

@@ -89,8 +89,7 @@ def pagerank(
         if watch and ranks.filter("moved").isEmpty():
             break
     layout.release()
-    if mode == "contrib":
-        loop.discard("links")
+    loop.finish()
     result = ranks.select("v", "rank")
     if mode == "static" and normalize:
         size, total = result.agg(F.count("*"), F.sum("rank")).first()
@@ -154,6 +153,7 @@ def pagerank_delta(
         if ranks.filter(F.col("delta").isNotNull()).isEmpty():
             break
     layout.release()
+    loop.finish()
     result = ranks.select("v", "rank")
     return (result, counts) if stats else result
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Widest point for which the products are aggregated column by column.
-MAX_PRODUCT_COLUMNS = 12
+MAX_PRODUCT_COLUMNS = 8
 # Widest point for which the matrix of products is formed at all.
 MAX_PRODUCT_WIDTH = 128
 

@@ -56,9 +56,12 @@ class LoopState:
         self.keep = path is not None
         self.path = path or new_folder(spark, label)
         self._versions: dict[str, list[str]] = {}
+        self._saved: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, f"{self.path}/{name}")
+        """Write a table that the whole loop reads."""
+        self._saved.append(f"{self.path}/{name}")
+        return materialize(df, self._saved[-1])
 
     def advance(self, df: DataFrame, name: str, step: int) -> DataFrame:
         folder = f"{self.path}/{name}"
@@ -70,6 +73,8 @@ class LoopState:
                 _remove(self.spark, versions.pop(0))
         return out
 
-    def discard(self, name: str) -> None:
-        """Drop a saved table that nothing reads any more."""
-        _remove(self.spark, f"{self.path}/{name}")
+    def finish(self) -> None:
+        """Drop what the loop saved, unless the result still reads it because no step ran."""
+        if self._versions and not self.keep:
+            for path in self._saved:
+                _remove(self.spark, path)
