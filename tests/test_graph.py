@@ -179,7 +179,23 @@ def test_components_around_a_vertex_with_a_third_of_all_edges(spark):
     assert dict(rows(labels)) == union_find(star)
 
 
-def test_edges_are_not_shuffled_again_in_a_step(spark, no_broadcast):
+@pytest.fixture
+def laid_out(monkeypatch):
+    """Lay out even a few edges."""
+    from tidewheel.plans import skew
+
+    monkeypatch.setattr(skew, "SMALL_EDGES", 0)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_laid_out_edges_give_the_same_answers(spark, laid_out, no_broadcast, partitions, hot_rows):
+    for mode in ("contrib", "bulk", "static"):
+        got = dict(rows(pagerank(frame(spark, EDGES), 3, mode=mode, n=6, hot_rows=hot_rows)))
+        assert got == pytest.approx(walk(EDGES, mode, 3, 6))
+    assert dict(rows(connected_components(frame(spark, EDGES), hot_rows=hot_rows))) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 1}
+
+
+def test_edges_are_not_shuffled_again_in_a_step(spark, no_broadcast, laid_out):
     from tidewheel.plans.skew import out_edges
 
     edges = frame(spark, EDGES)
@@ -192,3 +208,18 @@ def test_edges_are_not_shuffled_again_in_a_step(spark, no_broadcast):
     tail = plan[plan.index("SortMergeJoin"):]
     assert tail.index("TableCacheQueryStage") > 0 and tail.count("Sort [") == 1
     layout.release()
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_both_ways_to_join_a_few_rows(spark, monkeypatch, limit, partitions):
+    from tidewheel.plans import skew
+
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
+    large = spark.range(3000).selectExpr("if(id % 3 = 0, 1, id % 7) as k", "id")
+    few = spark.createDataFrame([(k, 10 * k) for k in range(5)], "k bigint, t int")
+    want = large.join(few, "k")
+    assert rows(skew.join_few(large, few, ["k"], ["id"])) == rows(want)
+    left = skew.join_few(large, few, ["k"], ["id"], "left")
+    assert left.count() == 3000 and left.filter("t is null").count() == large.filter("k > 4").count()
+    hot = graph.adjacency(frame(spark, [(0, k) for k in range(500)] + [(1, 2)]), max_neighbors=50)
+    assert hot.filter("v = 0").count() > 5 and hot.agg(F.sum(F.size("neighbors"))).first()[0] == 501

@@ -20,13 +20,18 @@ MAX_CENTERS = 10_000
 _UNROLLED_CENTERS = 64
 
 
+def collect_few(df: DataFrame, what: str) -> list:
+    """The rows of a table that is part of a model; more than ``MAX_CENTERS`` is an error."""
+    found = df.limit(MAX_CENTERS + 1).collect()
+    if len(found) > MAX_CENTERS:
+        raise ValueError(f"more than {MAX_CENTERS} {what}")
+    return found
+
+
 def center_rows(centers: DataFrame | Iterable[Sequence[float]]) -> list[tuple[int, float, float]]:
     """Centres ``(id, x, y)`` as a list ordered by id. They are the model, so their number is checked."""
     if isinstance(centers, DataFrame):
-        found = centers.select("id", "x", "y").limit(MAX_CENTERS + 1).collect()
-        if len(found) > MAX_CENTERS:
-            raise ValueError(f"more than {MAX_CENTERS} centres")
-        centers = found
+        centers = collect_few(centers.select("id", "x", "y"), "centres")
     return sorted((int(i), float(x), float(y)) for i, x, y in centers)
 
 

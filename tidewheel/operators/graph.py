@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.plans.skew import join_few
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Every edge in both directions, duplicates kept, in one scan."""
@@ -52,13 +54,13 @@ def adjacency(edges: DataFrame, distinct: bool = False, max_neighbors: int = 1_0
     numbered by ``piece``, so no single row or task has to hold all of them.
     """
     counted = edges.groupBy("src", "dst").agg(F.lit(1).alias("n") if distinct else F.count("*").alias("n"))
-    degrees = counted.groupBy("src").agg(F.sum("n").alias("n"))
-    large = degrees.filter(F.col("n") > max_neighbors).select(
-        "src", F.ceil(F.col("n") / F.lit(max_neighbors)).alias("pieces")
+    degrees = out_degrees(edges.distinct() if distinct else edges)
+    large = degrees.filter(F.col("outdeg") > max_neighbors).select(
+        "src", F.ceil(F.col("outdeg") / F.lit(max_neighbors)).alias("pieces")
     )
     # Copies of one edge are cut into runs too, since they may be the bulk of a vertex.
     run = F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / F.lit(max_neighbors)))).alias("run")
-    runs = counted.join(large, "src", "left").select("src", "dst", "n", "pieces", run)
+    runs = join_few(counted, large, ["src"], ["dst"], "left").select("src", "dst", "n", "pieces", run)
     copies = F.least(F.lit(max_neighbors), F.col("n") - (F.col("run") - 1) * max_neighbors).cast("int")
     piece = F.coalesce(F.pmod(F.xxhash64("dst", "run"), F.col("pieces")), F.lit(0)).cast("int")
     return (

@@ -24,6 +24,7 @@ from tidewheel.functions.kernel import (
     relative_deviation,
     scale_out_point,
 )
+from tidewheel.plans.skew import join_few
 from tidewheel.plans.state import materialize, new_folder
 
 BANDWIDTHS = tuple(range(1, 101))
@@ -48,16 +49,14 @@ def _repeat(df: DataFrame, times: str) -> DataFrame:
 def trim_runs(runs: DataFrame) -> DataFrame:
     """Runs without one fastest and one slowest per suite and scale-out.
 
-    Equal runs are counted, and the counts of the extremes lowered by one, so that
-    no task has to sort all runs of a scale-out.
+    Each run counts as one and each extreme as one less; what is left is repeated as
+    often as its count says. Nothing is sorted, and no task sees all runs of a scale-out.
     """
-    counted = runs.groupBy("suite", "nodes", "runtime_ms").agg(F.count("*").alias("n"))
-    ends = counted.groupBy("suite", "nodes").agg(F.min("runtime_ms").alias("low"), F.max("runtime_ms").alias("high"))
-    dropped = (F.col("runtime_ms") == F.col("low")).cast("int") + (F.col("runtime_ms") == F.col("high")).cast("int")
-    kept = counted.join(ends, ["suite", "nodes"]).select(
-        "suite", "nodes", "runtime_ms", (F.col("n") - dropped).alias("n")
-    )
-    return _repeat(kept.filter(F.col("n") > 0), "n")
+    one = runs.select("suite", "nodes", "runtime_ms", F.lit(1).alias("n"))
+    ends = runs.groupBy("suite", "nodes").agg(F.array(F.min("runtime_ms"), F.max("runtime_ms")).alias("ends"))
+    less = ends.select("suite", "nodes", F.explode("ends").alias("runtime_ms"), F.lit(-1).alias("n"))
+    counted = one.unionAll(less).groupBy("suite", "nodes", "runtime_ms").agg(F.sum("n").alias("n"))
+    return _repeat(counted.filter(F.col("n") > 0), "n")
 
 
 def runtimes_minutes(runs: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def fit_ernest(runs: DataFrame, *keys: str) -> DataFrame:
 
 def predict_ernest(models: DataFrame, query: DataFrame, x: str = "x") -> DataFrame:
     """Query rows ``(suite, x)`` with ``predicted`` minutes."""
-    return query.join(models, "suite").select(
+    return join_few(query, models, ["suite"], [x]).select(
         *query.columns, ernest_value(F.col("coefficients"), F.col(x)).alias("predicted")
     )
 
@@ -119,7 +118,8 @@ def predict_kernel(
     """
     h = F.col(bandwidth) if isinstance(bandwidth, str) else F.lit(float(bandwidth))
     value = local_regression(F.col("points"), F.col(x).cast("double"), h.cast("double"), degree)
-    return query.join(scale_outs(runs), "suite").select(*query.columns, value.alias("predicted"))
+    known = join_few(query, scale_outs(runs), ["suite"], [x])
+    return known.select(*query.columns, value.alias("predicted"))
 
 
 # -- cross-validation ------------------------------------------------------
@@ -133,7 +133,7 @@ def interpolation_splits(runs: DataFrame) -> DataFrame:
     nodes = runs.groupBy("suite").agg(F.sort_array(F.collect_set("nodes")).alias("nodes"))
     inner = F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 2, F.lit(0)))
     folds = nodes.select("suite", inner.alias("folds"))
-    per_fold = runs.join(folds, "suite").select(*runs.columns, F.explode("folds").alias("fold"))
+    per_fold = join_few(runs, folds, ["suite"], runs.columns).select(*runs.columns, F.explode("folds").alias("fold"))
     return per_fold.withColumn("role", F.when(F.col("nodes") == F.col("fold"), "test").otherwise("train"))
 
 
@@ -143,7 +143,7 @@ def _fold_errors(runs: DataFrame, predictions: DataFrame, *model: str) -> DataFr
     ``variants`` is an array of structs ``(model..., predicted)``, so the runs are
     joined once, whatever the number of models, and reduced before any shuffle.
     """
-    tested = runs.withColumnRenamed("nodes", "fold").join(predictions, ["suite", "fold"])
+    tested = join_few(runs.withColumnRenamed("nodes", "fold"), predictions, ["suite", "fold"], ["minutes"])
     rows = tested.select("suite", "fold", "minutes", F.inline("variants"))
     return rows.groupBy("suite", "fold", *model).agg(
         F.avg(relative_deviation(F.col("predicted"), F.col("minutes"))).alias("error")
@@ -225,7 +225,7 @@ def predict_best(runs: DataFrame, models: DataFrame, query: DataFrame, x: str =
         local_regression(points, at, F.coalesce("bw", F.lit(1.0)))
     )
     known = scale_outs(runs).join(models, "suite")
-    return query.join(known, "suite").select(*query.columns, value.alias("predicted"))
+    return join_few(query, known, ["suite"], [x]).select(*query.columns, value.alias("predicted"))
 
 
 def prediction_curve(
@@ -343,12 +343,12 @@ def split_errors(splits: DataFrame, bandwidths: Sequence[float] = BANDWIDTHS) ->
     and the choice between the two models group by that key and shuffle no further.
     """
     key = ["suite", "size", "iter"]
-    spark = splits.sparkSession
+    slots = splits.sparkSession.sparkContext.defaultParallelism
     trains, tests = F.col("role") == "train", F.col("role") == "test"
     point = scale_out_point(F.col("nodes"), F.lit(1), F.col("minutes"))
     # A fixed number of partitions, since the rows are few but costly.
     problems = (
-        splits.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+        splits.repartition(slots, *key)
         .groupBy(*key)
         .agg(
             F.sort_array(F.collect_list(F.when(trains, point))).alias("points"),

@@ -1,27 +1,37 @@
-"""Joining per-vertex state to edges when a few vertices own most of the edges."""
+"""Joins whose large side may hold most of its rows under a few keys."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.plans.state import materialize, new_folder
+
+# A table of at most this many rows is broadcast.
+BROADCAST_ROWS = 20_000
+# Into how many parts the rows of a key are spread at most.
+MAX_PARTS_PER_KEY = 1_000
+
 # A vertex with fewer edges than this never needs splitting.
 HOT_MIN_ROWS = 1_000_000
 # A vertex is hot only with more than 1/MAX_HOT_KEYS of all edges, so there are
 # fewer hot vertices than this and a table of them is safe to broadcast.
 MAX_HOT_KEYS = 200_000
 ROWS_PER_PARTITION = 4_000_000
+# Up to this many edges a fixed layout does not pay.
+SMALL_EDGES = 4_000_000
 
 
 @dataclass
 class OutEdges:
     """Edges ``(src, dst, outdeg)`` laid out once for a join per superstep.
 
-    ``cold`` is hash-partitioned and sorted by ``src``, so a step shuffles the
-    state and never the edges. Edges of hot vertices stay spread as they were
+    ``cold`` is hash-partitioned and sorted by ``src`` (unless there are few edges),
+    so a step shuffles the state and never the edges. Edges of hot vertices stay spread as they were
     read, in ``hot``, and meet a broadcast of the hot vertices' state.
     """
 
@@ -49,7 +59,6 @@ def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None)
     spark = edges.sparkSession
     total = degrees.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
     limit = max(HOT_MIN_ROWS if hot_rows is None else hot_rows, total // MAX_HOT_KEYS)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_PARTITION))
 
     hot_keys = degrees.filter(F.col("outdeg") > limit).persist()
     hot = None
@@ -61,14 +70,31 @@ def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None)
         small = F.broadcast(hot_keys)
         hot = edges.join(small, "src").select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
         cold = edges.join(F.broadcast(hot_keys.select("src")), "src", "left_anti")
-    # Partitioned before the degrees join, so the edges are shuffled once.
-    cold = (
-        cold.select("src", "dst")
-        .repartition(parts, "src")
-        .join(degrees, "src")
-        .sortWithinPartitions("src")
-        .select("src", "dst", "outdeg")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    if total > SMALL_EDGES:
+        # Partitioned before the degrees join, so the edges are shuffled once.
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_PARTITION))
+        cold = cold.select("src", "dst").repartition(parts, "src").join(degrees, "src").sortWithinPartitions("src")
+    else:
+        cold = cold.join(degrees, "src")
+    cold = cold.select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
     return OutEdges(cold, hot, hot_keys)
 
+
+
+def join_few(
+    large: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join a table with one short row per key to one that may have any number of rows per key.
+
+    The short table is written and counted. If it is small it is broadcast, and the
+    large one stays where it is. Otherwise each key is cut into parts by a hash of the
+    ``by`` columns, with a copy of its row for every part.
+    """
+    spark = large.sparkSession
+    few = materialize(few, new_folder(spark, "few"))
+    if few.count() <= BROADCAST_ROWS:
+        return large.join(F.broadcast(few), list(keys), how)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTS_PER_KEY)
+    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    parted = large.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+    return parted.join(copies, [*keys, "_part"], how).drop("_part")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +124,7 @@ def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _label_centers(vectors: DataFrame) -> list[list[float]]:
     """Mean vector per label, by label: as many as there are classes."""
     means = vectors.groupBy("label").agg(Summarizer.mean(array_to_vector("features")).alias("mean"))
-    rows = means.select("label", vector_to_array("mean").alias("mean")).limit(clustering.MAX_CENTERS).collect()
+    rows = clustering.collect_few(means.select("label", vector_to_array("mean").alias("mean")), "labels")
     return [row["mean"] for row in sorted(rows)]
 
 
