@@ -75,7 +75,7 @@ def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_PARTITION))
         cold = cold.select("src", "dst").repartition(parts, "src").join(degrees, "src").sortWithinPartitions("src")
     else:
-        cold = cold.join(degrees, "src")
+        cold = cold.select("src", "dst").repartition("src").join(degrees, "src")
     cold = cold.select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
     return OutEdges(cold, hot, hot_keys)
 
