@@ -75,7 +75,9 @@ def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_PARTITION))
         cold = cold.select("src", "dst").repartition(parts, "src").join(degrees, "src").sortWithinPartitions("src")
     else:
-        cold = cold.select("src", "dst").repartition("src").join(degrees, "src")
+        # A fixed number, since a session's default is often far too many for so few rows.
+        parts = min(spark.sparkContext.defaultParallelism, 1 + total // 50_000)
+        cold = cold.select("src", "dst").join(degrees, "src").repartition(parts, "src")
     cold = cold.select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
     return OutEdges(cold, hot, hot_keys)
 
