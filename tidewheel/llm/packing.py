@@ -171,12 +171,13 @@ def pack_documents(
     A shard is a topic and a hash of the text's ids: each topic has as many shards as any
     other, so that one that a third of all documents share is spread as well.
     """
-    total = docs.count()
-    spread = max(1, -(-total // (shard * TOPICS)))
+    wanted = max(1, -(-docs.count() // shard))
+    topics = min(TOPICS, wanted)
+    spread = -(-wanted // topics)
     rows = tokenized(docs, path, key, text)
     hashed = F.xxhash64("doc_id", F.crc32("ids"))
     rows = rows.select(
-        "doc_id", "ids", (F.col("topic") * spread + F.pmod(hashed, F.lit(spread))).alias("shard")
+        "doc_id", "ids", (F.col("topic") % topics * spread + F.pmod(hashed, F.lit(spread))).alias("shard")
     )
 
     def run(group: pa.Table) -> pa.Table:
