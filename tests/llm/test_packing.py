@@ -1,0 +1,99 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from tests.llm.helpers import DOCS, ODD, odd_documents
+from tidewheel.llm import packing
+from tidewheel.llm.queries import vocabulary
+
+
+def ids_of(texts):
+    tokenizer = Tokenizer.from_file(vocabulary())
+    return [[*e.ids, 1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+TEXTS = [
+    "", " ", "  ", "a b", "a  b", "a   b c", " lead", "trail ", "tab\tx y", "new\nline \n x", "x \ny", "x\n y", "x\n\n y z",
+    "don't can' t 's ' s", "\xa0x \xa0 y", "é ü 漢字 😀 ok", "a\0b c", "12 345 6,7", "<|endoftext|> x <|endoftext|>y", "\u2003 z",
+    "a \u2003b", "e\u0301 x", "x\r\n y\r z", "...  ,,, !", "\x1c x \x1d",
+]
+
+
+def test_ids_are_those_of_whole_texts():
+    found = packing._Tokens(vocabulary()).of(TEXTS)
+    assert [np.frombuffer(b, "<u2").tolist() for b in found] == [i[:-1] for i in ids_of(TEXTS)]
+
+
+def check(pieces, docs, window):
+    """Every id once, no gap in a sequence, none too long."""
+    of_doc, of_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        of_doc[p["doc_id"]].append(p)
+        of_sequence[p["sequence_id"]].append(p)
+    for doc, ids in docs.items():
+        at = 0
+        for p in sorted(of_doc[doc], key=lambda p: p["start"]):
+            assert p["start"] == at and p["length"] > 0 and p["doc_tokens"] == len(ids)
+            raw = np.array(ids[at : at + p["length"]], "<u4").tobytes()
+            assert bytes(p["ids"]) == raw and zlib.crc32(raw) == zlib.crc32(bytes(p["ids"]))
+            at += p["length"]
+        assert at == len(ids)
+    for row in of_sequence.values():
+        at = 0
+        for p in sorted(row, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= window
+    return of_sequence
+
+
+@pytest.mark.parametrize("window", [16, 2048])
+def test_pieces_hold_every_id_once(spark, window):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 120))) for _ in range(150)] + TEXTS
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' shard", "'clash' ids")
+    pieces = packing.pack_documents(df, vocabulary(), window, shard=40).collect()
+    sequences = check(pieces, dict(zip(range(len(texts)), ids_of(texts))), window)
+    short = [s for s in sequences.values() if sum(p["length"] for p in s) < window]
+    assert len(short) <= 2 * 8  # the last of each shard
+
+
+def test_odd_rows(spark):
+    pieces = packing.pack_documents(odd_documents(spark), vocabulary()).collect()
+    total = sum(p["length"] for p in pieces)
+    assert total == sum(map(len, ids_of([r[1] or "" for r in ODD])))
+    assert [p["length"] for p in pieces if p["doc_id"] == 1] == [1]
+    assert sum(p["start"] == 0 for p in pieces) == len(ODD)
+    assert packing.pack_documents(spark.createDataFrame([], DOCS), vocabulary()).collect() == []
+
+
+def test_index_is_bm25():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 60, rng.integers(1, 50)).astype("<u2") for _ in range(40)]
+    index = packing.Index(docs)
+    mean = sum(map(len, docs)) / len(docs)
+    for seed in range(len(docs)):
+        want = np.zeros(len(docs))
+        for term in set(docs[seed].tolist()):
+            n = sum(term in d for d in docs)
+            if n > 1 and 2 * n <= len(docs):
+                idf = np.log((len(docs) - n + 0.5) / (n + 0.5))
+                for i, d in enumerate(docs):
+                    f = int((d == term).sum())
+                    norm = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+                    want[i] += idf * f * (packing.K1 + 1) / (f + norm)
+        assert index.scores(seed) == pytest.approx(want)
+
+
+def test_neighbours_share_a_window():
+    rng = np.random.default_rng(9)
+    docs = [np.concatenate([rng.integers(100 * t, 100 * t + 100, 30), rng.integers(1000, 1010, 10)]).astype("<u2") for t in [0, 1, 2, 3] * 10]
+    together = defaultdict(set)
+    for doc, _, _, sequence, _ in packing.pack(docs, 160):
+        together[sequence].add(doc % 4)
+    assert sum(len(t) for t in together.values()) <= 1.5 * len(together)

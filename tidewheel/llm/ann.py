@@ -103,6 +103,11 @@ def _scan(rows: np.ndarray, query: np.ndarray, k: int, p: Params, own: np.ndarra
     return places[distances <= bound + 1e-9]
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of rows from left to right, so that equal vectors have equal scores everywhere."""
+    return x.cumsum(axis=1)[:, -1]
+
+
 def _search(
     candidates: pa.Table, queries: pa.Table, k: int, p: Params, turn: np.ndarray
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -110,12 +115,12 @@ def _search(
     ids = candidates.column("vec_id").to_numpy()
     x = _matrix(candidates.column("vector").combine_chunks())
     rows = _unit(x) @ turn
-    norms = np.sqrt((x * x).sum(axis=1))
+    norms = np.sqrt(_sums(x * x))
     q = _matrix(queries.column("vector").combine_chunks())
-    turned = _unit(q) @ turn
+    turned, own_norms = _unit(q) @ turn, np.sqrt(_sums(q * q))
     for i, query_id in enumerate(queries.column("vec_id").to_pylist()):
         near = _scan(rows, turned[i], k, p, ids == query_id)
-        scores = (x[near] * q[i]).sum(axis=1) / (norms[near] * np.sqrt((q[i] * q[i]).sum()))
+        scores = _sums(x[near] * q[i]) / (norms[near] * own_norms[i])
         order = np.lexsort((ids[near], -scores))[:k]
         yield query_id, ids[near][order], scores[order]
 
