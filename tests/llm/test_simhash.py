@@ -86,7 +86,7 @@ def test_near_duplicates_of_odd_rows(spark):
 
 def test_one_of_each_group_stays(spark):
     docs = odd_documents(spark)
-    kept = simhash.one_of_each(docs)
+    kept = simhash.one_of_each(docs, simhash.near_duplicates(docs))
     assert kept.columns == docs.columns
     keys = sorted(str(r["doc_id"]) for r in kept.collect())
     assert keys == sorted(["1", "4", "None", "6", "7", "8", "9", "10"])
@@ -95,4 +95,4 @@ def test_one_of_each_group_stays(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(none).collect() == []
-    assert simhash.one_of_each(none).collect() == []
+    assert simhash.one_of_each(none, simhash.near_duplicates(none)).collect() == []

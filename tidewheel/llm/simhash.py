@@ -251,12 +251,11 @@ def near_duplicates(
     return prints.join(of_print, "print").select(F.col("__key").alias(key), "print", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """The documents without their near-duplicates: of each group the smallest key stays.
+def one_of_each(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents without duplicates: of each group in ``found`` the smallest key stays.
 
     Of rows with the same key one stays; of rows without a key, one for each text.
     """
-    found = near_duplicates(docs, text, key, shingle)
     gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
     plain = F.when(F.col(key).isNull(), F.coalesce(F.col(text), F.lit("")))
     return docs.join(gone, key, "left_anti").withColumn("__plain", plain).dropDuplicates([key, "__plain"]).select(
