@@ -1,8 +1,11 @@
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import DOCS, ODD, odd_documents
@@ -10,8 +13,13 @@ from tidewheel.llm import packing
 from tidewheel.llm.queries import vocabulary
 
 
+@cache
+def tokenizer_of(path):
+    return Tokenizer.from_file(path)
+
+
 def ids_of(texts):
-    tokenizer = Tokenizer.from_file(vocabulary())
+    tokenizer = tokenizer_of(vocabulary())
     return [[*e.ids, 1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -23,8 +31,15 @@ TEXTS = [
 
 
 def test_ids_are_those_of_whole_texts():
-    found = packing._Tokens(vocabulary()).of(TEXTS)
-    assert [np.frombuffer(b, "<u2").tolist() for b in found] == [i[:-1] for i in ids_of(TEXTS)]
+    tokens = packing._Tokens(vocabulary())
+    assert tokens.encode
+    assert [np.frombuffer(tokens.of(t), "<u2").tolist() for t in TEXTS] == [i[:-1] for i in ids_of(TEXTS)]
+
+
+@given(st.text(alphabet=" \n\tab'sé漢1.\u2003", max_size=30))
+def test_cutting_at_spaces_changes_no_id(text):
+    tokens = packing._tokens(vocabulary())
+    assert np.frombuffer(tokens.of(text), "<u2").tolist() == ids_of([text])[0][:-1]
 
 
 def check(pieces, docs, window):

@@ -7,18 +7,24 @@ their scores. The last one is cut where the window is full, and its rest opens t
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import tiktoken
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 END_ID = 1
+#: Fixed value: how byte-level vocabularies cut a text before they merge bytes.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents for which a shard is made; the largest is a few times that.
 SHARD = 512
 #: Classes of topics that keep apart; each class is dealt over many shards.
@@ -26,35 +32,74 @@ TOPICS = 8
 _CACHED = 1 << 19
 
 
+class _Words(dict):
+    """Ids of a word as bytes, encoded when it is first asked for; emptied when it gets large."""
+
+    def __init__(self, encode: Callable[[str], list[int]], before: str):
+        super().__init__()
+        self.encode, self.before = encode, before
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > _CACHED:
+            self.clear()
+        found = self[word] = array("H", self.encode(self.before + word)).tobytes()
+        return found
+
+
+def _alphabet() -> dict[str, int]:
+    """The bytes that the characters of a byte-level vocabulary stand for: printable ones for themselves."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _by_rank(path: str) -> tuple[Callable[[str], list[int]], list[str]] | None:
+    """An encoder of plain text for a byte-level vocabulary, and the strings that it must not see.
+
+    None if the file holds another kind of tokenizer.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    if model.get("type") != "BPE" or not plain or spec.get("normalizer"):
+        return None
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"]["".join(pair)] for pair in pairs]
+    if made != sorted(made):
+        return None
+    of = _alphabet()
+    ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    encoding = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return encoding.encode_ordinary, sorted(added)
+
+
 class _Tokens:
-    """Ids of whole texts, as bytes of little-endian 16-bit numbers.
+    """Ids of whole texts, as bytes of 16-bit numbers.
 
-    A text without two spaces in a row is cut before its spaces: no token of this kind of
-    vocabulary crosses such a place, so each part is encoded once and looked up from then on.
+    With a byte-level vocabulary, a text without two spaces in a row is cut at its spaces: no
+    token crosses such a place, so each word is encoded once and looked up from then on.
+    Texts with strings of added tokens, and other vocabularies, go through ``tokenizers``.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in found]
+        found = _by_rank(path)
+        self.encode, self.added = found or (None, [])
+        if found:
+            self.first, self.later = _Words(self.encode, ""), _Words(self.encode, " ")
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > _CACHED:
-            self.known.clear()
-        known = self.known
-        split = [None if "  " in t else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        new = list({part for parts in split if parts for part in parts if part not in known})
-        known.update(zip(new, self._encode(new)))
-        whole = iter(self._encode([t for t, parts in zip(texts, split) if parts is None]))
-        return [next(whole) if parts is None else b"".join([known[p] for p in parts]) for parts in split]
+    def of(self, text: str) -> bytes:
+        if not self.encode or any(a in text for a in self.added):
+            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if "  " in text:
+            return array("H", self.encode(text)).tobytes()
+        words = text.split(" ")
+        return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
 
 
 @cache
@@ -62,14 +107,20 @@ def _tokens(path: str) -> _Tokens:
     return _Tokens(path)
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different ids in order, and how often each occurs."""
+    ordered = np.sort(ids)
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[starts], np.diff(np.append(starts, len(ordered)))
+
+
 def _topic(ids: np.ndarray) -> int:
-    """The class of a document: a hash of the rarest-looking id that it has most often."""
-    if not len(ids):
-        return 0
-    counts = np.bincount(ids)
-    # Ids of byte-pair vocabularies go from frequent to rare.
-    weight = counts * np.log1p(np.arange(len(counts)))
-    return int(weight.argmax()) * 2654435761 % (1 << 32) * TOPICS >> 32
+    """The class of a document: a hash of the id that weighs most, by its count and its rarity.
+
+    Ids of byte-pair vocabularies go from frequent to rare.
+    """
+    found, counts = _counted(ids)
+    return int(found[(counts * np.log1p(found.astype(np.float32))).argmax()]) * 2654435761 % (1 << 32) * TOPICS >> 32
 
 
 def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,7 +131,8 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [ids + end for ids in _tokens(path).of(part.column("text").to_pylist())]
+                of = _tokens(path).of
+                found = [of(text) + end for text in part.column("text").to_pylist()]
                 topics = [_topic(np.frombuffer(ids, "<u2")) for ids in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(found, pa.binary()), pa.array(topics, pa.int32())],
@@ -98,7 +150,7 @@ class Index:
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs], np.float64)
         norm = K1 * (1 - B + B * lengths / lengths.mean())
-        found = [np.unique(d, return_counts=True) for d in docs]
+        found = [_counted(d) for d in docs]
         terms = np.concatenate([t for t, _ in found]).astype(np.int64)
         counts = np.concatenate([c for _, c in found]).astype(np.float64)
         owners = np.repeat(np.arange(self.n), [len(t) for t, _ in found])
@@ -127,35 +179,31 @@ class Index:
 def pack(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces of documents: document, start, length, sequence and offset in it.
 
-    Every window but the last is full. The document that opens a window names the order
-    in which unused neighbours follow: by score, ties by place; then those without any term
-    in common. The first window opens with document 0.
+    Every window but the last is full. The document that opens a window says which unused
+    neighbours follow: by score, ties and those without any term in common by place. The
+    one that no longer fits is cut, and its rest opens the next window. Document 0 opens the first.
     """
     index = Index(docs)
-    used = np.zeros(len(docs), bool)
-    left = len(docs)
-    sequence = offset = 0
-    order: Iterator[int] = iter(())
-    doc = 0
-    while left:
-        used[doc] = True
-        left -= 1
+    left = np.ones(len(docs), bool)
+    sequence = offset = doc = opener = 0
+    scores: np.ndarray | None = None
+    for rest in range(len(docs) - 1, -1, -1):
+        left[doc] = False
         start, size = 0, len(docs[doc])
         while start < size:
             if offset == window:
                 sequence, offset = sequence + 1, 0
             if not offset:
-                order = iter(np.argsort(-index.scores(doc), kind="stable").tolist())
+                opener, scores = doc, None
             length = min(size - start, window - offset)
             yield doc, start, length, sequence, offset
             start += length
             offset += length
-        if left:
-            doc = next(d for d in order if not used[d]) if offset < window else _neighbour(index, doc, used)
-
-
-def _neighbour(index: Index, doc: int, used: np.ndarray) -> int:
-    return int(np.where(used, -np.inf, index.scores(doc)).argmax())
+        if rest:
+            if scores is None:
+                scores = np.where(left, index.scores(opener), -np.inf)
+            scores[doc] = -np.inf
+            doc = int(scores.argmax())
 
 
 def pack_documents(
