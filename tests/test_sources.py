@@ -61,6 +61,8 @@ def test_read_edges(spark, tmp_path):
 def test_points_and_vectors(spark, tmp_path):
     first = put(tmp_path / "a", "11.3,1.0 0.42\n-2,1 2 3\n")
     assert rows(files.read_labeled_points(spark, first)) == [(-2.0, [1.0, 2.0, 3.0]), (11.3, [1.0, 0.42])]
+    bracketed = put(tmp_path / "c", "(11.3,[1.0,0.42])\n(-2.0,[1.0, 2.0,3.0])\n")
+    assert rows(files.read_labeled_points(spark, bracketed)) == [(-2.0, [1.0, 2.0, 3.0]), (11.3, [1.0, 0.42])]
     last = put(tmp_path / "b", "1.0 0.42 11.3\n")
     assert rows(files.read_labeled_points(spark, last, "label_last")) == [(11.3, [1.0, 0.42])]
     vectors = put(tmp_path / "v", "1 2 3\n4.5\n")
@@ -80,20 +82,34 @@ def test_run_states_and_host_metrics(spark, tmp_path):
     write_run(root, "wc.top004.run01", 0, 1500, [("h1", [(10.0, 1.5), (20.0, 2.5)]), ("boss", [(0, 0)])])
     write_run(root, "wc.top004.run02", 3, 9, [("h1", [(5.0, 1.0)])])
     write_run(root, "wc.top060.run01", 0, 700, [("h2", [(1.0, 9.0)])])
+    write_run(root, "sort.top004.run01", 0, 50, [("h1", [(2.0, 3.0)])])
+    write_run(root, "wc.top004.run01.bak", 0, 1)
+    write_run(root, "wc.top004.run100", 0, 1)
+    put(root / "sort.top008.run01" / "state.json", '{"runTime": 5}')
     runs, failed = run_files.read_run_states(spark, str(root))
-    assert rows(runs) == [(4, 1, 1500), (60, 1, 700)]
-    assert rows(failed) == [(4, 2, 3)]
+    assert rows(runs) == [("sort", 4, 1, 50), ("wc", 4, 1, 1500), ("wc", 60, 1, 700)]
+    assert sorted(map(tuple, failed.collect()), key=str) == [
+        ("sort", 8, 1, None, "sort.top008.run01"),
+        ("wc", 4, 2, 3, "wc.top004.run02"),
+        (None, None, None, None, "wc.top004.run01.bak"),
+        (None, None, None, None, "wc.top004.run100"),
+    ]
 
     metrics = run_files.read_host_metrics(spark, f"{root}/*.top*.run*", "boss", logs="logs/stat/*/*.csv")
-    got = rows(metrics.select("nodes", "run", "host", "seq", "usr", "siq", "recv", "writ"))
+    got = rows(metrics.select("suite", "nodes", "run", "host", "seq", "usr", "siq", "recv", "writ"))
     assert got == [
-        (4, 1, "h1", 0, 10.0, 5.0, 6.0, 1.5),
-        (4, 1, "h1", 1, 20.0, 5.0, 6.0, 2.5),
-        (4, 2, "h1", 0, 5.0, 5.0, 6.0, 1.0),
-        (60, 1, "h2", 0, 1.0, 5.0, 6.0, 9.0),
+        ("sort", 4, 1, "h1", 0, 2.0, 5.0, 6.0, 3.0),
+        ("wc", 4, 1, "h1", 0, 10.0, 5.0, 6.0, 1.5),
+        ("wc", 4, 1, "h1", 1, 20.0, 5.0, 6.0, 2.5),
+        ("wc", 4, 2, "h1", 0, 5.0, 5.0, 6.0, 1.0),
+        ("wc", 60, 1, "h2", 0, 1.0, 5.0, 6.0, 9.0),
     ]
     rolled = run_metrics(metrics, runs).select("run_key", "host", "samples", "avg_usr", "max_writ", "runtime_ms")
-    assert rows(rolled) == [("top004.run01", "h1", 2, 15.0, 2.5, 1500), ("top060.run01", "h2", 1, 1.0, 9.0, 700)]
+    assert rows(rolled) == [
+        ("sort.top004.run01", "h1", 1, 2.0, 3.0, 50),
+        ("wc.top004.run01", "h1", 2, 15.0, 2.5, 1500),
+        ("wc.top060.run01", "h2", 1, 1.0, 9.0, 700),
+    ]
 
 
 def test_state_goes_below_the_named_folder(spark):

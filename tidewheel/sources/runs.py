@@ -9,34 +9,39 @@ from pyspark.sql import functions as F
 METRIC_PREAMBLE_LINES = 6
 METRIC_COLUMNS = ("usr", "sys", "idl", "wai", "hiq", "siq", "recv", "send", "read", "writ")
 
-_RUN_FOLDER = r"\.top(\d{3})\.run(\d{2})(?:/|$)"
+_RUN_FOLDER = r"(?:^|[/=])([^/=]+)\.top(\d{3})\.run(\d{2})(?:/|$)"
 
 
 def _run_of(path) -> list:
-    return [
-        F.regexp_extract(path, _RUN_FOLDER, 1).cast("int").alias("nodes"),
-        F.regexp_extract(path, _RUN_FOLDER, 2).cast("int").alias("run"),
-    ]
+    """Experiment, scale-out and run that a folder is named after; all null if it has another name."""
+
+    def part(group: int):
+        return F.when(path.rlike(_RUN_FOLDER), F.regexp_extract(path, _RUN_FOLDER, group))
+
+    return [part(1).alias("suite"), part(2).cast("int").alias("nodes"), part(3).cast("int").alias("run")]
 
 
 def read_run_states(
     spark: SparkSession, suite_dir: str, state_file: str = "state.json"
 ) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, run, runtime_ms)`` of the runs that ended well, and ``(nodes, run, exit_code)`` of the others.
+    """``(suite, nodes, run, runtime_ms)`` of runs that ended well, and ``(suite, nodes, run, exit_code, folder)`` of the rest.
 
-    Reads the state file in every ``<name>.topNNN.runNN`` folder of a suite.
+    Reads the state file in every ``<suite>.topNNN.runNN`` folder below ``suite_dir``; experiments
+    may share scale-outs and runs. The rest are runs with another exit code, with none (null),
+    and folders with another name, such as ``x.top004.run01.bak``, which have a folder only.
     """
+    path = F.col("_metadata.file_path")
     states = (
         spark.read.schema("runExitCode int, runTime bigint")
         .option("multiLine", True)
         .option("mode", "FAILFAST")
         .json(f"{suite_dir.rstrip('/')}/*.top*.run*/{state_file}")
-        .select(*_run_of(F.col("_metadata.file_path")), "runExitCode", "runTime")
+        .select(*_run_of(path), F.element_at(F.split(path, "/"), -2).alias("folder"), "runExitCode", "runTime")
     )
-    ended_well = F.col("runExitCode") == 0
-    runs = states.filter(ended_well).select("nodes", "run", F.col("runTime").alias("runtime_ms"))
-    failed = states.filter(~ended_well).select("nodes", "run", F.col("runExitCode").alias("exit_code"))
-    return runs, failed
+    ended_well = F.col("runExitCode").eqNullSafe(F.lit(0)) & F.col("suite").isNotNull()
+    runs = states.filter(ended_well).select("suite", "nodes", "run", F.col("runTime").alias("runtime_ms"))
+    exit_code = F.when(F.col("suite").isNotNull(), F.col("runExitCode")).alias("exit_code")
+    return runs, states.filter(~ended_well).select("suite", "nodes", "run", exit_code, "folder")
 
 
 def read_host_metrics(
@@ -46,12 +51,13 @@ def read_host_metrics(
     logs: str = "logs/dstat/*/*.csv",
     host_pattern: str = r"([^/.\-]+)(?:\.[^/]*)?\.csv$",
 ) -> DataFrame:
-    """``(nodes, run, host, seq, usr ... writ)``: one row per sample line of every host but the master.
+    """``(suite, nodes, run, host, seq, usr ... writ)``: one row per sample line of every host but the master.
 
     ``run_dir`` is one run folder or a pattern over many, and the first group of
     ``host_pattern`` finds the host in the path of a file. A file holds one line per
     second of one run on one host, so it is read as a whole: its lines have to be
     counted from its start, and its columns are found by their names in its header.
+    Files below folders that are not named ``<suite>.topNNN.runNN`` are left out.
     """
     files = spark.read.text(f"{run_dir.rstrip('/')}/{logs}", wholetext=True)
     path = F.col("_metadata.file_path")
@@ -59,14 +65,15 @@ def read_host_metrics(
     lines = F.split(F.replace("value", F.lit('"'), F.lit("")), r"\r?\n")
     per_file = (
         files.select(*_run_of(path), host.alias("host"), lines.alias("lines"))
-        .filter(F.col("host") != master)
+        .filter((F.col("host") != master) & F.col("suite").isNotNull())
         .withColumn("header", F.split(F.element_at("lines", METRIC_PREAMBLE_LINES + 1), ","))
         .withColumn("samples", F.slice("lines", F.lit(METRIC_PREAMBLE_LINES + 2), F.size("lines")))
     )
-    per_line = per_file.select("nodes", "run", "host", "header", F.posexplode("samples").alias("seq", "line"))
+    per_line = per_file.select("suite", "nodes", "run", "host", "header", F.posexplode("samples").alias("seq", "line"))
     values = per_line.filter(F.trim("line") != "").withColumn("values", F.split("line", ","))
     # The first of several columns of one name is taken.
     return values.select(
+        "suite",
         "nodes",
         "run",
         "host",

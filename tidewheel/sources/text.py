@@ -78,13 +78,20 @@ def read_edges(
 
 
 def read_labeled_points(spark: SparkSession, path: str, layout: str = "label_first") -> DataFrame:
-    """``(label, features)`` from ``label,f1 f2 ...`` or, with ``label_last``, ``f1 f2 ... label``."""
+    """``(label, features)`` from ``label,f1 f2 ...`` or, with ``label_last``, ``f1 f2 ... label``.
+
+    The first layout may also be written ``(label,[f1,f2,...])``.
+    """
     lines = spark.read.text(path)
     if layout == "label_first":
-        halves = F.split("value", ",", 2)
+        bare = F.regexp_replace("value", r"^\s*\(|\[|\]|\)\s*$", "")
+        bracketed = F.col("value").contains("[")
+        halves = F.split(bare, ",", 2)
+        features = F.element_at(halves, 2)
+        features = F.when(bracketed, F.regexp_replace(features, r"\s*,\s*", " ")).otherwise(features)
         return lines.select(
             F.element_at(halves, 1).cast("double").alias("label"),
-            to_doubles(F.trim(F.element_at(halves, 2)), " ").alias("features"),
+            to_doubles(F.trim(features), " ").alias("features"),
         )
     if layout != "label_last":
         raise ValueError(f"unknown layout {layout!r}")
