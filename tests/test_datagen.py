@@ -45,6 +45,8 @@ def test_kmeans_points(spark):
         assert (x, y) == pytest.approx(means[i], abs=0.12) and sd == pytest.approx(2.0, abs=0.06) and abs(corr) < 0.06
     even = datagen.gen_kmeans_points(spark.range(N), 3, seed=11, skew=[1, 2])
     assert all(abs(r["count"] - N / 3) < 500 for r in even.groupBy("mean_id").count().collect())
+    many = datagen.gen_kmeans_points(spark.range(2000), 2000, seed=11)
+    assert many.agg(F.countDistinct("mean_id")).first()[0] > 1100 and many.agg(F.max("mean_id")).first()[0] < 2000
     centers = datagen.gen_kmeans_centers(spark, 3, seed=11)
     assert centers.count() == 3 and [(r.x, r.y) for r in centers.collect()] != [(round(x, 2), round(y, 2)) for x, y in means]
 

@@ -214,12 +214,12 @@ def test_edges_are_not_shuffled_again_in_a_step(spark, no_broadcast, laid_out):
 def test_both_ways_to_join_a_few_rows(spark, monkeypatch, limit, partitions):
     from tidewheel.plans import skew
 
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
     large = spark.range(3000).selectExpr("if(id % 3 = 0, 1, id % 7) as k", "id")
     few = spark.createDataFrame([(k, 10 * k) for k in range(5)], "k bigint, t int")
     want = large.join(few, "k")
-    assert rows(skew.join_few(large, few, ["k"], ["id"])) == rows(want)
-    left = skew.join_few(large, few, ["k"], ["id"], "left")
+    assert rows(skew.join_few(large, few, ["k"])) == rows(want)
+    left = skew.join_few(large, few, ["k"], "left")
     assert left.count() == 3000 and left.filter("t is null").count() == large.filter("k > 4").count()
     hot = graph.adjacency(frame(spark, [(0, k) for k in range(500)] + [(1, 2)]), max_neighbors=50)
     assert hot.filter("v = 0").count() > 5 and hot.agg(F.sum(F.size("neighbors"))).first()[0] == 501

@@ -122,6 +122,24 @@ def test_all_ways_to_the_gradient_agree(spark, monkeypatch):
     df.unpersist()
 
 
+def test_points_of_unequal_width_are_refused(spark):
+    rows = [(1.0, [1.0]), (2.0, [1.0, 2.0]), (3.0, [1.0, 3.0])]
+    ragged = spark.createDataFrame(rows, "label double, features array<double>")
+    with pytest.raises(ValueError, match="1 to 2 features"):
+        regression.linear_regression_sgd(ragged)
+    with pytest.raises(ValueError, match="1 to 2 features"):
+        regression.sgd_least_squares(ragged)
+    with pytest.raises(Exception, match="does not have 1 features"):
+        regression.squared_error(ragged, [1.0]).collect()
+
+
+def test_many_centers(spark):
+    centers = [(k, float(k), 0.0) for k in range(20_000)]
+    points = spark.createDataFrame([(12345.4, 0.0), (7.5, 1.0), (-3.0, 0.0)], "x double, y double")
+    found = clustering.nearest_center(points, centers).collect()
+    assert sorted(r["center_id"] for r in found) == [0, 7, 12345]
+
+
 def test_plain_descent_options(spark):
     df = spark.createDataFrame([(3.0, [1.0]), (5.0, [2.0])], "label double, features array<double>")
     w = b = 0.0

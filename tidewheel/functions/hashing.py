@@ -1,6 +1,7 @@
 """Seekable pseudo-random columns: the value depends on seed and position only.
 
-Rows come out the same for any number of partitions and after any retry.
+Rows come out the same for any number of partitions and after any retry, and in any
+engine that has MD5.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_UNIT = 2.0 ** -53
+# Hexadecimal digits of the digest that make a draw.
+_DIGITS = 13
+_UNIT = 2.0 ** (-4 * _DIGITS)
 
 
 def hash_uniform(seed: int, pos: Column, stream: int = 0) -> Column:
     """Uniform double in [0, 1) for a position; ``stream`` gives independent draws per position."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(stream), pos), 11)
-    return bits.cast("double") * F.lit(_UNIT)
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(str(stream)), pos.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("double") * F.lit(_UNIT)
 
 
 def hash_int(seed: int, pos: Column, k: Column | int, stream: int = 0) -> Column:

@@ -1,6 +1,6 @@
 """Command line jobs over files: ``spark-submit tidewheel/jobs.py <job> ...`` or ``python -m tidewheel.jobs``.
 
-Every job reads text files and writes text files, as lists of fields with a separator.
+Every job reads text files and writes its whole result to text files, as lists of fields with a separator.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def shipping_priority(spark, a):
         _customer(spark, a.customer), _orders(spark, a.orders), _lineitem(spark, a.lineitem), a.segment, a.date
     )
     result = result.select("o_orderkey", "revenue", "o_orderdate", "o_shippriority")
-    files.write_delimited(result, a.output, "|") if a.output else result.show(truncate=False)
+    files.write_delimited(result, a.output, "|")
 
 
 def returned_items(spark, a):
@@ -84,7 +84,7 @@ def returned_items(spark, a):
 def suite_runtimes(spark, a):
     experiment = files.read_delimited(spark, a.experiments, "id bigint, suite string, name string", ",")
     run = files.read_delimited(spark, a.runs, "experiment_id bigint, time bigint", ",")
-    relational.suite_runtimes(experiment, run, a.suite).show(1000, truncate=False)
+    files.write_delimited(relational.suite_runtimes(experiment, run, a.suite), a.output, ",")
 
 
 def rank_pages(spark, a):
@@ -93,24 +93,24 @@ def rank_pages(spark, a):
         sep, comment = r"\s+", "#"
     edges = files.read_edges(spark, a.input, sep, comment, kind)
     if a.mode == "delta":
-        result = pagerank_delta(edges, a.pages, a.iterations, a.threshold, stats=a.stats)
+        result = pagerank_delta(edges, a.pages, a.iterations, a.threshold, stats=bool(a.stats))
     else:
-        result = pagerank(edges, a.iterations, a.mode, n=a.pages, stats=a.stats)
+        result = pagerank(edges, a.iterations, a.mode, n=a.pages, stats=bool(a.stats))
     _write_loop(result, a)
 
 
 def components(spark, a):
     edges = files.read_edges(spark, a.input, a.separator, a.comment)
-    result = connected_components(edges, a.iterations, a.to_convergence, a.through, stats=a.stats)
+    result = connected_components(edges, a.iterations, a.to_convergence, a.through, stats=bool(a.stats))
     labels = result[0] if a.stats else result
-    component_count(labels).show()
+    component_count(labels).show()  # one row
     _write_loop(result, a)
 
 
 def _write_loop(result, a) -> None:
     if a.stats:
         result, stats = result
-        stats.orderBy("op", "step").show(1000, truncate=False)
+        files.write_delimited(stats.orderBy("op", "step"), a.stats, ",", "overwrite")
     files.write_delimited(result, a.output, " ", "overwrite")
 
 
@@ -134,12 +134,14 @@ def linreg(spark, a):
 
 
 def linreg_sgd(spark, a):
-    regression.linear_regression_sgd(files.read_labeled_points(spark, a.input)).show(1000)
+    fit = regression.linear_regression_sgd(files.read_labeled_points(spark, a.input))
+    files.write_delimited(fit, a.output, " ", "overwrite")
 
 
 def sgd(spark, a):
     points = files.read_labeled_points(spark, a.input, "label_last")
-    regression.sgd_least_squares(points, fit_intercept=a.intercept).show(1000)
+    fit = regression.sgd_least_squares(points, fit_intercept=a.intercept)
+    files.write_delimited(fit, a.output, " ", "overwrite")
 
 
 def gen_kmeans(spark, a):
@@ -163,9 +165,8 @@ def gen_features(spark, a):
 
 def parse_runs(spark, a):
     ended, failed = run_files.read_run_states(spark, a.suite)
-    for row in failed.orderBy("nodes", "run").limit(1000).collect():
-        print(f"top{row.nodes:03d}.run{row.run:02d} ended with code {row.exit_code}", file=sys.stderr)
-    files.write_delimited(ended.select("nodes", "runtime_ms"), a.output)
+    files.write_delimited(failed.select("folder", "exit_code"), f"{a.output}/failed")
+    ended.select("nodes", "runtime_ms", "suite").write.partitionBy("suite").csv(f"{a.output}/runs")
 
 
 def _minutes(spark, a) -> DataFrame:
@@ -177,16 +178,25 @@ def _minutes(spark, a) -> DataFrame:
 
 def fit_runtimes(spark, a):
     observed = _minutes(spark, a).persist()
-    runtimes.fit_best_model(observed, a.refit).show(1000, truncate=False)
-    runtimes.prediction_curve(observed, n=a.points).write.mode("overwrite").option("header", True).csv(a.output)
+    models = runtimes.fit_best_model(observed, a.refit)
+    models.write.mode("overwrite").json(f"{a.output}/models")
+    curve = runtimes.prediction_curve(observed, n=a.points)
+    curve.write.mode("overwrite").option("header", True).csv(f"{a.output}/curves")
     observed.unpersist()
 
 
 def learning_curves(spark, a):
-    curve = runtimes.learning_curve(_minutes(spark, a), range(a.smallest, a.largest + 1), a.iterations, a.seed).persist()
-    curve.write.mode("overwrite").option("header", True).csv(a.output)
-    runtimes.average_curve(curve).orderBy("model", "size").show(1000)
-    curve.unpersist()
+    splits = runtimes.subsample_splits(_minutes(spark, a), range(a.smallest, a.largest + 1), a.iterations, a.seed)
+    errors = runtimes.split_errors(splits).persist()
+
+    def write(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("header", True).csv(f"{a.output}/{name}")
+
+    write(errors, "draws")
+    curve = runtimes.curve_of(errors)
+    write(curve, "suites")
+    write(runtimes.average_curve(curve), "average")
+    errors.unpersist()
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -206,26 +216,26 @@ def _parser() -> argparse.ArgumentParser:
     p = job("shipping-priority", shipping_priority)
     for table in ("--lineitem", "--customer", "--orders"):
         p.add_argument(table, required=True)
-    p.add_argument("--output")
+    p.add_argument("--output", required=True)
     p.add_argument("--segment", default="AUTOMOBILE")
     p.add_argument("--date", default="1995-03-12")
 
     p = job("returned-items", returned_items, "customer", "orders", "lineitem", "nation", "output")
     p.add_argument("--min-year", type=int, default=1990)
-    job("suite-runtimes", suite_runtimes, "experiments", "runs", "suite")
+    job("suite-runtimes", suite_runtimes, "experiments", "runs", "suite", "output")
 
     p = job("pagerank", rank_pages, "input", "output", "iterations")
     p.add_argument("--mode", choices=("contrib", "bulk", "static", "delta"), default="contrib")
     p.add_argument("--pages", type=int)
     p.add_argument("--threshold", type=float, default=0.1)
-    p.add_argument("--stats", action="store_true")
+    p.add_argument("--stats", metavar="FOLDER")
 
     p = job("components", components, "input", "output", "iterations")
     p.add_argument("--separator", default=r"\t")
     p.add_argument("--comment", default="%")
     p.add_argument("--to-convergence", action="store_true")
     p.add_argument("--through")
-    p.add_argument("--stats", action="store_true")
+    p.add_argument("--stats", metavar="FOLDER")
 
     p = job("kmeans", kmeans, "points", "centers", "output", "iterations")
     p.add_argument("--through")
@@ -235,8 +245,8 @@ def _parser() -> argparse.ArgumentParser:
     p = job("linreg", linreg, "input", "output", "iterations")
     p.add_argument("--theta0", type=float, default=0.0)
     p.add_argument("--theta1", type=float, default=0.0)
-    job("linreg-sgd", linreg_sgd, "input")
-    job("sgd", sgd, "input").add_argument("--intercept", action="store_true")
+    job("linreg-sgd", linreg_sgd, "input", "output")
+    job("sgd", sgd, "input", "output").add_argument("--intercept", action="store_true")
 
     p = job("gen-kmeans", gen_kmeans, "output")
     p.add_argument("--points", type=int, required=True)

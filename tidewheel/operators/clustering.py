@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterable, Sequence
 
@@ -15,23 +16,14 @@ from pyspark.sql import functions as F
 
 from tidewheel.plans.state import materialize
 
-MAX_CENTERS = 10_000
 # Up to this many centres a nearest-centre expression is spelled out in full.
 _UNROLLED_CENTERS = 64
 
 
-def collect_few(df: DataFrame, what: str) -> list:
-    """The rows of a table that is part of a model; more than ``MAX_CENTERS`` is an error."""
-    found = df.limit(MAX_CENTERS + 1).collect()
-    if len(found) > MAX_CENTERS:
-        raise ValueError(f"more than {MAX_CENTERS} {what}")
-    return found
-
-
 def center_rows(centers: DataFrame | Iterable[Sequence[float]]) -> list[tuple[int, float, float]]:
-    """Centres ``(id, x, y)`` as a list ordered by id. They are the model, so their number is checked."""
+    """Centres ``(id, x, y)`` as a list ordered by id. They are the model, which every task holds."""
     if isinstance(centers, DataFrame):
-        centers = collect_few(centers.select("id", "x", "y"), "centres")
+        centers = centers.select("id", "x", "y").collect()
     return sorted((int(i), float(x), float(y)) for i, x, y in centers)
 
 
@@ -50,9 +42,10 @@ def nearest_center(points: DataFrame, centers: DataFrame | Iterable[Sequence[flo
     if not rows:
         return points.withColumns({"center_id": F.lit(-1), "distance": limit})
     if len(rows) > _UNROLLED_CENTERS:
-        table = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(cx).alias("x"), F.lit(cy).alias("y")) for i, cx, cy in rows])
+        # Three literals, whatever the number of centres.
+        ids, xs, ys = (F.from_json(F.lit(json.dumps(column)), f"array<{kind}>") for column, kind in zip(zip(*rows), ("int", "double", "double")))
         best = F.array_min(
-            F.transform(table, lambda c: F.struct(distance(c["x"], c["y"]).alias("d"), c["id"].alias("id")))
+            F.transform(F.arrays_zip(xs.alias("x"), ys.alias("y"), ids.alias("id")), lambda c: F.struct(distance(c["x"], c["y"]).alias("d"), c["id"].alias("id")))
         )
         placed = points.withColumn("_best", best)
         nearest, center = F.col("_best.d"), F.col("_best.id")

@@ -31,17 +31,27 @@ def connected_components(
     layout = out_edges(both, degrees, hot_rows)
 
     labels = degrees.select(F.col("src").alias("v"), F.col("src").alias("component"), F.lit(True).alias("changed"))
+    kind = labels.schema["component"].dataType
     counts = None
     step = 0
     while to_convergence or step < iters:
         senders = labels.filter("changed").select("v", "component")
-        heard = (
-            layout.receive(senders)
-            .groupBy(F.col("dst").alias("v"))
-            .agg(F.min("component").alias("heard"), F.count("*").alias("messages"))
+        # The labels themselves travel in the shuffle of the messages.
+        heard = layout.receive(senders).select(
+            F.col("dst").alias("v"), F.col("component").alias("heard"), F.lit(None).cast(kind).alias("component")
+        )
+        own = labels.select("v", F.lit(None).cast(kind).alias("heard"), "component")
+        met = (
+            heard.unionByName(own)
+            .groupBy("v")
+            .agg(
+                F.min("heard").alias("heard"),
+                F.max("component").alias("component"),
+                F.nullif(F.count("heard"), F.lit(0)).alias("messages"),
+            )
         )
         lower = F.col("heard") < F.col("component")
-        labels = labels.select("v", "component").join(heard, "v", "left").select(
+        labels = met.select(
             "v",
             F.when(lower, F.col("heard")).otherwise(F.col("component")).alias("component"),
             F.coalesce(lower, F.lit(False)).alias("changed"),

@@ -65,10 +65,8 @@ def gen_kmeans_points(
         bounds.append(reached)
     # Draws come in [0, 1), so the number of bounds at or below a draw is its mean.
     draw = hash_uniform(seed, at, _CHOICE)
-    chosen = F.lit(k - 1)
-    for index in range(k - 2, -1, -1):
-        chosen = F.when(F.col("_draw") < F.lit(bounds[index]), F.lit(index)).otherwise(chosen)
-    picked = positions.select(at, draw.alias("_draw")).select(at, chosen.alias("mean_id"))
+    reached_by = F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda bound: bound <= F.col("_draw"))
+    picked = positions.select(at, draw.alias("_draw")).select(at, F.size(reached_by).alias("mean_id"))
 
     def coordinate(axis: int) -> Column:
         table = F.array(*[F.lit(mean[axis]) for mean in means])

@@ -60,7 +60,7 @@ def adjacency(edges: DataFrame, distinct: bool = False, max_neighbors: int = 1_0
     )
     # Copies of one edge are cut into runs too, since they may be the bulk of a vertex.
     run = F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / F.lit(max_neighbors)))).alias("run")
-    runs = join_few(counted, large, ["src"], ["dst"], "left").select("src", "dst", "n", "pieces", run)
+    runs = join_few(counted, large, ["src"], "left").select("src", "dst", "n", "pieces", run)
     copies = F.least(F.lit(max_neighbors), F.col("n") - (F.col("run") - 1) * max_neighbors).cast("int")
     piece = F.coalesce(F.pmod(F.xxhash64("dst", "run"), F.col("pieces")), F.lit(0)).cast("int")
     return (

@@ -131,20 +131,22 @@ def pagerank_delta(
     counts = None
     for step in range(iters):
         senders = ranks.filter(F.col("delta").isNotNull()).select("v", "delta")
+        none = F.lit(None).cast("double")
+        received = layout.receive(senders).select(
+            F.col("dst").alias("v"), (F.lit(DAMPING) * F.col("delta") / F.col("outdeg")).alias("part"), none.alias("rank")
+        )
+        # The ranks themselves travel in the shuffle of the sums.
         summed = (
-            layout.receive(senders)
-            .select(F.col("dst").alias("v"), (F.lit(DAMPING) * F.col("delta") / F.col("outdeg")).alias("part"))
+            received.unionByName(ranks.select("v", none.alias("part"), "rank"))
             .groupBy("v")
-            .agg(F.sum("part").alias("delta"), F.count("*").alias("messages"))
+            .agg(F.sum("part").alias("delta"), F.count("part").alias("messages"), F.max("rank").alias("rank"))
         )
         if stats:
             summed = loop.advance(summed, "deltas", step)
-        large = summed.filter(F.abs("delta") > F.lit(threshold)).select("v", "delta")
         before = ranks
-        ranks = (
-            ranks.select("v", "rank")
-            .join(large, "v", "left")
-            .select("v", (F.col("rank") + F.coalesce("delta", F.lit(0.0))).alias("rank"), "delta")
+        large = F.when(F.abs("delta") > F.lit(threshold), F.col("delta"))
+        ranks = summed.filter(F.col("rank").isNotNull()).select(
+            "v", (F.col("rank") + F.coalesce(large, F.lit(0.0))).alias("rank"), large.alias("delta")
         )
         ranks = loop.advance(ranks, "ranks", step)
         if stats:
@@ -163,7 +165,6 @@ def _delta_counts(before: DataFrame, summed: DataFrame, after: DataFrame, thresh
     senders = before.agg(F.count("delta").alias("senders")).select("*", one)
     sums = summed.agg(
         F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"),
-        F.count("*").alias("targets"),
         F.count_if(F.abs("delta") > F.lit(threshold)).alias("kept"),
     ).select("*", one)
     updates = after.agg(F.count("delta").alias("updated")).select("*", one)

@@ -86,10 +86,13 @@ def _gradient(points: DataFrame, width: int) -> tuple[Callable[[np.ndarray], np.
 
 
 def _width(points: DataFrame) -> int:
-    first = points.select(F.size("features")).first()
-    if first is None:
+    """The number of features of every point; points of unequal width are an error."""
+    least, most = points.agg(F.min(F.size("features")), F.max(F.size("features"))).first()
+    if least is None:
         raise ValueError("no points")
-    return first[0]
+    if least != most:
+        raise ValueError(f"points have {least} to {most} features")
+    return least
 
 
 def _weights(points: DataFrame, weights: np.ndarray, steps: int) -> DataFrame:
@@ -160,6 +163,9 @@ def sgd_least_squares(
 
 
 def squared_error(points: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """``(mse)`` of a linear model on points."""
+    """``(mse)`` of a linear model on points; a point of another width than the model is an error."""
+    width = F.size("features")
+    wrong = F.raise_error(F.concat(F.lit(f"a point does not have {len(weights)} features but "), width.cast("string")))
+    points = points.withColumn("features", F.when(width == len(weights), F.col("features")).otherwise(wrong))
     fit = sum((F.element_at("features", k + 1) * F.lit(float(w)) for k, w in enumerate(weights)), F.lit(0.0))
     return points.agg(F.avg((fit - F.col("label")) * (fit - F.col("label"))).alias("mse"))

@@ -19,13 +19,14 @@ from tidewheel.functions.kernel import (
     ernest_value,
     fit_each,
     local_regression,
+    number_array,
     mean_of,
     regress_each,
     relative_deviation,
     scale_out_point,
 )
 from tidewheel.plans.skew import join_few
-from tidewheel.plans.state import materialize, new_folder
+from tidewheel.plans.state import checkpointed
 
 BANDWIDTHS = tuple(range(1, 101))
 
@@ -49,14 +50,17 @@ def _repeat(df: DataFrame, times: str) -> DataFrame:
 def trim_runs(runs: DataFrame) -> DataFrame:
     """Runs without one fastest and one slowest per suite and scale-out.
 
-    Each run counts as one and each extreme as one less; what is left is repeated as
-    often as its count says. Nothing is sorted, and no task sees all runs of a scale-out.
+    Runs between the extremes pass where they are. Those at an extreme are counted, and
+    repeated as often as their count says when one is taken off for each extreme.
     """
-    one = runs.select("suite", "nodes", "runtime_ms", F.lit(1).alias("n"))
-    ends = runs.groupBy("suite", "nodes").agg(F.array(F.min("runtime_ms"), F.max("runtime_ms")).alias("ends"))
-    less = ends.select("suite", "nodes", F.explode("ends").alias("runtime_ms"), F.lit(-1).alias("n"))
-    counted = one.unionAll(less).groupBy("suite", "nodes", "runtime_ms").agg(F.sum("n").alias("n"))
-    return _repeat(counted.filter(F.col("n") > 0), "n")
+    key, time = ["suite", "nodes"], F.col("runtime_ms")
+    ends = runs.groupBy(*key).agg(F.min("runtime_ms").alias("_low"), F.max("runtime_ms").alias("_high"))
+    marked = join_few(runs.select(*key, "runtime_ms"), ends, key)
+    at_end = (time == F.col("_low")) | (time == F.col("_high"))
+    off = (time == F.col("_low")).cast("int") + (time == F.col("_high")).cast("int")
+    counted = marked.filter(at_end).groupBy(*key, "runtime_ms").agg((F.count("*") - F.max(off)).alias("n"))
+    between = marked.filter(~at_end).select(*key, "runtime_ms")
+    return between.unionByName(_repeat(counted.filter(F.col("n") > 0), "n"))
 
 
 def runtimes_minutes(runs: DataFrame) -> DataFrame:
@@ -104,7 +108,7 @@ def fit_ernest(runs: DataFrame, *keys: str) -> DataFrame:
 
 def predict_ernest(models: DataFrame, query: DataFrame, x: str = "x") -> DataFrame:
     """Query rows ``(suite, x)`` with ``predicted`` minutes."""
-    return join_few(query, models, ["suite"], [x]).select(
+    return join_few(query, models, ["suite"]).select(
         *query.columns, ernest_value(F.col("coefficients"), F.col(x)).alias("predicted")
     )
 
@@ -118,7 +122,7 @@ def predict_kernel(
     """
     h = F.col(bandwidth) if isinstance(bandwidth, str) else F.lit(float(bandwidth))
     value = local_regression(F.col("points"), F.col(x).cast("double"), h.cast("double"), degree)
-    known = join_few(query, scale_outs(runs), ["suite"], [x])
+    known = join_few(query, scale_outs(runs), ["suite"])
     return known.select(*query.columns, value.alias("predicted"))
 
 
@@ -133,21 +137,18 @@ def interpolation_splits(runs: DataFrame) -> DataFrame:
     nodes = runs.groupBy("suite").agg(F.sort_array(F.collect_set("nodes")).alias("nodes"))
     inner = F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 2, F.lit(0)))
     folds = nodes.select("suite", inner.alias("folds"))
-    per_fold = join_few(runs, folds, ["suite"], runs.columns).select(*runs.columns, F.explode("folds").alias("fold"))
+    per_fold = join_few(runs, folds, ["suite"]).select(*runs.columns, F.explode("folds").alias("fold"))
     return per_fold.withColumn("role", F.when(F.col("nodes") == F.col("fold"), "test").otherwise("train"))
 
 
-def _fold_errors(runs: DataFrame, predictions: DataFrame, *model: str) -> DataFrame:
-    """Mean relative error of the predictions ``(suite, fold, variants)`` over the runs at the fold.
+def _fold_errors(runs: DataFrame, predictions: DataFrame, models: int) -> DataFrame:
+    """``(suite, fold, errors)``: mean relative errors of the array ``predicted`` over the runs at the fold.
 
-    ``variants`` is an array of structs ``(model..., predicted)``, so the runs are
-    joined once, whatever the number of models, and reduced before any shuffle.
+    One aggregate with a column per model, so a run stays one row whatever their number.
     """
-    tested = join_few(runs.withColumnRenamed("nodes", "fold"), predictions, ["suite", "fold"], ["minutes"])
-    rows = tested.select("suite", "fold", "minutes", F.inline("variants"))
-    return rows.groupBy("suite", "fold", *model).agg(
-        F.avg(relative_deviation(F.col("predicted"), F.col("minutes"))).alias("error")
-    )
+    tested = join_few(runs.withColumnRenamed("nodes", "fold"), predictions, ["suite", "fold"])
+    each = [F.avg(relative_deviation(F.get("predicted", F.lit(k)), F.col("minutes"))) for k in range(models)]
+    return tested.groupBy("suite", "fold").agg(F.array(*each).alias("errors"))
 
 
 def _per_fold(runs: DataFrame) -> DataFrame:
@@ -163,9 +164,12 @@ def _per_fold(runs: DataFrame) -> DataFrame:
 
 def cv_score_kernel(runs: DataFrame, bandwidths: Sequence[float] = BANDWIDTHS) -> DataFrame:
     """``(suite, fold, bw, error)`` of local regression for every fold and bandwidth."""
-    each = regress_each(_per_fold(runs), ("suite", "fold", "at"), bandwidths)
-    variants = each.groupBy("suite", "fold").agg(F.collect_list(F.struct("bw", "predicted")).alias("variants"))
-    return _fold_errors(runs, variants, "bw")
+    tried = sorted({float(bw) for bw in bandwidths})
+    each = regress_each(_per_fold(runs), ("suite", "fold", "at"), tried)
+    in_order = F.sort_array(F.collect_list(F.struct("bw", "predicted")))
+    predicted = each.groupBy("suite", "fold").agg(F.transform(in_order, lambda v: v["predicted"]).alias("predicted"))
+    errors = _fold_errors(runs, predicted, len(tried))
+    return errors.select("suite", "fold", F.inline(F.arrays_zip(number_array(tried).alias("bw"), F.col("errors").alias("error"))))
 
 
 def cv_score_ernest(runs: DataFrame) -> DataFrame:
@@ -174,7 +178,8 @@ def cv_score_ernest(runs: DataFrame) -> DataFrame:
         "suite", "fold", "at", fit_each(F.array(ernest_sums(F.col("points")))).alias("fits")
     )
     value = ernest_value(F.element_at("fits", 1), F.col("at"))
-    return _fold_errors(runs, fitted.select("suite", "fold", F.array(F.struct(value.alias("predicted"))).alias("variants")))
+    errors = _fold_errors(runs, fitted.select("suite", "fold", F.array(value).alias("predicted")), 1)
+    return errors.select("suite", "fold", F.get("errors", F.lit(0)).alias("error"))
 
 
 def select_bandwidth(runs: DataFrame, bandwidths: Sequence[float] = BANDWIDTHS) -> DataFrame:
@@ -225,7 +230,7 @@ def predict_best(runs: DataFrame, models: DataFrame, query: DataFrame, x: str =
         local_regression(points, at, F.coalesce("bw", F.lit(1.0)))
     )
     known = scale_outs(runs).join(models, "suite")
-    return join_few(query, known, ["suite"], [x]).select(*query.columns, value.alias("predicted"))
+    return join_few(query, known, ["suite"]).select(*query.columns, value.alias("predicted"))
 
 
 def prediction_curve(
@@ -258,7 +263,8 @@ def _draw_runs(runs: DataFrame, draws: DataFrame) -> DataFrame:
     falls into, so no task has to order all runs of a scale-out.
     """
     at, first_key = ["suite", "nodes", "bucket"], ["suite", "nodes"]
-    counted = _counted(runs).withColumn("bucket", F.pmod(F.xxhash64("minutes"), F.lit(_NUMBERING_BUCKETS)))
+    in_ms = F.round(F.col("minutes") * 60000).cast("bigint")
+    counted = _counted(runs).withColumn("bucket", F.pmod(in_ms, F.lit(_NUMBERING_BUCKETS)))
     earlier = Window.partitionBy(*first_key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = counted.groupBy(*at).agg(F.sum("n").alias("held"))
     starts = sizes.select(
@@ -295,7 +301,7 @@ def subsample_splits(runs: DataFrame, sizes: Sequence[int], n_iter: int, seed: i
     """
 
     def draw(stream: int, *at) -> Column:
-        return hash_uniform(seed, F.struct("suite", "size", "iter", *at), stream)
+        return hash_uniform(seed, F.concat_ws("/", "suite", "size", "iter", *(a.cast("string") for a in at)), stream)
 
     each_size = scale_outs(runs).select("suite", "points", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
     problems = (
@@ -406,10 +412,13 @@ def learning_curve(
 ) -> DataFrame:
     """``(suite, size, model, error)``: mean error of each model over random splits of each size.
 
-    The splits are drawn once and written, since the models read them more than once.
+    The splits are drawn once and kept in a checkpoint, since the models read them more than once.
     """
-    splits = materialize(subsample_splits(runs, sizes, n_iter, seed), new_folder(runs.sparkSession, "splits"))
-    errors = split_errors(splits, bandwidths)
+    return curve_of(split_errors(checkpointed(subsample_splits(runs, sizes, n_iter, seed)), bandwidths))
+
+
+def curve_of(errors: DataFrame) -> DataFrame:
+    """``(suite, size, model, error)``: the errors of single splits, averaged."""
     means = errors.groupBy("suite", "size").agg(*[F.avg(m).alias(m) for m in ("ernest", "kernel", "best")])
     return means.unpivot(["suite", "size"], ["ernest", "kernel", "best"], "model", "error")
 
@@ -423,12 +432,15 @@ def average_curve(curve: DataFrame) -> DataFrame:
 
 
 def run_metrics(host_metrics: DataFrame, runs: DataFrame) -> DataFrame:
-    """``(run_key, nodes, run, host, samples, avg_*, max_*, runtime_ms)``: metrics per host beside the run time."""
-    names = [c for c in host_metrics.columns if c not in ("nodes", "run", "host", "seq")]
-    per_host = host_metrics.groupBy("nodes", "run", "host").agg(
+    """``(run_key, suite, nodes, run, host, samples, avg_*, max_*, runtime_ms)``: metrics per host beside the run time.
+
+    A run is known by its experiment (``suite``), scale-out and number.
+    """
+    names = [c for c in host_metrics.columns if c not in ("suite", "nodes", "run", "host", "seq")]
+    per_host = host_metrics.groupBy("suite", "nodes", "run", "host").agg(
         F.count("*").alias("samples"),
         *[F.avg(c).alias(f"avg_{c}") for c in names],
         *[F.max(c).alias(f"max_{c}") for c in names],
     )
-    key = F.format_string("top%03d.run%02d", F.col("nodes"), F.col("run")).alias("run_key")
-    return per_host.join(runs, ["nodes", "run"]).select(key, *per_host.columns, "runtime_ms")
+    key = F.format_string("%s.top%03d.run%02d", "suite", "nodes", "run").alias("run_key")
+    return per_host.join(runs, ["suite", "nodes", "run"]).select(key, *per_host.columns, "runtime_ms")

@@ -5,10 +5,14 @@ Loops are written out step by step; nothing here runs in the library itself.
 
 from __future__ import annotations
 
+import math
+import re
 from itertools import combinations, permutations
 
 from tidewheel import queries as q
 from tidewheel.functions.kernel import EPSILON
+from tidewheel.operators import datagen as g
+from tidewheel.sources.runs import METRIC_COLUMNS
 
 # -- derived inputs --------------------------------------------------------
 
@@ -96,6 +100,20 @@ def _pagerank_sql(mode: str) -> str:
     return _pagerank(mode, q.GRAPH_STEPS) + f"select v, round(rank, 6) as rank from r{q.GRAPH_STEPS}"
 
 
+def _converged() -> str:
+    """Bulk ranks after the first step in which no rank moved by ``BULK_EPS``; written out, so all steps are computed."""
+    steps = q.BULK_STEPS
+    moved = [
+        f"select {k} as step, (select count(*) from r{k} a join r{k - 1} b on b.v = a.v where abs(a.rank - b.rank) > {q.BULK_EPS}) as n"
+        for k in range(1, steps + 1)
+    ]
+    ranks = "\nunion all ".join(f"select {k} as step, v, rank from r{k}" for k in range(1, steps + 1))
+    return _pagerank("bulk", steps)[:-1] + f""",
+moved as materialized ({' union all '.join(moved)}),
+stopped as (select coalesce(min(step), {steps}) as step from moved where n = 0)
+select v, round(rank, 6) as rank from ({ranks}) where step = (select step from stopped)"""
+
+
 def _pagerank_stats() -> str:
     rows = [
         f"""select 'distribute' as op, {k} as step,
@@ -302,6 +320,12 @@ def _nonnegative(source: str, keys: str) -> list[tuple[str, str]]:
     ]
 
 
+def _renamed(steps: list[tuple[str, str]], prefix: str) -> list[tuple[str, str]]:
+    """The same steps under other names, beside those that another fit uses."""
+    names = "|".join(name for name, _ in steps)
+    return [(prefix + name, re.sub(rf"\b(from) ({names})\b", rf"\1 {prefix}\2", sql)) for name, sql in steps]
+
+
 def _ernest_value(x: str) -> str:
     return f"(c0 + c1 / {x} + c2 * ln({x}) + c3 * {x})"
 
@@ -373,31 +397,87 @@ _CURVE_STEP = repr((62.0 - 2.0) / (q.CURVE_POINTS - 1))
 
 # -- generated files -------------------------------------------------------
 
-_STATES = """select cast(4 * (1 + l_suppkey % 15) as integer) as nodes, l_linenumber as run,
-  cast(sum(cast(trunc(l_extendedprice) as bigint)) as bigint) as runtime_ms from lineitem group by 1, 2"""
+_STATES = """select l_returnflag as suite, cast(4 * (1 + l_suppkey % 15) as integer) as nodes, l_linenumber as run,
+  cast(sum(cast(trunc(l_extendedprice) as bigint)) as bigint) as runtime_ms from lineitem group by 1, 2, 3"""
 
-_METRICS = ("usr", "sys", "idl", "wai", "hiq", "siq", "recv", "send", "read", "writ")
 _LOG = f"(event_id // {q.LINES_PER_LOG})"
-_HOSTS = f"""select cast(4 * (1 + {_LOG} % 15) as integer) as nodes, cast(1 + {_LOG} % 7 as integer) as run,
+_HOSTS = f"""select case when {_LOG} % 2 = 0 then 'A' else 'N' end as suite,
+  cast(4 * (1 + {_LOG} // 2 % 15) as integer) as nodes, cast(1 + {_LOG} // 2 % 7 as integer) as run,
   'node' || {_LOG} as host, cast(row_number() over (partition by {_LOG} order by event_id) - 1 as integer) as seq,
-  {', '.join(f'value * {k + 1} as {name}' for k, name in enumerate(_METRICS))}
+  {', '.join(f'value * {k + 1} as {name}' for k, name in enumerate(METRIC_COLUMNS))}
 from events where 'node' || {_LOG} <> '{q.MASTER}'"""
 
+_ROLLED = ", ".join(f"round({kind}(h.{m}), 6) as {kind}_{m}" for kind in ("avg", "max") for m in METRIC_COLUMNS)
+
+# -- pseudo-random draws ---------------------------------------------------
+
+
+def _uniform(seed: int, stream: int, pos: str) -> str:
+    digest = f"md5('{seed}/{stream}/' || ({pos}))"
+    return f"(('0x' || substr({digest}, 1, 13))::bigint / 4503599627370496.0::double)"
+
+
+def _normal(seed: int, stream: int, pos: str) -> str:
+    u, v = _uniform(seed, 2 * stream, pos), _uniform(seed, 2 * stream + 1, pos)
+    return f"(sqrt(-2.0::double * ln(1.0::double - {u})) * cos({2 * math.pi!r}::double * {v}))"
+
+
+def _plane(stream: int, k: int) -> str:
+    """k places in the plane, evenly drawn."""
+    axes = ", ".join(
+        f"{_uniform(g.DEFAULT_SEED, stream * 10 + axis, 'id')} * 100.0::double - 50.0::double as {name}" for axis, name in enumerate("xy")
+    )
+    return f"select id, {axes} from (select unnest(range({k})) as id)"
+
+
+def _generated(weights: list[int]) -> str:
+    bounds = ", ".join(repr(sum(weights[:n]) / sum(weights)) + "::double" for n in range(1, len(weights)))
+    draw = _uniform(g.DEFAULT_SEED, 103, "event_id")
+    noise = [f"{_normal(g.DEFAULT_SEED, 104 + axis, 'event_id')} * 8.0::double" for axis in range(2)]
+    return f"""select round({noise[0]} + m.x, 2) + 0.0::double as x, round({noise[1]} + m.y, 2) + 0.0::double as y, m.id::int as mean_id
+        from (select event_id, len(list_filter([{bounds}], lambda b: b <= {draw})) as chosen from events)
+        join ({_plane(101, len(weights))}) m on m.id = chosen"""
+
+
+def _subsample(sizes: tuple[int, ...], n_iter: int) -> list[tuple[str, str]]:
+    """Steps to ``split``: suite, size, iter, role, nodes, minutes of every draw."""
+    key = "suite || '/' || size || '/' || iter"
+    at = f"{key} || '/' || nodes::double"
+    return [
+        ("numbered", """select suite, nodes, minutes, row_number() over (partition by suite, nodes
+            order by cast(round(minutes * 60000) as bigint) % 4096, minutes) - 1 as number from obs"""),
+        ("suites", "select suite, count(*) as width from totals group by suite"),
+        ("problems", f"""select suite, size, iter from suites, (select unnest({list(sizes)}) as size),
+            (select unnest(range(1, {n_iter + 1})) as iter) where width >= size"""),
+        ("placed", f"""select suite, size, iter, nodes, n, row_number() over (partition by suite, size, iter
+            order by {_uniform(1, 0, at)}, nodes) as place from problems join totals using (suite)"""),
+        ("spanned", """select suite, size, iter, min(nodes) as low, max(nodes) as high from placed
+            where place <= size group by all"""),
+        ("between_", """select suite, size, iter, nodes, n, row_number() over w as place, count(*) over (partition by suite, size, iter) as width
+            from spanned join totals using (suite) where nodes between low and high window w as (partition by suite, size, iter order by nodes)"""),
+        ("picked", f"""select suite, size, iter, 'train' as role, nodes, floor({_uniform(1, 2, at)} * n) as number from placed where place <= size
+            union all select suite, size, iter, 'test', nodes, floor({_uniform(1, 3, at)} * n) from between_
+            where place = floor({_uniform(1, 1, key)} * width) + 1"""),
+        ("split", "select suite, size, iter, role, nodes, minutes from picked join numbered using (suite, nodes, number)"),
+    ]
+
+
 ORACLES: dict[str, str] = {
     "lines": _lines(),
     "read_delimited_roundtrip": "select l_orderkey, l_extendedprice, l_returnflag from lineitem",
     "read_edges": SUPPLY,
     "labeled_points": f"select y as label, 1.0::double as f1, x as f2 from ({PAIRS}) union all select y, 1.0, x from ({PAIRS})",
-    "read_vectors": f"""select cast(len(features) as integer) as width, round(features[1], 6) as first,
-        round(features[-1], 6) as last from ({VECTORS})""",
+    "read_vectors": f"""select cast(len(features) as integer) as width, unnest(range(len(features)))::int as pos,
+        round(unnest(features), 6) as value from ({VECTORS})""",
+    "read_lines": "select concat_ws(chr(9), doc_id, lang, source) as value from documents",
     "materialize": "select o_orderkey, o_custkey, o_totalprice from orders",
-    "run_states": f"""select nodes, run, case when run = 7 then null else runtime_ms end as runtime_ms,
-        case when run = 7 then 1 else 0 end as exit_code from ({_STATES})""",
+    "run_states": f"""select suite, nodes, run, case when run >= 6 then null else runtime_ms end as runtime_ms,
+        case when run = 7 then 1 when run = 6 then null else 0 end as exit_code from ({_STATES})""",
     "host_metrics": _HOSTS,
-    "run_metrics": f"""select printf('top%03d.run%02d', h.nodes, h.run) as run_key, h.host, count(*) as samples,
-        round(avg(h.usr), 6) as avg_usr, round(max(h.writ), 6) as max_writ, s.runtime_ms
-        from ({_HOSTS}) h join ({_STATES}) s on s.nodes = h.nodes and s.run = h.run
-        where s.run <> 7 group by h.nodes, h.run, h.host, s.runtime_ms""",
+    "run_metrics": f"""select printf('%s.top%03d.run%02d', h.suite, h.nodes, h.run) as run_key, h.host, count(*) as samples,
+        {_ROLLED}, s.runtime_ms
+        from ({_HOSTS}) h join ({_STATES}) s on s.suite = h.suite and s.nodes = h.nodes and s.run = h.run
+        where s.run < 6 group by h.suite, h.nodes, h.run, h.host, s.runtime_ms""",
     "word_count": WORD_COUNT,
     "grep": f"select doc_id, value from ({_lines()}) where contains(value, '{q.KEYWORD}')",
     "tpch_q3_variant": """select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority,
@@ -424,6 +504,7 @@ ORACLES: dict[str, str] = {
         from (select distinct src, dst from ({SUPPLY})) group by src""",
     "pagerank_contrib": _pagerank_sql("contrib"),
     "pagerank_bulk": _pagerank_sql("bulk"),
+    "pagerank_bulk_converged": _converged(),
     "pagerank_static": _pagerank_sql("static"),
     "pagerank_delta": _delta_chain(q.GRAPH_STEPS) + f"select v, round(rank, 6) as rank from s{q.GRAPH_STEPS}",
     "pagerank_iteration_stats": _pagerank_stats(),
@@ -438,10 +519,25 @@ ORACLES: dict[str, str] = {
     "kmeans_centers": _lloyd(q.LLOYD_STEPS) + f"select id, round(x, 6) as x, round(y, 6) as y from c{q.LLOYD_STEPS}",
     "kmeans_multijob": _kmeans(q.LLOYD_STEPS, q.LLOYD_STEPS),
     "kmeans_multijob_previous": _kmeans(q.LLOYD_STEPS, q.LLOYD_STEPS - 1),
+    "kmeans_auto": "select count(*) as n, 10::bigint as clusters, 0::bigint as misplaced, true as better from embeddings",
     "wssse": WSSSE,
     "linreg_bgd": _bgd(q.BGD_STEPS),
     "linreg_sgd": _descent(100, "1.0 / sqrt(r.t + 1)", 0.01, 0.001),
     "sgd_least_squares": _descent(50, "0.1 / sqrt(r.t + 1)", 0.0, None),
+    "sgd_intercept": f"""select 1 - pos as pos, weight, steps from ({_descent(50, "0.1 / sqrt(r.t + 1)", 0.0, None)})""",
+    "gen_kmeans_points": _generated([5, 1, 1, 1, 2]),
+    "gen_kmeans_centers": _with(
+        ("pts", _generated([1] * q.GENERATED_CLUSTERS)),
+        ("c", f"select id, round(x, 2) as x, round(y, 2) as y from ({_plane(102, q.GENERATED_CLUSTERS)})"),
+    )
+    + f"select b.id::int as center_id, count(*) as n from ({_nearest('c')}) group by 1",
+    "gen_linreg": f"""select round(x, 2) + 0.0::double as x, round(2.0::double * x + 0.01::double * noise, 2) + 0.0::double as y from (
+        select {_normal(g.DEFAULT_SEED, 0, 'event_id')} as x, {_normal(g.DEFAULT_SEED, 1, 'event_id')} as noise from events)""",
+    "gen_polynomial_features": f"""select round(2.0::double * x + 10.0::double + noise, 6) as label, power::int as power,
+        round(pow(x, power), 6) as value from (select {_uniform(g.DEFAULT_SEED, 0, 'event_id')} as x,
+        {_normal(g.DEFAULT_SEED, 1, 'event_id')} as noise from events), (select unnest(range(20)) as power)""",
+    "hash_uniform": f"""select floor({_uniform(1, 0, 'event_id')} * 10)::bigint as tenth,
+        floor({_uniform(1, 1, 'event_id')} * 6)::bigint as face, count(*) as n from events group by 1, 2""",
     "trim_runs": TRIMMED,
     "runtimes_minutes": f"select suite, nodes, round(minutes, 8) as minutes from ({RUNS})",
     "relative_error": """select l_returnflag, round(avg(abs((l_extendedprice * (1 - l_discount) * (1 + l_tax) - l_extendedprice) / l_extendedprice)), 8) as error
@@ -464,11 +560,18 @@ ORACLES: dict[str, str] = {
     + """select f.suite, f.fold, case when r.nodes = f.fold then 'test' else 'train' end as role, r.nodes,
         count(*) as n, cast(sum(r.runtime_ms) as bigint) as total_ms
         from folds f join raw r on r.suite = f.suite group by f.suite, f.fold, r.nodes""",
-    "cv_score_kernel": _with(*_TOTALS, *_kernel_cv(str(list(q.CV_BANDWIDTHS))))
+    "cv_score_kernel": _with(*_TOTALS, *_kernel_cv(_ALL_BANDWIDTHS))
     + "select suite, fold, bw, round(error, 6) as error from kcv",
     "cv_score_ernest": _with(*_TOTALS, *_ERNEST_CV) + "select suite, fold, round(error, 6) as error from ecv",
     "kernel_bandwidth": _with(*_TOTALS, *_kernel_cv(_ALL_BANDWIDTHS)) + "select suite, bw, round(score, 6) as score from kbest",
     "best_model": _with(*_BEST) + f"select suite, family, bw, round(score, 6) as score, dropped, {_ROUNDED_FITS} from best",
+    "best_model_refit": _with(
+        *_BEST, *_renamed(_nonnegative("totals", "suite"), "all_")
+    )
+    + f"""select b.suite, b.family, b.bw, round(b.score, 6) as score, null::double as dropped, {_ROUNDED_FITS.replace('round(c', 'round(a.c')}
+        from best b join all_fits a on a.suite = b.suite""",
+    "subsample_splits": _with(*_TOTALS[:2], *_subsample(q.LEARNING_SIZES, q.LEARNING_ITERATIONS))
+    + "select suite, size, iter, role, nodes, round(minutes, 8) as minutes from split",
     "best_model_predict": _with(
         *_BEST,
         ("xs", f"select distinct suite, nodes as x from ({RAW_RUNS})"),

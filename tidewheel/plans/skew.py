@@ -9,12 +9,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.plans.state import materialize, new_folder
+from tidewheel.plans.state import checkpointed
 
-# A table of at most this many rows is broadcast.
-BROADCAST_ROWS = 20_000
-# Into how many parts the rows of a key are spread at most.
-MAX_PARTS_PER_KEY = 1_000
+# A table of at most this size, as text, is broadcast.
+BROADCAST_BYTES = 8_000_000
 
 # A vertex with fewer edges than this never needs splitting.
 HOT_MIN_ROWS = 1_000_000
@@ -82,21 +80,13 @@ def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None)
     return OutEdges(cold, hot, hot_keys)
 
 
+def join_few(large: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table with one row per key to one that may have any number of rows per key.
 
-def join_few(
-    large: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "inner"
-) -> DataFrame:
-    """Join a table with one short row per key to one that may have any number of rows per key.
-
-    The short table is written and counted. If it is small it is broadcast, and the
-    large one stays where it is. Otherwise each key is cut into parts by a hash of the
-    ``by`` columns, with a copy of its row for every part.
+    The small table is computed first, into a checkpoint, and its size is summed up. Up to
+    ``BROADCAST_BYTES`` it is broadcast, and the large one stays where it is. Beyond, the
+    join is left to Spark, which splits partitions that turn out skewed.
     """
-    spark = large.sparkSession
-    few = materialize(few, new_folder(spark, "few"))
-    if few.count() <= BROADCAST_ROWS:
-        return large.join(F.broadcast(few), list(keys), how)
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_PARTS_PER_KEY)
-    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    parted = large.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
-    return parted.join(copies, [*keys, "_part"], how).drop("_part")
+    few = checkpointed(few)
+    size = few.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    return large.join(F.broadcast(few) if size <= BROADCAST_BYTES else few, list(keys), how)

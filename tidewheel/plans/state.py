@@ -19,7 +19,8 @@ def state_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewheel-"))
     return spark.sparkContext.getCheckpointDir()
@@ -30,6 +31,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return os.path.join(state_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, computed and written below the state root; Spark drops the files once they are not in use."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(state_root(spark))
+    return df.checkpoint()
+
+
 def materialize(df: DataFrame, path: str, step: int | str | None = None, single_file: bool = False) -> DataFrame:
     """Write ``df`` (as iteration ``step`` of ``path``) and return it read back from there."""
     target = path if step is None else f"{path}/iteration_{step}"

@@ -24,14 +24,15 @@ KEYWORD = "the"
 GRAPH_STEPS = 5
 COMPONENT_STEPS = 10
 DELTA_THRESHOLD = 0.1
-LLOYD_STEPS = 3
+LLOYD_STEPS = 10
 BGD_STEPS = 10
 GENERATED_CLUSTERS = 5
 KERNEL_BANDWIDTH = 8
-CV_BANDWIDTHS = (2, 8, 32)
-CURVE_POINTS = 61
-LEARNING_SIZES = (3, 6)
-LEARNING_ITERATIONS = 20
+CURVE_POINTS = 500
+LEARNING_SIZES = tuple(range(3, 16))
+LEARNING_ITERATIONS = 30
+BULK_STEPS = 25
+BULK_EPS = 0.05
 START_CENTERS = [(1, 10.0, 10.0), (2, 40.0, 10.0), (3, 10.0, 40.0), (4, 40.0, 40.0), (5, 500.0, 500.0)]
 MASTER = "node0"
 LINES_PER_LOG = 500
@@ -124,7 +125,7 @@ def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _label_centers(vectors: DataFrame) -> list[list[float]]:
     """Mean vector per label, by label: as many as there are classes."""
     means = vectors.groupBy("label").agg(Summarizer.mean(array_to_vector("features")).alias("mean"))
-    rows = clustering.collect_few(means.select("label", vector_to_array("mean").alias("mean")), "labels")
+    rows = means.select("label", vector_to_array("mean").alias("mean")).collect()
     return [row["mean"] for row in sorted(rows)]
 
 
@@ -137,8 +138,7 @@ def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trimmed runs, written once since the models below read them several times."""
-    return materialize(runtimes.runtimes_minutes(raw_runs(spark, sf_dir)), new_folder(spark, "runs"))
+    return runtimes.runtimes_minutes(raw_runs(spark, sf_dir))
 
 
 # -- sources and sinks -----------------------------------------------------
@@ -182,41 +182,52 @@ def read_vectors(spark, sf_dir):
     path = new_folder(spark, "vectors")
     embedding_vectors(spark, sf_dir).select(F.array_join(F.col("features").cast("array<string>"), " ")).write.text(path)
     vectors = files.read_vectors(spark, path)
-    return vectors.select(
-        F.size("features").alias("width"),
-        F.round(F.element_at("features", 1), 6).alias("first"),
-        F.round(F.element_at("features", -1), 6).alias("last"),
+    return vectors.select(F.size("features").alias("width"), F.posexplode("features").alias("pos", "value")).select(
+        "width", "pos", F.round("value", 6).alias("value")
     )
 
 
+def read_lines(spark, sf_dir):
+    path = new_folder(spark, "lines")
+    table(spark, sf_dir, "documents").select(F.concat_ws("\t", "doc_id", "lang", "source")).write.text(path)
+    return files.read_lines(spark, path, min_partitions=16)
+
+
 def materialized(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return materialize(orders, new_folder(spark, "orders"), 1)
 
 
 def _write_run_states(spark, sf_dir) -> str:
-    """A state file per scale-out and run, its time summed from the lines, every seventh run failed."""
+    """A state file per experiment, scale-out and run, its time summed from the lines.
+
+    Every seventh run failed, and every sixth has no exit code.
+    """
     path = new_folder(spark, "states")
     per_run = (
         table(spark, sf_dir, "lineitem")
-        .groupBy((4 * (1 + F.col("l_suppkey") % 15)).cast("int").alias("nodes"), F.col("l_linenumber").alias("run"))
+        .groupBy(
+            F.col("l_returnflag").alias("suite"),
+            (4 * (1 + F.col("l_suppkey") % 15)).cast("int").alias("nodes"),
+            F.col("l_linenumber").alias("run"),
+        )
         .agg(F.sum(F.col("l_extendedprice").cast("bigint")).alias("runTime"))
     )
-    folder = F.format_string("items.top%03d.run%02d", "nodes", "run").alias("bench")
-    failed = F.when(F.col("run") == 7, 1).otherwise(0).alias("runExitCode")
-    per_run.select(folder, failed, "runTime").repartition(8, "bench").write.partitionBy("bench").json(path)
+    folder = F.format_string("%s.top%03d.run%02d", "suite", "nodes", "run").alias("bench")
+    code = F.when(F.col("run") == 7, 1).when(F.col("run") != 6, 0).alias("runExitCode")
+    per_run.select(folder, code, "runTime").repartition(8, "bench").write.partitionBy("bench").json(path)
     return path
 
 
 def run_states(spark, sf_dir):
     ended, failed = run_files.read_run_states(spark, _write_run_states(spark, sf_dir), "part-*.json")
-    return ended.select("nodes", "run", "runtime_ms", F.lit(0).alias("exit_code")).unionAll(
-        failed.select("nodes", "run", F.lit(None).cast("bigint"), "exit_code")
+    return ended.select("suite", "nodes", "run", "runtime_ms", F.lit(0).alias("exit_code")).unionAll(
+        failed.select("suite", "nodes", "run", F.lit(None).cast("bigint"), "exit_code")
     )
 
 
 def _write_host_logs(spark, sf_dir) -> str:
-    """Metric logs of hosts that each hold a stretch of the events."""
+    """Metric logs of hosts that each hold a stretch of the events; two experiments share scale-outs and runs."""
     path = new_folder(spark, "logs")
     events = table(spark, sf_dir, "events")
     stretch = F.floor(F.col("event_id") / LINES_PER_LOG)
@@ -226,7 +237,10 @@ def _write_host_logs(spark, sf_dir) -> str:
     header = "\n".join(['"made from events"'] * run_files.METRIC_PREAMBLE_LINES + ['"epoch","' + '","'.join(names) + '"'])
     logs = (
         events.select(
-            F.format_string("events.top%03d.run%02d", (4 * (1 + stretch % 15)).cast("int"), (1 + stretch % 7).cast("int")).alias("bench"),
+            F.format_string(
+                "%s.top%03d.run%02d", F.when(stretch % 2 == 0, "A").otherwise("N"),
+                (4 * (1 + F.floor(stretch / 2) % 15)).cast("int"), (1 + F.floor(stretch / 2) % 7).cast("int"),
+            ).alias("bench"),
             F.concat(F.lit("node"), stretch).alias("log"),
             F.struct("event_id", line.alias("line")).alias("row"),
         )
@@ -251,9 +265,8 @@ def host_metrics(spark, sf_dir):
 def run_metrics(spark, sf_dir):
     ended, _ = run_files.read_run_states(spark, _write_run_states(spark, sf_dir), "part-*.json")
     rolled = runtimes.run_metrics(_host_metrics(spark, sf_dir), ended)
-    return rolled.select(
-        "run_key", "host", "samples", F.round("avg_usr", 6).alias("avg_usr"), F.round("max_writ", 6).alias("max_writ"), "runtime_ms"
-    )
+    metrics = [f"{kind}_{name}" for kind in ("avg", "max") for name in run_files.METRIC_COLUMNS]
+    return rolled.select("run_key", "host", "samples", *[F.round(m, 6).alias(m) for m in metrics], "runtime_ms")
 
 
 # -- text and relational ---------------------------------------------------
@@ -345,6 +358,12 @@ def pagerank_bulk(spark, sf_dir):
     return _rounded(pagerank(edges, GRAPH_STEPS, mode="bulk", n=_pages(edges)))
 
 
+def pagerank_bulk_converged(spark, sf_dir):
+    """Stops before the last step, when no rank moves by the bound."""
+    edges = supply_edges(spark, sf_dir)
+    return _rounded(pagerank(edges, BULK_STEPS, mode="bulk", n=_pages(edges), eps=BULK_EPS))
+
+
 def pagerank_static(spark, sf_dir):
     return _rounded(pagerank(supply_edges(spark, sf_dir), GRAPH_STEPS, mode="static"))
 
@@ -412,8 +431,18 @@ def kmeans_multijob_previous(spark, sf_dir):
 
 
 def kmeans_auto(spark, sf_dir):
-    clustered, _, _ = clustering.kmeans_auto(embedding_vectors(spark, sf_dir), k=10, iters=10)
-    return clustered.select("vec_id", "center_id")
+    """Facts about a clustering whose start is random: rows, clusters, misplaced rows, whether it beats one centre."""
+    vectors = embedding_vectors(spark, sf_dir)
+    clustered, centers, _ = clustering.kmeans_auto(vectors, k=10, iters=10)
+    placed = clustering.nearest_vector(clustered.withColumnRenamed("center_id", "given"), centers)
+    mean = vectors.agg(Summarizer.mean(array_to_vector("features")).alias("mean"))
+    single = clustering.wssse(vectors, [list(mean.first()["mean"])]).first()["wssse"]
+    return placed.agg(
+        F.count("*").alias("n"),
+        F.countDistinct("given").alias("clusters"),
+        F.sum((F.col("given") != F.col("center_id")).cast("bigint")).alias("misplaced"),
+        (F.sum("cost") < single).alias("better"),
+    )
 
 
 def wssse(spark, sf_dir):
@@ -438,6 +467,12 @@ def sgd_least_squares(spark, sf_dir):
     return _rounded_weights(regression.sgd_least_squares(labeled_points(spark, sf_dir)))
 
 
+def sgd_intercept(spark, sf_dir):
+    """The intercept's weight comes last."""
+    points = labeled_points(spark, sf_dir).select("label", F.slice("features", 2, 1).alias("features"))
+    return _rounded_weights(regression.sgd_least_squares(points, fit_intercept=True))
+
+
 # -- data generation -------------------------------------------------------
 
 
@@ -446,11 +481,8 @@ def _positions(spark, sf_dir) -> DataFrame:
 
 
 def gen_kmeans_points(spark, sf_dir):
-    """Moments of the points generated around each mean, one point per event."""
-    points = datagen.gen_kmeans_points(_positions(spark, sf_dir), GENERATED_CLUSTERS, skew=[5, 1, 1, 1, 2])
-    return points.groupBy("mean_id").agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.stddev("x").alias("sd_x")
-    )
+    """One point per event."""
+    return datagen.gen_kmeans_points(_positions(spark, sf_dir), GENERATED_CLUSTERS, skew=[5, 1, 1, 1, 2])
 
 
 def gen_kmeans_centers(spark, sf_dir):
@@ -461,16 +493,13 @@ def gen_kmeans_centers(spark, sf_dir):
 
 
 def gen_linreg(spark, sf_dir):
-    data = datagen.gen_linreg(_positions(spark, sf_dir))
-    return data.agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    return datagen.gen_linreg(_positions(spark, sf_dir))
 
 
 def gen_polynomial_features(spark, sf_dir):
     points = datagen.gen_polynomial_features(_positions(spark, sf_dir), 20)
-    x = F.element_at("features", 2)
-    return points.agg(
-        F.count("*").alias("n"), F.min(F.size("features")).alias("width"),
-        F.regr_slope("label", x).alias("slope"), F.regr_intercept("label", x).alias("intercept"),
+    return points.select(F.round("label", 6).alias("label"), F.posexplode("features").alias("power", "value")).select(
+        "label", "power", F.round("value", 6).alias("value")
     )
 
 
@@ -532,7 +561,7 @@ def interpolation_splits(spark, sf_dir):
 
 
 def cv_score_kernel(spark, sf_dir):
-    scores = runtimes.cv_score_kernel(runs(spark, sf_dir), CV_BANDWIDTHS)
+    scores = runtimes.cv_score_kernel(runs(spark, sf_dir))
     return scores.select("suite", "fold", "bw", F.round("error", 6).alias("error"))
 
 
@@ -552,6 +581,14 @@ def best_model(spark, sf_dir):
     )
 
 
+def best_model_refit(spark, sf_dir):
+    best = runtimes.fit_best_model(runs(spark, sf_dir), refit=True)
+    return best.select(
+        "suite", "family", "bw", F.round("score", 6).alias("score"), "dropped",
+        *[F.round(F.element_at("coefficients", k + 1), 6).alias(f"c{k}") for k in range(4)],
+    )
+
+
 def best_model_predict(spark, sf_dir):
     observed = runs(spark, sf_dir)
     predicted = runtimes.predict_best(observed, runtimes.fit_best_model(observed), _scale_out_queries(spark, sf_dir))
@@ -566,7 +603,8 @@ def prediction_curve(spark, sf_dir):
 
 
 def subsample_splits(spark, sf_dir):
-    return runtimes.subsample_splits(runs(spark, sf_dir), LEARNING_SIZES, LEARNING_ITERATIONS)
+    splits = runtimes.subsample_splits(runs(spark, sf_dir), LEARNING_SIZES, LEARNING_ITERATIONS)
+    return splits.withColumn("minutes", F.round("minutes", 8))
 
 
 def learning_curve(spark, sf_dir):
@@ -583,6 +621,7 @@ QUERIES: dict[str, Query] = {
     "read_edges": read_edges,
     "labeled_points": read_labeled_points,
     "read_vectors": read_vectors,
+    "read_lines": read_lines,
     "materialize": materialized,
     "run_states": run_states,
     "host_metrics": host_metrics,
@@ -599,6 +638,7 @@ QUERIES: dict[str, Query] = {
     "graph_adjacency_distinct": graph_adjacency_distinct,
     "pagerank_contrib": pagerank_contrib,
     "pagerank_bulk": pagerank_bulk,
+    "pagerank_bulk_converged": pagerank_bulk_converged,
     "pagerank_static": pagerank_static,
     "pagerank_delta": pagerank_changes,
     "pagerank_iteration_stats": pagerank_iteration_stats,
@@ -617,6 +657,7 @@ QUERIES: dict[str, Query] = {
     "linreg_bgd": linreg_bgd,
     "linreg_sgd": linreg_sgd,
     "sgd_least_squares": sgd_least_squares,
+    "sgd_intercept": sgd_intercept,
     "gen_kmeans_points": gen_kmeans_points,
     "gen_kmeans_centers": gen_kmeans_centers,
     "gen_linreg": gen_linreg,
@@ -633,6 +674,7 @@ QUERIES: dict[str, Query] = {
     "cv_score_ernest": cv_score_ernest,
     "kernel_bandwidth": kernel_bandwidth,
     "best_model": best_model,
+    "best_model_refit": best_model_refit,
     "best_model_predict": best_model_predict,
     "prediction_curve": prediction_curve,
     "subsample_splits": subsample_splits,
