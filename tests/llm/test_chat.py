@@ -60,6 +60,7 @@ def test_folding_keeps_the_meaning_and_joins_text():
     assert render(source, x="X") == "abcdX6e"
 
 
+@settings(deadline=None)
 @given(st.text(alphabet="<|\\ab\n>", max_size=40))
 def test_escaping_is_reversible_and_leaves_no_mark(text):
     assert "<|" not in chat.escape(text)
@@ -121,7 +122,7 @@ def test_empty_table(spark):
     assert chat.format_conversations(spark.createDataFrame([], TURNS)).collect() == []
 
 
-@settings(max_examples=30)
+@settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "tool"]), st.text(max_size=20)), max_size=6))
 def test_marks_cover_each_assistant_text(messages):
     out = list(chat.Template(chat.CHATML).render({"role": r, "content": t} for r, t in messages))

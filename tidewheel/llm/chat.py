@@ -494,12 +494,13 @@ def _pieces(rows: Iterator[dict], template: Template) -> Iterator[dict]:
                 read += 1
                 yield {"role": row["role"] or "", "content": row["text"] or ""}
 
-        number, parts, spans, size, counted = 0, [], [], 0, 0
+        number, parts, spans, size, counted, known = 0, [], [], 0, 0, 0
         for text, marked in template.render(messages()):
-            # A turn is whole when the next one has been read, and the loop reads one ahead.
-            if size > PIECE and read - 1 > counted:
-                yield {"conv_id": conv_id, "piece": number, "text": "".join(parts), "loss": spans, "turns": read - 1 - counted}
-                number, parts, spans, size, counted = number + 1, [], [], 0, read - 1
+            # The loop reads one turn ahead: when a further one has been read, a turn begins here.
+            if read > known and size > PIECE:
+                yield {"conv_id": conv_id, "piece": number, "text": "".join(parts), "loss": spans, "turns": read - 2 - counted}
+                number, parts, spans, size, counted = number + 1, [], [], 0, read - 2
+            known = read
             if marked:
                 spans.append({"start": size, "end": size + len(text)})
             parts.append(text)
