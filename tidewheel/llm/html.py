@@ -135,7 +135,6 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         elif name not in VOID and name not in ("html", "body"):
             own = name in DROPPED and not (inside and name in ("header", "figure"))
             if own or _named(attrs) & (_IN_ARTICLE if inside else NAMES) or _HIDDEN.search(attrs):
-                close()
                 skipped, depth = name, 1
                 if name in RAW:
                     raw_until = name
