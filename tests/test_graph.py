@@ -179,23 +179,15 @@ def test_components_around_a_vertex_with_a_third_of_all_edges(spark):
     assert dict(rows(labels)) == union_find(star)
 
 
-@pytest.fixture
-def laid_out(monkeypatch):
-    """Lay out even a few edges."""
-    from tidewheel.plans import skew
-
-    monkeypatch.setattr(skew, "SMALL_EDGES", 0)
-
-
 @pytest.mark.parametrize("hot_rows", [None, 1])
-def test_laid_out_edges_give_the_same_answers(spark, laid_out, no_broadcast, partitions, hot_rows):
+def test_laid_out_edges_give_the_same_answers(spark, no_broadcast, partitions, hot_rows):
     for mode in ("contrib", "bulk", "static"):
         got = dict(rows(pagerank(frame(spark, EDGES), 3, mode=mode, n=6, hot_rows=hot_rows)))
         assert got == pytest.approx(walk(EDGES, mode, 3, 6))
     assert dict(rows(connected_components(frame(spark, EDGES), hot_rows=hot_rows))) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 1}
 
 
-def test_edges_are_not_shuffled_again_in_a_step(spark, no_broadcast, laid_out):
+def test_edges_are_not_shuffled_again_in_a_step(spark, no_broadcast):
     from tidewheel.plans.skew import out_edges
 
     edges = frame(spark, EDGES)

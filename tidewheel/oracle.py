@@ -502,15 +502,19 @@ ORACLES: dict[str, str] = {
     "graph_adjacency": f"select src as v, 0 as piece, string_agg(dst, ',' order by dst) as neighbors from ({SUPPLY}) group by src",
     "graph_adjacency_distinct": f"""select src as v, 0 as piece, string_agg(dst, ',' order by dst) as neighbors
         from (select distinct src, dst from ({SUPPLY})) group by src""",
+    "graph_adjacency_pieces": f"""select src as v, string_agg(dst, ',' order by dst) as neighbors, true as split_if_large
+        from ({SUPPLY}) group by src""",
     "pagerank_contrib": _pagerank_sql("contrib"),
     "pagerank_bulk": _pagerank_sql("bulk"),
     "pagerank_bulk_converged": _converged(),
     "pagerank_static": _pagerank_sql("static"),
+    "pagerank_hot": _pagerank_sql("static"),
     "pagerank_delta": _delta_chain(q.GRAPH_STEPS) + f"select v, round(rank, 6) as rank from s{q.GRAPH_STEPS}",
     "pagerank_iteration_stats": _pagerank_stats(),
     "pagerank_delta_iteration_stats": _delta_stats(),
     "connected_components": COMPONENTS,
     "connected_components_multijob": COMPONENTS,
+    "connected_components_hot": COMPONENTS,
     "component_count": _components(q.COMPONENT_STEPS)
     + f"select count(*) as vertices, count(distinct component) as components from c{q.COMPONENT_STEPS}",
     "cc_iteration_stats": _component_stats(),

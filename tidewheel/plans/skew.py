@@ -19,17 +19,17 @@ HOT_MIN_ROWS = 1_000_000
 # A vertex is hot only with more than 1/MAX_HOT_KEYS of all edges, so there are
 # fewer hot vertices than this and a table of them is safe to broadcast.
 MAX_HOT_KEYS = 200_000
+# Edges of a partition of the layout: one for this many, but as many as there are slots above the second number.
 ROWS_PER_PARTITION = 4_000_000
-# Up to this many edges a fixed layout does not pay.
-SMALL_EDGES = 4_000_000
+LEAST_PER_PARTITION = 50_000
 
 
 @dataclass
 class OutEdges:
     """Edges ``(src, dst, outdeg)`` laid out once for a join per superstep.
 
-    ``cold`` is hash-partitioned and sorted by ``src`` (unless there are few edges),
-    so a step shuffles the state and never the edges. Edges of hot vertices stay spread as they were
+    ``cold`` is hash-partitioned and sorted by ``src``, so a step shuffles the state and
+    never the edges. Edges of hot vertices stay spread as they were
     read, in ``hot``, and meet a broadcast of the hot vertices' state.
     """
 
@@ -68,14 +68,9 @@ def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None)
         small = F.broadcast(hot_keys)
         hot = edges.join(small, "src").select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
         cold = edges.join(F.broadcast(hot_keys.select("src")), "src", "left_anti")
-    if total > SMALL_EDGES:
-        # Partitioned before the degrees join, so the edges are shuffled once.
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_PARTITION))
-        cold = cold.select("src", "dst").repartition(parts, "src").join(degrees, "src").sortWithinPartitions("src")
-    else:
-        # A fixed number, since a session's default is often far too many for so few rows.
-        parts = min(spark.sparkContext.defaultParallelism, 1 + total // 50_000)
-        cold = cold.select("src", "dst").join(degrees, "src").repartition(parts, "src")
+    # Partitioned before the degrees join, so the edges are shuffled once.
+    parts = max(min(spark.sparkContext.defaultParallelism, 1 + total // LEAST_PER_PARTITION), -(-total // ROWS_PER_PARTITION))
+    cold = cold.select("src", "dst").repartition(parts, "src").join(degrees, "src").sortWithinPartitions("src")
     cold = cold.select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
     return OutEdges(cold, hot, hot_keys)
 

@@ -27,6 +27,8 @@ DELTA_THRESHOLD = 0.1
 LLOYD_STEPS = 10
 BGD_STEPS = 10
 GENERATED_CLUSTERS = 5
+HOT_ROWS = 50
+PIECE_ROWS = 20
 KERNEL_BANDWIDTH = 8
 CURVE_POINTS = 500
 LEARNING_SIZES = tuple(range(3, 16))
@@ -341,6 +343,16 @@ def graph_adjacency_distinct(spark, sf_dir):
     return rows.select("v", "piece", F.array_join(F.sort_array("neighbors").cast("array<string>"), ",").alias("neighbors"))
 
 
+def graph_adjacency_pieces(spark, sf_dir):
+    """Neighbours of all pieces together, where no row holds more than a few."""
+    rows = graph.adjacency(supply_edges(spark, sf_dir), max_neighbors=PIECE_ROWS)
+    together = rows.groupBy("v").agg(F.count("*").alias("pieces"), F.flatten(F.collect_list("neighbors")).alias("all"))
+    return together.select(
+        "v", F.array_join(F.sort_array("all").cast("array<string>"), ",").alias("neighbors"),
+        ((F.col("pieces") > 1) <= (F.size("all") > PIECE_ROWS)).alias("split_if_large"),
+    )
+
+
 def _rounded(ranks: DataFrame) -> DataFrame:
     return ranks.select("v", F.round("rank", 6).alias("rank"))
 
@@ -368,6 +380,15 @@ def pagerank_static(spark, sf_dir):
     return _rounded(pagerank(supply_edges(spark, sf_dir), GRAPH_STEPS, mode="static"))
 
 
+def pagerank_hot(spark, sf_dir):
+    """Ranks where the edges of busy vertices stay spread and meet a broadcast of their state."""
+    return _rounded(pagerank(supply_edges(spark, sf_dir), GRAPH_STEPS, mode="static", hot_rows=HOT_ROWS))
+
+
+def components_hot(spark, sf_dir):
+    return connected_components(territory_edges(spark, sf_dir), COMPONENT_STEPS, hot_rows=HOT_ROWS)
+
+
 def pagerank_changes(spark, sf_dir):
     edges = supply_edges(spark, sf_dir)
     return _rounded(pagerank_delta(edges, _pages(edges), GRAPH_STEPS, DELTA_THRESHOLD))
@@ -636,15 +657,18 @@ QUERIES: dict[str, Query] = {
     "graph_vertices": graph_vertices,
     "graph_adjacency": graph_adjacency,
     "graph_adjacency_distinct": graph_adjacency_distinct,
+    "graph_adjacency_pieces": graph_adjacency_pieces,
     "pagerank_contrib": pagerank_contrib,
     "pagerank_bulk": pagerank_bulk,
     "pagerank_bulk_converged": pagerank_bulk_converged,
     "pagerank_static": pagerank_static,
+    "pagerank_hot": pagerank_hot,
     "pagerank_delta": pagerank_changes,
     "pagerank_iteration_stats": pagerank_iteration_stats,
     "pagerank_delta_iteration_stats": pagerank_delta_iteration_stats,
     "connected_components": components,
     "connected_components_multijob": components_multijob,
+    "connected_components_hot": components_hot,
     "component_count": component_count,
     "cc_iteration_stats": cc_iteration_stats,
     "nearest_center": nearest_center,
