@@ -96,8 +96,9 @@ def shards_of(rows, shards=8):
     return out
 
 
+@pytest.mark.parametrize("per_task", [3, 1_000_000])
 @pytest.mark.parametrize("kind", ["plain", "clustered", "hot", "far"])
-def test_shards_are_those_of_a_running_sum(spark, kind):
+def test_shards_are_those_of_a_running_sum(spark, kind, per_task):
     key = {
         "plain": lambda i: i,
         "clustered": lambda i: i * i * i if i % 2 else i // 100,
@@ -106,14 +107,14 @@ def test_shards_are_those_of_a_running_sum(spark, kind):
     }[kind]
     rows = [(key(i), i, 1 + (i * 31) % 97 + (5000 if i == 700 else 0)) for i in range(1500)]
     df = spark.createDataFrame(rows, "k long, t long, s long")
-    found = sharding.histogram_sort(df, "k", F.col("s"), 8, F.col("t")).collect()
+    found = sharding.histogram_sort(df, "k", F.col("s"), 8, F.col("t"), rows_per_task=per_task).collect()
     assert sorted(((r["k"], r["t"], r["s"]), r["shard"], r["slot"]) for r in found) == shards_of(rows)
 
 
 def test_equal_rows_are_cut_and_slots_have_no_gap(spark):
     rows = [(1, 10)] * 600 + [(None, 10)] * 300 + [(2, None)] * 100
     df = spark.createDataFrame(rows, "k long, s long").withColumn("shard", F.lit("clash"))
-    found = sharding.histogram_sort(df, "k", F.col("s"), 8).collect()
+    found = sharding.histogram_sort(df, "k", F.col("s"), 8, rows_per_task=5).collect()
     sizes, slots = Counter(), defaultdict(list)
     for r in found:
         sizes[r["shard"]] += r["s"] or 0

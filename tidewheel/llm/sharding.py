@@ -19,7 +19,7 @@ from tidewheel.llm.common import checkpointed
 
 #: Cells into which a round cuts the range of one boundary.
 PROBES = 512
-_KEY, _TIE, _SIZE = "__key", "__tie", "__size"
+_KEY, _TIE, _SIZE, _CELL, _PART = "__key", "__tie", "__size", "__cell", "__part"
 _LOWEST, _HIGHEST = -(2**63), 2**63 - 1
 
 
@@ -106,9 +106,28 @@ def _above(b: Boundary) -> Column:
     return above if tie == _HIGHEST else above | ((F.col(_KEY) == F.lit(key)) & (F.col(_TIE) > F.lit(tie)))
 
 
+def _within(cell: Column, bounds: list[Boundary], low: int, high: int, parts: int) -> Column:
+    """Which of ``parts`` equal ranges of its cell a row is in: ranges of the key, or of the tie in a cell of one key."""
+    edges = [(low, -1), *(b.edge for b in bounds), (high, _HIGHEST)]
+    of_key, of_tie = [], []
+    for (key, tie), (last_key, last_tie) in zip(edges, edges[1:]):
+        first = key + 1 if tie == _HIGHEST else key
+        of_key.append((first, max(1, last_key - first + 1)))
+        of_tie.append((tie + 1, max(1, last_tie - tie)) if first == last_key else (0, 1 << 63))
+
+    def place(column: Column, spans: list[tuple[int, int]]) -> Column:
+        wide = "decimal(20,0)"
+        start, width = (F.get(F.array(*(F.lit(str(v)).cast(wide) for v in side)), cell) for side in zip(*spans))
+        share = (column.cast(wide) - start).cast("double") / width.cast("double")
+        return F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts))).cast("int")
+
+    single = F.get(F.array(*(F.lit(width == 1) for _, width in of_key)), cell)
+    return F.when(single, place(F.col(_TIE), of_tie)).otherwise(place(F.col(_KEY), of_key))
+
+
 def histogram_sort(
     rows: DataFrame, key: str, size: Column, shards: int = 8, ties: Column | None = None,
-    tolerance: float = 0, pieces_per_shard: int = 8,
+    tolerance: float = 0, pieces_per_shard: int = 8, rows_per_task: int = 1_000_000,
 ) -> DataFrame:
     """``rows`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in key order within a shard).
 
@@ -118,7 +137,10 @@ def histogram_sort(
     per boundary). Rows alike in both are told apart by a position fixed in a checkpoint, so
     a key that a third of all rows have is cut like any other. Null sizes count as 0. Equal
     rows may take each other's slots. No rows, no result; columns called shard or slot
-    are replaced. Each shard is numbered in ``pieces_per_shard`` tasks.
+    are replaced.
+
+    Boundaries are sought for ``pieces_per_shard`` cells of a shard. Cells are cut again, into equal ranges
+    of about ``rows_per_task`` rows that are counted and then numbered in one task each.
     """
     tie = (ties if ties is not None else F.lit(0)).cast("long")
     position = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(2**31 - 1))
@@ -131,18 +153,28 @@ def histogram_sort(
             }
         )
     )
-    low, high, total = fixed.agg(F.min(_KEY), F.max(_KEY), F.sum(_SIZE)).first()
+    low, high, total, count = fixed.agg(F.min(_KEY), F.max(_KEY), F.sum(_SIZE), F.count("*")).first()
     cells = shards * pieces_per_shard
     bounds = splitters(fixed, total, cells, low, high, tolerance) if total else []
     cell = F.lit(0)
     for b in bounds:
         cell = cell + _above(b).cast("int")
+    placed = fixed.withColumn(_CELL, cell)
+    parts = max(1, -(-count // ((len(bounds) + 1) * rows_per_task)))
+    placed = placed.withColumn(_PART, _within(F.col(_CELL), bounds, low or 0, high or 0, parts))
+
     below = [0, *(b.rows_below for b in bounds)]
     starts = [n - below[i - i % pieces_per_shard] for i, n in enumerate(below)]
-    first = F.get(F.array(*(F.lit(n).cast("long") for n in starts)), F.col("__cell"))
+    earlier = Window.partitionBy(_CELL).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(_CELL, _PART).agg(F.count("*").alias("__n"))
+    start = F.get(F.array(*(F.lit(n).cast("long") for n in starts)), F.col(_CELL))
+    counts = counts.select(
+        _CELL, _PART, (start + F.coalesce(F.sum("__n").over(earlier), F.lit(0))).alias("__first")
+    )
+    in_order = Window.partitionBy(_CELL, _PART).orderBy(_KEY, _TIE)
     return (
-        fixed.withColumn("__cell", cell)
-        .withColumn("slot", F.row_number().over(Window.partitionBy("__cell").orderBy(_KEY, _TIE)) - 1 + first)
-        .withColumn("shard", F.floor(F.col("__cell") / pieces_per_shard).cast("int"))
-        .drop("__cell", _KEY, _TIE, _SIZE)
+        placed.join(counts, [_CELL, _PART])
+        .withColumn("slot", F.row_number().over(in_order) - 1 + F.col("__first"))
+        .withColumn("shard", F.floor(F.col(_CELL) / pieces_per_shard).cast("int"))
+        .drop(_CELL, _PART, "__first", _KEY, _TIE, _SIZE)
     )
