@@ -36,7 +36,7 @@ def vectors(n, dim, seed=0, spread=0.7):
 def test_recall(spark):
     rows = vectors(6000, 48)
     df = spark.createDataFrame(rows, SCHEMA)
-    params = ann.Params(per_list=100, probes=24, block=150, chunk=64)
+    params = ann.Params(per_list=100, block=150, chunk=64)
     got = found(ann.search(df, df.where("vec_id % 50 = 0"), params=params))
     want = brute(rows, range(0, 6000, 50))
     hit = [len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want]
@@ -46,10 +46,20 @@ def test_recall(spark):
         assert all(abs(scores[i] - s) < 1e-12 for i, s in best)
 
 
+def test_recall_without_clusters(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4000, 32)).astype(np.float32))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = found(ann.search(df, df.where("vec_id % 50 = 0"), params=ann.Params(per_list=100)))
+    want = brute(rows, range(0, 4000, 50))
+    hit = [len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want]
+    assert sum(hit) / (5 * len(want)) >= 0.9
+
+
 def test_all_lists_probed_is_exact_with_ties(spark):
     rows = vectors(400, 16) + [(1000 + i, [1.0] * 16) for i in range(60)] + [(2000, [2.0] * 16)]
     df = spark.createDataFrame(rows, SCHEMA)
-    params = ann.Params(per_list=20, probes=1000, tolerance=50.0, block=30, chunk=16)
+    params = ann.Params(per_list=20, coverage=1.0, tolerance=50.0, block=30, chunk=16)
     got = found(ann.search(df, df.where("vec_id % 50 = 0"), params=params))
     want = brute(rows, [i for i, _ in rows if i % 50 == 0])
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}

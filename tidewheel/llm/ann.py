@@ -23,14 +23,17 @@ from tidewheel.llm.common import checkpointed
 class Params:
     """``sample`` vectors at most are fitted; there is a list for ``per_list`` vectors, up to ``most_lists``.
 
-    ``probes`` lists are searched. ``tolerance`` is the bound of the test: with 2.1, about one true neighbour in a
-    thousand is dropped. ``block`` is how many candidates, and how many queries, share a task's block.
+    As many lists are probed as hold ``coverage`` of the ``k`` nearest that ``asked`` vectors of the sample have
+    in the sample, so vectors without clusters get more probes. ``tolerance`` is the bound of the test: with 2.1, about one
+    true neighbour in a thousand is dropped. ``block`` is how many candidates, and how many
+    queries, share a task's block.
     """
 
     sample: int = 16384
-    per_list: int = 256
+    per_list: int = 1024
     most_lists: int = 4096
-    probes: int = 48
+    coverage: float = 0.97
+    asked: int = 512
     tolerance: float = 2.1
     block: int = 4096
     chunk: int = 512
@@ -73,6 +76,21 @@ def _centres(sample: np.ndarray, lists: int, p: Params) -> np.ndarray:
     return centres
 
 
+def _probes(sample: np.ndarray, centres: np.ndarray, k: int, p: Params) -> int:
+    """Lists, nearest first, that hold ``coverage`` of the nearest within the sample."""
+    asked = min(p.asked, len(sample))
+    if len(sample) < 2:
+        return len(centres)
+    close = sample[:asked] @ sample.T
+    close[np.arange(asked), np.arange(asked)] = -np.inf
+    k = min(k, len(sample) - 1)
+    nearest = np.argpartition(-close, k - 1, axis=1)[:, :k]
+    own = (sample @ centres.T).argmax(axis=1)
+    ranks = np.argsort(np.argsort(-(sample[:asked] @ centres.T), axis=1), axis=1)
+    found = ranks[np.arange(asked)[:, None], own[nearest]]
+    return int(np.quantile(found, p.coverage, method="higher")) + 1
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A column of lists of one length as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -159,16 +177,17 @@ def search(
     rows = rows.where(F.size("vector") == dim)
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(p.seed)), "vec_id").limit(p.sample).toArrow()
     lists = max(1, min(p.most_lists, total // p.per_list))
-    centres = _centres(_unit(_matrix(sample.column("vector").combine_chunks())), lists, p)
+    known = _unit(_matrix(sample.column("vector").combine_chunks()))
+    centres = _centres(known, lists, p)
     lists = len(centres)
-    probes = min(lists, p.probes)
+    probes = _probes(known, centres, k, p)
 
     def nearest(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             close = _unit(_matrix(batch.column("vector"))) @ centres.T
-            found = np.argpartition(-close, count - 1, axis=1)[:, :count] if count < lists else np.tile(np.arange(lists), (len(close), 1))
+            found = np.argpartition(-close, count - 1, axis=1)[:, :count]
             places = np.repeat(np.arange(len(close)), count)
             taken = batch.take(pa.array(places))
             yield pa.RecordBatch.from_arrays(
