@@ -142,13 +142,36 @@ def interpolation_splits(runs: DataFrame) -> DataFrame:
 
 
 def _fold_errors(runs: DataFrame, predictions: DataFrame, models: int) -> DataFrame:
-    """``(suite, fold, errors)``: mean relative errors of the array ``predicted`` over the runs at the fold.
+    """``(suite, fold, errors)``: mean relative errors of the array ``predicted``, one per model, over the runs at the fold.
 
-    One aggregate with a column per model, so a run stays one row whatever their number.
+    A run says only between which two predictions it lies. For run times above 0 the sum of
+    ``|p / t - 1|`` follows from the counts and the sums of ``1 / t`` between predictions,
+    so runs are reduced to a row per gap before any shuffle, whatever the number of models.
     """
-    tested = join_few(runs.withColumnRenamed("nodes", "fold"), predictions, ["suite", "fold"])
-    each = [F.avg(relative_deviation(F.get("predicted", F.lit(k)), F.col("minutes"))) for k in range(models)]
-    return tested.groupBy("suite", "fold").agg(F.array(*each).alias("errors"))
+    known = checkpointed(predictions.withColumn("cuts", F.array_sort("predicted")))
+    tested = join_few(runs.select("suite", F.col("nodes").alias("fold"), "minutes"), known, ["suite", "fold"], computed=True)
+    # Cuts at or below a run, by halving; each step is a column, so it is computed once.
+    tested, step = tested.withColumn("gap", F.lit(0)), 1 << models.bit_length()
+    while step := step // 2:
+        passed = F.get("cuts", F.col("gap") + F.lit(step - 1)) <= F.col("minutes")
+        tested = tested.withColumn("gap", F.col("gap") + F.when(passed, F.lit(step)).otherwise(F.lit(0)))
+    gaps = tested.groupBy("suite", "fold", "gap").agg(
+        F.count("*").alias("n"), F.sum(F.lit(1.0) / F.col("minutes")).alias("inverse")
+    )
+    held = gaps.groupBy("suite", "fold").agg(
+        F.sort_array(F.collect_list(F.struct("gap", "n", "inverse"))).alias("gaps"), F.sum("n").alias("n")
+    )
+
+    def error(p: Column) -> Column:
+        below = F.size(F.filter("cuts", lambda cut: cut < p))
+
+        def add(total: Column, g: Column) -> Column:
+            over = p * g["inverse"] - g["n"]
+            return total + F.when(g["gap"] > below, -over).otherwise(over)
+
+        return F.aggregate("gaps", F.lit(0.0), add) / F.col("n")
+
+    return held.join(known, ["suite", "fold"]).select("suite", "fold", F.transform("predicted", error).alias("errors"))
 
 
 def _per_fold(runs: DataFrame) -> DataFrame:

@@ -75,13 +75,15 @@ def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None)
     return OutEdges(cold, hot, hot_keys)
 
 
-def join_few(large: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def join_few(
+    large: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner", computed: bool = False
+) -> DataFrame:
     """Join a table with one row per key to one that may have any number of rows per key.
 
-    The small table is computed first, into a checkpoint, and its size is summed up. Up to
+    The small table is computed first, into a checkpoint unless it is ``computed``, and its size is summed up. Up to
     ``BROADCAST_BYTES`` it is broadcast, and the large one stays where it is. Beyond, the
     join is left to Spark, which splits partitions that turn out skewed.
     """
-    few = checkpointed(few)
+    few = few if computed else checkpointed(few)
     size = few.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
     return large.join(F.broadcast(few) if size <= BROADCAST_BYTES else few, list(keys), how)
