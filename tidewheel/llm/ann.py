@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 from tidewheel.llm.common import checkpointed
 
 
+#: Rows that a task holds at once while it deals vectors to lists.
+_EMITTED = 1 << 14
+
+
 @dataclass(frozen=True)
 class Params:
     """``sample`` vectors at most are fitted; there is a list for ``per_list`` vectors, up to ``most_lists``.
 
-    As many lists are probed as hold ``coverage`` of the ``k`` nearest that ``asked`` vectors of the sample have
-    in the sample, so vectors without clusters get more probes. ``tolerance`` is the bound of the test: with 2.1, about one
-    true neighbour in a thousand is dropped. ``block`` is how many candidates, and how many
-    queries, share a task's block.
+    As many lists are probed as hold ``coverage`` of the ``k`` nearest that ``asked`` vectors of
+    the sample have in the sample, so vectors without clusters get more probes. ``tolerance``
+    is the bound of the test: with 2.1, about one true neighbour in a thousand is dropped.
+    ``block`` is how many candidates, and how many queries, share a task's block.
     """
 
     sample: int = 16384
@@ -149,12 +153,14 @@ def search(
 ) -> DataFrame:
     """``k`` nearest of each query: query_id, rank (int, from 1), vec_id, score (double, cosine).
 
-    ``queries`` are searched among all ``vectors`` but their own key; both have ``key`` and ``vector``. Ties go to the smaller key. Vectors that are not ``usable``, rows without
-    key and vectors of another length than most take no part. Of rows with one key the
-    smallest vector counts. Every usable vector is in a list; only the lists' centres come from a
-    sample, chosen by a hash of the key. No queries or no other vectors, no result.
+    ``queries`` are searched among all ``vectors`` but their own key; both have ``key`` and
+    ``vector``. Ties go to the smaller key. Vectors that are not ``usable``, rows without key and
+    vectors of another length than most take no part. Of rows with one key the smallest vector
+    counts. Every usable vector is in a list; only the lists' centres and the number of probes
+    come from a sample, chosen by a hash of the key. No queries or no other vectors, no result.
 
-    A list that is too long for a block is dealt over several by a hash of the key, and so are its queries.
+    A list that is too long for a block is dealt over several by a hash of the key, and so are
+    its queries.
     """
     p = params
 
@@ -183,22 +189,22 @@ def search(
     probes = _probes(known, centres, k, p)
 
     def nearest(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
+        step = max(1, _EMITTED // count)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            close = _unit(_matrix(batch.column("vector"))) @ centres.T
-            found = np.argpartition(-close, count - 1, axis=1)[:, :count]
-            places = np.repeat(np.arange(len(close)), count)
-            taken = batch.take(pa.array(places))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.ravel().astype(np.int32)), taken.column("vec_id"), taken.column("vector")],
-                ["list", "vec_id", "vector"],
-            )
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                close = _unit(_matrix(part.column("vector"))) @ centres.T
+                found = np.argpartition(-close, count - 1, axis=1)[:, :count]
+                taken = part.take(pa.array(np.repeat(np.arange(len(close)), count)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.ravel().astype(np.int32)), taken.column("vec_id"), taken.column("vector")],
+                    ["list", "vec_id", "vector"],
+                )
 
     fields = "list int, vec_id long, vector array<double>"
     listed = checkpointed(rows.mapInArrow(lambda b: nearest(b, 1), fields))
-    asked = prepared(queries).where(F.size("vector") == dim).mapInArrow(lambda b: nearest(b, probes), fields)
-    asked = checkpointed(asked)
+    # Not kept: a query has a row for every probe.
+    asked = checkpointed(prepared(queries).where(F.size("vector") == dim)).mapInArrow(lambda b: nearest(b, probes), fields)
 
     def blocks(df: DataFrame) -> dict[int, int]:
         counts = df.groupBy("list").agg(F.count("*").alias("n")).collect()  # a row for each list
