@@ -112,8 +112,9 @@ def templates(shapes: DataFrame, tree: Tree = Tree()) -> DataFrame:
         "all_bad", F.sum(F.when(enough, F.col("bad"))).over(siblings)
     )
     share = F.col("all_bad") / F.col("all_labels")
-    error = F.sqrt(share * (1 - share) / F.col("labels"))
-    alike = enough & (F.abs(F.col("bad") / F.col("labels") - share) <= F.lit(tree.similar) * error)
+    labels = F.nullif("labels", F.lit(0))
+    error = F.sqrt(share * (1 - share) / labels)
+    alike = enough & (F.abs(F.col("bad") / labels - share) <= F.lit(tree.similar) * error)
     merged = F.when(alike, F.concat_ws("/", "top", F.lit("~"))).otherwise(F.col("template"))
     pooled = pooled.withColumn("branch", F.when(F.col("labels") > 0, merged).otherwise(F.col("template")))
     of_branch = Window.partitionBy("host", "depth", "top", "branch")
@@ -134,9 +135,9 @@ def filter_urls(
     """``pages`` with host, path, rule, verdict, template and badness.
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest
-    one decides. Elsewhere the template does. ``bad`` is a label (1, 0 or null) for urls; where it is null or not given, a rule's
-    verdict is the label, and other urls have none. A null url, or one without ``://``, has an
-    empty host and path, which no rule fits. Columns with the names of the results are
+    one decides. Elsewhere the template does. ``bad`` is a label (1, 0 or null) for urls; where
+    it is null or not given, a rule's verdict is the label, and other urls have none. A null
+    url, or one without ``://``, has an empty host and path, which no rule fits. Columns with the names of the results are
     replaced; repeated rows each count. No rows, no result.
     """
     made = ["host", "path", "rule", "verdict", "template", "badness"]
