@@ -63,10 +63,10 @@ def nnls(x, y):
     return best[1]
 
 
-def local(x, y, at, h):
+def local(x, y, at, h, tol=None):
     m = np.c_[np.ones_like(x), x]
     weighted = m.T * np.exp(-((x - at) ** 2) / (2 * h ** 2))
-    return np.array([1.0, at]) @ np.linalg.solve(weighted @ m + EPS * np.eye(2), weighted @ y)
+    return np.array([1.0, at]) @ np.linalg.solve(weighted @ m + (tol or EPS) * np.eye(2), weighted @ y)
 
 
 def folds(x, y):
@@ -152,6 +152,8 @@ def test_kernel_prediction_options(spark, runs):
     x, y = trimmed()["suite1"]
     for _, at, h, p in rows(runtimes.predict_kernel(runs, query, "bw")):
         assert p == pytest.approx(local(x, y, float(at), h), rel=1e-8)
+    for _, at, h, p in rows(runtimes.predict_kernel(runs, query, "bw", tol=0.5)):
+        assert p == pytest.approx(local(x, y, float(at), h, 0.5), rel=1e-8)
     for _, at, h, p in rows(runtimes.predict_kernel(runs, query, "bw", degree=0)):
         w = np.exp(-((x - at) ** 2) / (2 * h * h))
         assert p == pytest.approx((w @ y) / w.sum(), rel=1e-9)

@@ -43,21 +43,25 @@ def kernel_terms(x: Column, n: Column, total: Column, at: Column, bandwidth: Col
     return dict(zip(_SUMS, (w * n, w * n * u, w * n * u * u, w * total, w * total * u)))
 
 
-def ridge_line(sums: Callable[[str], Column], at: Column, center: Column, degree: int = 1) -> Column:
+def ridge_line(
+    sums: Callable[[str], Column], at: Column, center: Column, degree: int = 1, tol: float = EPSILON
+) -> Column:
     """Value at ``at`` of the line (or, with degree 0, level) that solves the weighted, ridged system."""
     m0, m1, m2, t0, t1 = map(sums, _SUMS)
     if degree == 0:
-        return t0 / (m0 + EPSILON)
-    ridge = F.lit(EPSILON)
+        return t0 / (m0 + tol)
+    ridge = F.lit(tol)
     top = m2 * t0 - m1 * t1 + (at - center) * (m0 * t1 - m1 * t0) + ridge * (t0 + at * (t1 + center * t0))
     trace = m0 + m2 + F.lit(2.0) * center * m1 + center * center * m0
     return top / (m0 * m2 - m1 * m1 + ridge * trace + ridge * ridge)
 
 
-def local_regression(points: Column, at: Column, bandwidth: Column, degree: int = 1) -> Column:
-    """Local regression with Gaussian weights at ``at`` over an array of training points."""
+def local_regression(
+    points: Column, at: Column, bandwidth: Column, degree: int = 1, tol: float = EPSILON
+) -> Column:
+    """Local regression with Gaussian weights at ``at`` over an array of training points; ``tol`` is its ridge."""
     if degree > 1:
-        return _solve_curve(_curve_sums(points, at, bandwidth, degree), at)
+        return _solve_curve(_curve_sums(points, at, bandwidth, degree), at, F.lit(float(tol)))
     center = nearest_x(points, at)
 
     def add(sums: Column, p: Column) -> Column:
@@ -65,7 +69,7 @@ def local_regression(points: Column, at: Column, bandwidth: Column, degree: int
         return F.struct(sums["c"].alias("c"), *[(sums[name] + term).alias(name) for name, term in terms.items()])
 
     start = F.struct(center.alias("c"), *[F.lit(0.0).alias(name) for name in _SUMS])
-    return F.aggregate(points, start, add, lambda sums: ridge_line(lambda name: sums[name], at, sums["c"], degree))
+    return F.aggregate(points, start, add, lambda sums: ridge_line(lambda name: sums[name], at, sums["c"], degree, tol))
 
 
 def _curve_sums(points: Column, at: Column, bandwidth: Column, degree: int) -> Column:
@@ -81,14 +85,14 @@ def _curve_sums(points: Column, at: Column, bandwidth: Column, degree: int) -> C
 
 
 @F.pandas_udf(T.DoubleType())
-def _solve_curve(sums: pd.Series, at: pd.Series) -> pd.Series:
+def _solve_curve(sums: pd.Series, at: pd.Series, tol: pd.Series) -> pd.Series:
     """Values at ``at`` of polynomials that solve the weighted, ridged systems given by their sums."""
     if not len(sums):
         return pd.Series([], dtype="float64")
     table = np.stack(sums.to_numpy())
     size = (table.shape[1] + 1) // 3
     power = np.arange(size)
-    system = table[:, power[:, None] + power[None, :]] + EPSILON * np.eye(size)
+    system = table[:, power[:, None] + power[None, :]] + tol.to_numpy()[:, None, None] * np.eye(size)
     solved = np.linalg.solve(system, table[:, 2 * size - 1:, None])[:, :, 0]
     return pd.Series((solved * at.to_numpy()[:, None] ** power).sum(axis=1))
 

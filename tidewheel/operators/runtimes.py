@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.hashing import hash_uniform
 from tidewheel.functions.kernel import (
+    EPSILON,
     ernest_products,
     ernest_sums,
     ernest_value,
@@ -114,14 +115,15 @@ def predict_ernest(models: DataFrame, query: DataFrame, x: str = "x") -> DataFra
 
 
 def predict_kernel(
-    runs: DataFrame, query: DataFrame, bandwidth: float | str = "bw", degree: int = 1, x: str = "x"
+    runs: DataFrame, query: DataFrame, bandwidth: float | str = "bw", degree: int = 1, x: str = "x", tol: float = EPSILON
 ) -> DataFrame:
     """Query rows ``(suite, x)`` with ``predicted`` minutes by local regression over the suite's runs.
 
-    ``bandwidth`` is a number, or the name of a column of the query.
+    ``bandwidth`` is a number, or the name of a column of the query; ``tol`` is added to the
+    diagonal of the system that is solved.
     """
     h = F.col(bandwidth) if isinstance(bandwidth, str) else F.lit(float(bandwidth))
-    value = local_regression(F.col("points"), F.col(x).cast("double"), h.cast("double"), degree)
+    value = local_regression(F.col("points"), F.col(x).cast("double"), h.cast("double"), degree, tol)
     known = join_few(query, scale_outs(runs), ["suite"])
     return known.select(*query.columns, value.alias("predicted"))
 
