@@ -272,3 +272,9 @@ def test_learning_curve(spark, runs):
     assert got["suite1", 7, "kernel"] == pytest.approx(mean)
     average = {(size, m): e for size, m, e in rows(runtimes.average_curve(curve))}
     assert average[6, "best"] == pytest.approx(np.mean([got[f"suite{k}", 6, "best"] for k in range(3)]))
+
+
+def test_queries_draw_as_often_as_the_reference():
+    from tidewheel import queries
+
+    assert queries.LEARNING_ITERATIONS == 2000

@@ -32,7 +32,7 @@ PIECE_ROWS = 20
 KERNEL_BANDWIDTH = 8
 CURVE_POINTS = 500
 LEARNING_SIZES = tuple(range(3, 16))
-LEARNING_ITERATIONS = 30
+LEARNING_ITERATIONS = 2000
 BULK_STEPS = 25
 BULK_EPS = 0.05
 START_CENTERS = [(1, 10.0, 10.0), (2, 40.0, 10.0), (3, 10.0, 40.0), (4, 40.0, 40.0), (5, 500.0, 500.0)]
