@@ -113,3 +113,14 @@ def test_neighbours_share_a_window():
     for doc, _, _, sequence, _ in packing.pack(docs, 160):
         together[sequence].add(doc % 4)
     assert sum(len(t) for t in together.values()) <= 1.5 * len(together)
+
+
+def test_rows_alike_are_spread_over_shards(spark):
+    docs = spark.createDataFrame([(None, "one two three")] * 400 + [(7, "")] * 400, "doc_id long, text string")
+    pieces = packing.pack_documents(docs, vocabulary(), shard=20).collect()
+    starts = defaultdict(list)
+    for p in pieces:
+        if p["start"] == 0:
+            starts[p["doc_id"]].append(p["sequence_id"] >> 32)
+    assert {k: len(v) for k, v in starts.items()} == {None: 400, 7: 400}
+    assert all(len(set(v)) > 1 for v in starts.values())

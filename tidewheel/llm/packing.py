@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidewheel.llm.common import checkpointed
+
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 END_ID = 1
@@ -216,14 +218,15 @@ def pack_documents(
     its closing id only. Repeated rows, and rows without key, are documents of their own.
     Other columns are not read. No rows, no result.
 
-    A shard is a topic and a hash of the text's ids: each topic has as many shards as any
-    other, so that one that a third of all documents share is spread as well.
+    A shard is a topic and a hash of the text's ids and of the row's position, fixed in a
+    checkpoint: each topic has as many shards as any other, so that one that a third of all
+    documents share is spread as well, and so are rows alike in key and text.
     """
     wanted = max(1, -(-docs.count() // shard))
     topics = min(TOPICS, wanted)
     spread = -(-wanted // topics)
-    rows = tokenized(docs, path, key, text)
-    hashed = F.xxhash64("doc_id", F.crc32("ids"))
+    rows = checkpointed(tokenized(docs, path, key, text).withColumn("position", F.monotonically_increasing_id()))
+    hashed = F.xxhash64("doc_id", F.crc32("ids"), "position")
     rows = rows.select(
         "doc_id", "ids", (F.col("topic") % topics * spread + F.pmod(hashed, F.lit(spread))).alias("shard")
     )
