@@ -1,0 +1,132 @@
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tests.llm.helpers import DOCS, odd_documents, ODD
+from tidewheel.llm import phrases
+
+
+def counted(rows):
+    """Occurrences of all phrases by language, words by language, and the smallest key of each phrase."""
+    grams, totals, seen = Counter(), Counter(), {}
+    for key, text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for n in range(1, 5):
+                for i in range(len(words) - n + 1):
+                    p = (lang, tuple(words[i : i + n]))
+                    grams[p] += 1
+                    if key is not None:
+                        seen[p] = min(seen.get(p, key), key)
+    return grams, totals, seen
+
+
+def brute(rows, least, top):
+    grams, totals, seen = counted(rows)
+    found = {p: a for p, a in grams.items() if a >= least and len(p[1]) > 1}
+    out = []
+    for (lang, words), a in found.items():
+        longer = [
+            b for (other, w), b in found.items()
+            if other == lang and len(w) > len(words) and any(w[i : i + len(words)] == words for i in range(len(w)))
+        ]
+        if any(100 * b >= 80 * a for b in longer):
+            continue
+        cuts = []
+        for k in range(1, len(words)):
+            left, right = grams[lang, words[:k]], grams[lang, words[k:]]
+            cuts.append((2000000 * a // (left + right), k, left, right))
+        score, _, left, right = min(cuts)
+        out.append((lang, " ".join(words), a, left, right, totals[lang], score, seen.get((lang, words))))
+    ranked = []
+    for lang in {r[0] for r in out}:
+        own = sorted((r for r in out if r[0] == lang), key=lambda r: (-r[6], -r[2], r[1].encode()))
+        ranked += [(lang, rank, *r[1:]) for rank, r in enumerate(own[:top], 1)]
+    return sorted(ranked)
+
+
+def generated(seed, docs=120):
+    rng = np.random.default_rng(seed)
+    words = ["The", "of", "New", "york", "É", "ß", "a" * 70, "b-c", "1", "x", "y", "z"]
+    marks = [" ", "  ", "\t", " ", ". ", ", ", "\n", "!", "\x0b", " \r "]
+    rows = []
+    for key in range(docs):
+        parts = []
+        for _ in range(int(rng.integers(0, 60))):
+            parts += [words[int(rng.zipf(1.6)) % len(words)], marks[int(rng.integers(0, len(marks)))]]
+        lang = ["en", "fr", None, "und"][int(rng.integers(0, 4))]
+        rows.append((None if key % 17 == 0 else key // 2, "".join(parts), lang))
+    return rows
+
+
+def found(df, **options):
+    got = phrases.collocations(df, **options)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score", "seen"]
+    return sorted(tuple(r) for r in got.collect())
+
+
+@pytest.mark.parametrize("width", [64, 5])
+def test_against_counting(spark, width):
+    """With five bits, almost every fingerprint has several phrases."""
+    rows = generated(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = brute(rows, 4, 25)
+    assert len(want) > 50
+    assert found(df, least=4, top=25, width=width) == want
+
+
+def test_longer_phrases_take_the_place_of_their_parts(spark):
+    rows = [(k, "alpha beta gamma. beta gamma" if k < 2 else "alpha beta gamma", "en") for k in range(10)]
+    rows += [(99, "one two three four five", "en")] * 10
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = found(df, least=10, top=2000)
+    assert got == brute(rows, 10, 2000)
+    assert [r[2] for r in got] == ["one two three four", "two three four five", "alpha beta gamma"]
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    rows = [(k, t, lang) for k, t, lang, *_ in ODD]
+    assert found(odd_documents(spark), least=2) == brute(rows, 2, 2000)
+
+
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert phrases.collocations(empty).count() == 0
+    assert phrases.frequent_phrases(spark.createDataFrame([(1, "", "en", None, 0), (2, None, None, None, 0)], DOCS)).count() == 0
+
+
+def test_words_of_each_language_and_pointers(spark):
+    rows = generated(2, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams, totals, seen = counted(rows)
+    want = {(lang, " ".join(w), n, seen.get((lang, w))) for (lang, w), n in grams.items() if n >= 3}
+    want |= {(lang, "", n, None) for lang, n in totals.items() if n}
+    got = {tuple(r) for r in phrases.frequent_phrases(df, least=3).collect() if r.n}
+    assert got == want
+
+
+def test_slices_end_between_pieces(monkeypatch):
+    """Words, pieces and rows do not depend on where a batch is sliced."""
+    texts = ["one two. three four five", "", "x" * 50 + " y z", "a b c d e f g h i j k l m n o p q r s t u v w. end", "last"]
+    batch = pa.record_batch({"text": pa.array(["skipped", *texts]).slice(1)})
+
+    def told():
+        out, before = [], 0
+        for words, row in phrases._slices(batch):
+            names = words.named().to_pylist()
+            out += [(w, p + before, int(r), int(v)) for w, p, r, v in zip(names, words.piece.tolist(), row, words.value)]
+            before = out[-1][1] + 1 if out else 0
+        pieces = sorted({p for _, p, _, _ in out})
+        return [(w, pieces.index(p), r, v) for w, p, r, v in out]
+
+    whole = told()
+    assert [w for w, *_ in whole] == re.findall(r"[^ .]+", " ".join(texts))
+    for size in (1, 7, 20, 64):
+        monkeypatch.setattr(phrases, "SLICE", size)
+        assert told() == whole

@@ -200,6 +200,53 @@ select page_id, s.host, path, rule,
 from said s join rows_ r on s.host = r.host and s.shape = r.shape join judged j on r.host = j.host and r.template = j.template
 """
 
+OP11 = r"""
+with docs as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents
+)
+select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size,
+  row_number() over (partition by t order by doc_id) = 1 as kept, sha256(t) as text_sha256
+from docs window w as (partition by t)
+"""
+
+OP12 = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), words as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), totals as (
+  select lang, sum(len(w))::bigint as n from words group by lang
+), grams as (
+  select lang, size, array_to_string(w[i:i + size - 1], ' ') as phrase
+  from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as i from words, (values (1), (2), (3), (4)) s(size)
+        where len(w) >= size)
+), known as (
+  select lang, size, phrase, count(*) as a from grams group by all having count(*) >= 30
+), candidates as (
+  select lang, size, phrase, a, string_split(phrase, ' ') as w from known where size > 1
+), cuts as (
+  select lang, phrase, a, k, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest
+  from (select *, unnest(range(1, size)) as k from candidates)
+), scored as (
+  select c.lang, c.phrase, c.a, k, x.a as l, y.a as r, (2000000::hugeint * c.a // (x.a::hugeint + y.a))::bigint as score
+  from cuts c join known x on x.lang = c.lang and x.phrase = first join known y on y.lang = c.lang and y.phrase = rest
+), lowest as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inner_phrases as (
+  select lang, a, array_to_string(w[i:i + m - 1], ' ') as phrase
+  from (select lang, a, w, m, unnest(range(1, size - m + 2)) as i from candidates, (values (2), (3)) s(m) where m < size)
+), longer as (
+  select lang, phrase, max(a) as longer from inner_phrases group by all
+)
+select lang, rank, phrase, a, l, r, n, score from (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+  from lowest join totals using (lang) left join longer using (lang, phrase)
+  where longer is null or 100::hugeint * longer < 80::hugeint * a
+) where rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ann": OP1,
     "op3_chat": OP3,
@@ -207,4 +254,6 @@ ORACLES: dict[str, str] = {
     "op5_mixing": OP5,
     "op7_sharding": OP7,
     "op10_urls": OP10,
+    "op11_exact": OP11,
+    "op12_phrases": OP12,
 }

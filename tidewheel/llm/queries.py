@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import ann, chat, html, mixing, packing, quality, rules, sharding, simhash, urls
-from tidewheel.llm.common import checkpointed, crc_fold, table, word_count
+from tidewheel.llm import (
+    ann, chat, exact, html, mixing, packing, periodic, phrases, quality, rules, sharding, simhash, urls,
+)
+from tidewheel.llm.common import checkpointed, crc_fold, table, word_count, words_of
 
 #: The vocabulary of the packing query.
 VOCABULARY = "byte_bpe_50k.json"
@@ -167,6 +169,38 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of exact copies of every document, and which of them stays."""
+    found = exact.groups_of_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language of all documents."""
+    found = phrases.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which is given a periodic end first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", words_of(F.col("text")).alias("words"))
+    docs = docs.withColumn("words", periodic.planted(F.col("words"), F.col("doc_id")))
+    found = docs.withColumn("found", periodic.periodic(F.col("words")))
+    runs = F.col("found.runs")
+    told = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(told, lambda t: F.concat(t, F.lit("\n"))), "")
+    found = found.withColumns(
+        {
+            "n_runs": F.size(runs).cast("long"),
+            "best": periodic.best_run(runs),
+            "runs_sha256": F.sha2(lines.cast("binary"), 256),
+            "collapsed_sha256": F.sha2(periodic.collapsed(F.col("words"), F.col("found.kept")).cast("binary"), 256),
+        }
+    )
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_packing": op2_packing,
@@ -178,4 +212,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_urls": op10_urls,
+    "op11_exact": op11_exact,
+    "op12_phrases": op12_phrases,
+    "op13_periodic": op13_periodic,
 }
