@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import checkpointed
+from tidewheel.llm.common import checkpointed, shuffles_dropped
 
 #: Words of the longest phrase, occurrences of a candidate, share of them within a longer one that drops it.
 LONGEST, LEAST, WITHIN = 4, 30, 80
@@ -307,11 +307,13 @@ def frequent_phrases(
         counts = rows.drop("key").mapInArrow(
             lambda batches, sizes=sizes, sent=sent: _counts(batches, sizes, sent, width), "print long, n long"
         )
-        bits |= _bits_of(counts.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+        with shuffles_dropped(docs.sparkSession):
+            bits |= _bits_of(counts.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
         sent = context.broadcast(bits.tobytes())
     found = rows.mapInArrow(lambda batches: _texts(batches, sent, width), "lang string, phrase string, n long, seen long")
     counted = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
-    counted = checkpointed(counted.where((F.col("n") >= least) | (F.col("phrase") == "")))
+    with shuffles_dropped(docs.sparkSession):
+        counted = checkpointed(counted.where((F.col("n") >= least) | (F.col("phrase") == "")))
     return counted.withColumn("seen", F.nullif("seen", F.lit(np.iinfo(np.int64).max)))
 
 
