@@ -96,3 +96,10 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(none).collect() == []
     assert simhash.one_of_each(none, simhash.near_duplicates(none)).collect() == []
+
+
+def test_a_key_with_a_copy_and_another_text(spark):
+    a, b = "alpha beta gamma delta epsilon", "one two three four five six"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    kept = simhash.one_of_each(docs, simhash.near_duplicates(docs))
+    assert sorted(tuple(r) for r in kept.collect()) == [(3, a), (5, b)]

@@ -254,13 +254,13 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents without duplicates: of each group in ``found`` the smallest key stays.
 
-    Of rows with the same key one stays; of rows without a key, one for each text.
+    Rows are told apart by key and fingerprint: of rows alike in both one stays, of rows without a key
+    one for each text, and a row goes only if its own fingerprint is in a group with a smaller key.
     """
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    gone = found.where(F.col(key) != F.col("component_id")).select(key, F.col("print").alias("__print")).distinct()
     plain = F.when(F.col(key).isNull(), F.coalesce(F.col(text), F.lit("")))
-    return docs.join(gone, key, "left_anti").withColumn("__plain", plain).dropDuplicates([key, "__plain"]).select(
-        *docs.columns
-    )
+    named = docs.withColumns({"__print": fingerprint(F.col(text)), "__plain": plain})
+    return named.join(gone, [key, "__print"], "left_anti").dropDuplicates([key, "__print", "__plain"]).select(*docs.columns)
 
 
 def hex_of(prints: Column) -> Column:
