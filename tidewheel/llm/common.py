@@ -38,18 +38,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Inside, the session has these settings; ``__`` in a name stands for a dot."""
+    named = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name) for name in named}
+    for name, value in named.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def shuffles_dropped(spark: SparkSession):
     """Inside, an action's shuffle files are dropped once it has ended, not when its tables are forgotten.
 
     For actions that leave nothing to read but what they return or write.
     """
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Inside, Python gets batches of about this many bytes, for functions that hold several times their input."""
+    return settings(spark, spark__sql__execution__arrow__maxBytesPerBatch=size)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -31,7 +31,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SHARD = 512
 #: Classes of topics that keep apart; each class is dealt over many shards.
 TOPICS = 8
-_CACHED = 1 << 19
+_CACHED = 1 << 17
 
 
 class _Words(dict):
