@@ -215,3 +215,71 @@ def test_both_ways_to_join_a_few_rows(spark, monkeypatch, limit, partitions):
     assert left.count() == 3000 and left.filter("t is null").count() == large.filter("k > 4").count()
     hot = graph.adjacency(frame(spark, [(0, k) for k in range(500)] + [(1, 2)]), max_neighbors=50)
     assert hot.filter("v = 0").count() > 5 and hot.agg(F.sum(F.size("neighbors"))).first()[0] == 501
+
+
+def test_contraction_against_union_find(spark, loose, partitions):
+    from tidewheel.operators.components import contracted_components
+
+    labels, _ = contracted_components(loose)
+    assert dict(rows(labels)) == union_find([tuple(r) for r in loose.collect()])
+
+
+def test_contraction_of_a_long_chain_loops_and_names(spark):
+    from tidewheel.operators.components import contracted_components
+
+    chain = [(k, k + 1) for k in range(1, 1200)] + [(9000, 9000), (9001, 9002), (9002, 9001)]
+    labels, steps = contracted_components(frame(spark, chain))
+    assert dict(rows(labels)) == union_find(chain) and steps < 15
+    named, _ = contracted_components(frame(spark, [("c", "b"), ("b", "a"), ("z", "z")], "string"))
+    assert dict(rows(named)) == {"a": "a", "b": "a", "c": "a", "z": "z"}
+    assert contracted_components(frame(spark, [(1, 2)]).limit(0))[0].count() == 0
+
+
+def test_steps_write_what_changed_and_leave_no_files(spark, tmp_path, monkeypatch):
+    from tidewheel.operators import components, pagerank as ranks
+    from tidewheel.plans import state
+
+    loops = []
+
+    class Watched(state.CoPartitioned):
+        def __enter__(self):
+            loops.append(self)
+            return super().__enter__()
+
+    monkeypatch.setattr(components, "CoPartitioned", Watched)
+    monkeypatch.setattr(ranks, "CoPartitioned", Watched)
+    comb = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1006)]
+    components.connected_components(frame(spark, comb), 6)
+    # All vertices once, what fell in each step, the labels when the log was merged, and the result.
+    assert loops[0].written[0] == loops[0].written[-1] == 407
+    assert loops[0].written[1:5] == [405, 5, 4, 3]
+    pagerank_delta(frame(spark, comb), 407, 4, 0.3)
+    assert loops[1].written[1:-1] == [5, 4, 3, 2]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    assert before == "true"
+
+
+def test_a_step_moves_messages_only(spark, no_broadcast, monkeypatch):
+    """One exchange: neither the state nor the edges move, nor the ranks that sums are compared with."""
+    from tidewheel.plans import skew
+    from tidewheel.plans.state import CoPartitioned
+
+    monkeypatch.setattr(skew, "LEAST_PER_PARTITION", 4)
+    edges = frame(spark, EDGES)
+    with CoPartitioned(spark, skew.partitions_for(spark, len(EDGES))) as loop:
+        pages, seen = loop.keep(graph.out_degrees(edges).repartition("src"), edges=F.sum("outdeg"))
+        assert (seen["rows"], seen["edges"]) == (5, 8)
+        layout = skew.out_edges(edges, pages, total=len(EDGES))
+        ranks = pages.select(F.col("src").alias("v"), F.lit(1.0).alias("rank"))
+        summed = layout.receive(ranks).groupBy(F.col("dst").alias("v")).agg(F.sum("rank").alias("rank"))
+        plan = summed.join(ranks.withColumnRenamed("rank", "old"), "v", "left")
+        lines = plan._jdf.queryExecution().executedPlan().toString().split("\n")
+        layout.release()
+    cached, exchanges = None, 0
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if cached is not None and depth > cached:
+            continue
+        cached = depth if "InMemoryRelation" in line else None
+        exchanges += "Exchange " in line
+    assert exchanges == 1 and any("hashpartitioning(dst" in line and ", 3)" in line for line in lines)

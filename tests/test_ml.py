@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.mllib.regression import LabeledPoint, LinearRegressionWithSGD
@@ -150,3 +152,37 @@ def test_plain_descent_options(spark):
     got = regression.sgd_least_squares(df, 3, 0.1, decay="none", fit_intercept=True)
     assert [r.weight for r in got.orderBy("pos").collect()] == pytest.approx([w, b])
     assert regression.squared_error(df, [w]).first()[0] == pytest.approx(((w - 3) ** 2 + (2 * w - 5) ** 2) / 2)
+
+
+def test_many_centers_in_blocks(spark, no_broadcast, monkeypatch):
+    """Crowded centres, ties, points far outside, and points without coordinates."""
+    monkeypatch.setattr(clustering, "_BLOCK_CENTERS", 8)
+    rng = np.random.default_rng(7)
+    places = np.round(np.concatenate([rng.normal(0, 1, (150, 2)), rng.uniform(-40, 40, (150, 2)), np.full((30, 2), 5.0)]), 1)
+    centers = [(int(i), float(x), float(y)) for i, (x, y) in zip(rng.permutation(len(places)), places)]
+    values = [tuple(map(float, v)) for v in np.round(rng.uniform(-60, 60, (200, 2)), 1)] + [(5.0, 5.0)]
+    df = points(spark, values + [(None, 1.0)])
+    got = clustering.nearest_center(df, spark.createDataFrame(centers, "id int, x double, y double")).collect()
+    assert len(got) == len(values) + 1
+    for r in got:
+        if r.x is None:
+            assert r.center_id == -1
+            continue
+        want = min((math.sqrt((r.x - x) * (r.x - x) + (r.y - y) * (r.y - y)), i) for i, x, y in centers)
+        assert (r.distance, r.center_id) == want
+
+
+def test_steps_with_many_centers(spark):
+    rng = np.random.default_rng(8)
+    values = [tuple(map(float, v)) for v in rng.uniform(0, 10, (600, 2))]
+    start = [(i, *map(float, c)) for i, c in enumerate(rng.uniform(0, 10, (90, 2)))]
+    current = start
+    for _ in range(2):
+        of: dict = {}
+        for x, y in values:
+            _, i = min((((x - cx) * (x - cx) + (y - cy) * (y - cy)) ** 0.5, i) for i, cx, cy in current)
+            of.setdefault(i, []).append((x, y))
+        current = [(i, *np.mean(v, axis=0)) for i, v in sorted(of.items())]
+    _, centers = clustering.kmeans(points(spark, values), start, 2)
+    got = sorted(tuple(r) for r in centers.collect())
+    assert np.allclose(np.array(got), np.array(current))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import sys
 from collections.abc import Iterable, Sequence
 
@@ -11,47 +12,56 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.plans.state import materialize
+from tidewheel.functions.kernel import number_array
+from tidewheel.plans.state import checkpointed, materialize
 
-# Up to this many centres a nearest-centre expression is spelled out in full.
+# Up to this many centres are literals of a nearest-centre expression.
 _UNROLLED_CENTERS = 64
+# Centres of a block, where there are more, and blocks at most; beyond, blocks get larger.
+_BLOCK_CENTERS, _BLOCKS = 256, 4096
+_CENTER = "id int, x double, y double"
 
+Centers = DataFrame | Iterable[Sequence[float]]
 
-def center_rows(centers: DataFrame | Iterable[Sequence[float]]) -> list[tuple[int, float, float]]:
-    """Centres ``(id, x, y)`` as a list ordered by id. They are the model, which every task holds."""
+
+def _listed(rows) -> list[tuple[int, float, float]]:
+    return sorted((int(i), float(x), float(y)) for i, x, y in rows)
+
+
+def center_rows(centers: Centers) -> list[tuple[int, float, float]] | DataFrame:
+    """Centres ``(id, x, y)``: a list ordered by id if they are few, else a table, which stays on Spark."""
     if isinstance(centers, DataFrame):
-        centers = centers.select("id", "x", "y").collect()
-    return sorted((int(i), float(x), float(y)) for i, x, y in centers)
+        centers = centers.select(F.col("id").cast("int"), F.col("x").cast("double"), F.col("y").cast("double"))
+        few = centers.limit(_UNROLLED_CENTERS + 1).collect()
+        return _listed(few) if len(few) <= _UNROLLED_CENTERS else centers
+    rows = _listed(centers)
+    return rows if len(rows) <= _UNROLLED_CENTERS else SparkSession.active().createDataFrame(rows, _CENTER)
 
 
-def nearest_center(points: DataFrame, centers: DataFrame | Iterable[Sequence[float]]) -> DataFrame:
+def _distance(x: Column, y: Column, cx, cy) -> Column:
+    return F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))
+
+
+def nearest_center(points: DataFrame, centers: Centers) -> DataFrame:
     """Points with ``center_id`` and ``distance`` of the nearest centre; the lowest id wins a tie.
 
-    Without centres the id is -1. The centres are literals, so nothing is shuffled.
+    Without centres the id is -1. A few centres are literals, so nothing is shuffled. More are cut
+    into blocks by place; a point meets the blocks one after another, the likeliest first, until
+    no block that is left can hold a nearer centre.
     """
     rows = center_rows(centers)
-    x, y = F.col("x"), F.col("y")
-
-    def distance(cx, cy) -> Column:
-        return F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))
-
     limit = F.lit(sys.float_info.max)
-    if not rows:
+    if isinstance(rows, DataFrame):
+        placed, nearest, center = _nearest_of_blocks(points, rows)
+    elif not rows:
         return points.withColumns({"center_id": F.lit(-1), "distance": limit})
-    if len(rows) > _UNROLLED_CENTERS:
-        # Three literals, whatever the number of centres.
-        ids, xs, ys = (F.from_json(F.lit(json.dumps(column)), f"array<{kind}>") for column, kind in zip(zip(*rows), ("int", "double", "double")))
-        best = F.array_min(
-            F.transform(F.arrays_zip(xs.alias("x"), ys.alias("y"), ids.alias("id")), lambda c: F.struct(distance(c["x"], c["y"]).alias("d"), c["id"].alias("id")))
-        )
-        placed = points.withColumn("_best", best)
-        nearest, center = F.col("_best.d"), F.col("_best.id")
     else:
         names = [f"_d{k}" for k in range(len(rows))]
-        placed = points.withColumns({name: distance(F.lit(cx), F.lit(cy)) for name, (_, cx, cy) in zip(names, rows)})
+        found = {n: _distance(F.col("x"), F.col("y"), F.lit(cx), F.lit(cy)) for n, (_, cx, cy) in zip(names, rows)}
+        placed = points.withColumns(found)
         placed = placed.withColumn("_best", F.least(*names) if len(names) > 1 else F.col(names[0]))
         nearest = F.col("_best")
         center = F.lit(rows[-1][0])
@@ -64,7 +74,79 @@ def nearest_center(points: DataFrame, centers: DataFrame | Iterable[Sequence[flo
     )
 
 
-def lloyd_step(points: DataFrame, centers: DataFrame | Iterable[Sequence[float]]) -> DataFrame:
+def _blocks(centers: DataFrame) -> tuple[DataFrame, list[tuple]]:
+    """Blocks of near centres (block, members), and the box and one centre of each block.
+
+    Centres are cut into slabs by x and each slab into blocks by y, at about equal counts, so that
+    there are ``_BLOCKS`` at most; only cuts and boxes come to the driver.
+    """
+    slabs = min(math.isqrt(_BLOCKS), math.ceil(math.sqrt(centers.count() / _BLOCK_CENTERS)))
+    shares = [k / slabs for k in range(1, slabs)]
+
+    def cuts(value: str) -> Column:
+        return F.percentile_approx(value, shares, 10_000) if shares else F.array().cast("array<double>")
+
+    def place(value: str, at: Column) -> Column:
+        return F.size(F.filter(at, lambda c: c < F.col(value)))
+
+    at_x = centers.agg(cuts("x").alias("c")).first()["c"]
+    slabbed = centers.withColumn("slab", place("x", number_array(at_x) if at_x else F.array().cast("array<double>")))
+    at_y = slabbed.groupBy("slab").agg(cuts("y").alias("c"))
+    member = F.struct("id", "x", "y")
+    blocks = checkpointed(
+        slabbed.join(F.broadcast(at_y), "slab")
+        .withColumn("block", F.col("slab") * slabs + place("y", F.col("c")))
+        .groupBy("block")
+        .agg(
+            F.collect_list(member).alias("members"),
+            *(f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)),
+            F.min(member).alias("one"),
+        )
+    )
+    boxes = blocks.select("block", "min_x", "max_x", "min_y", "max_y", "one.x", "one.y").collect()
+    return blocks.select("block", "members"), [tuple(b) for b in boxes]
+
+
+def _nearest_of_blocks(points: DataFrame, centers: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Points with their nearest centre among blocks, and the columns of its distance and id.
+
+    A block's box bounds the distance to its centres from below, its one known centre the
+    distance to the nearest from above. The joins with blocks are Spark's to broadcast or shuffle.
+    """
+    blocks, boxes = _blocks(centers)
+    x, y = F.col("x"), F.col("y")
+    literal = F.from_json(F.lit(json.dumps([list(map(float, b)) for b in boxes])), "array<array<double>>")
+
+    def bounds(box: Column) -> Column:
+        out_x = F.greatest(box[1] - x, x - box[2], F.lit(0.0))
+        out_y = F.greatest(box[3] - y, y - box[4], F.lit(0.0))
+        return F.struct(
+            F.sqrt(out_x * out_x + out_y * out_y).alias("least"),
+            _distance(x, y, box[5], box[6]).alias("known"),
+            box[0].cast("int").alias("block"),
+        )
+
+    bounded = points.withColumn("_bounds", F.transform(literal, bounds))
+    known = F.array_min(F.transform("_bounds", lambda b: b["known"]))
+    bounded = bounded.withColumn("_known", known).withColumn(
+        "_asked", F.array_sort(F.filter("_bounds", lambda b: b["least"] <= F.col("_known")))
+    ).drop("_bounds", "_known")
+    rounds = bounded.agg(F.max(F.size("_asked"))).first()[0] or 0
+    placed = bounded.withColumn("_best", F.lit(None).cast("struct<d:double,id:int>"))
+    for k in range(rounds):
+        asked = F.get(F.col("_asked"), F.lit(k))
+        open_ = F.col("_best").isNull() | (asked["least"] <= F.col("_best.d"))
+        met = placed.withColumn("_block", F.when(open_, asked["block"])).join(
+            blocks.select(F.col("block").alias("_block"), "members"), "_block", "left"
+        )
+        near = F.array_min(
+            F.transform("members", lambda c: F.struct(_distance(x, y, c["x"], c["y"]).alias("d"), c["id"].alias("id")))
+        )
+        placed = met.withColumn("_best", F.least("_best", near)).drop("_block", "members")
+    return placed, F.col("_best.d"), F.col("_best.id")
+
+
+def lloyd_step(points: DataFrame, centers: Centers) -> DataFrame:
     """``(id, x, y)``: the mean of the points nearest to each centre; a centre without points is gone."""
     return (
         nearest_center(points.select("x", "y"), centers)
@@ -75,7 +157,7 @@ def lloyd_step(points: DataFrame, centers: DataFrame | Iterable[Sequence[float]]
 
 def kmeans(
     points: DataFrame,
-    centers: DataFrame | Iterable[Sequence[float]],
+    centers: Centers,
     iters: int = 10,
     path: str | None = None,
     final_step: str = "last",
@@ -102,12 +184,14 @@ def kmeans(
         moved = lloyd_step(xy, current)
         if path is not None:
             moved = materialize(moved, path, step, single_file=True)
+        elif isinstance(current, DataFrame):
+            moved = checkpointed(moved)
         current = center_rows(moved)
     if cache and iters > 1:
         xy.unpersist()
     chosen = before if final_step == "previous" else current
     clustered = nearest_center(points, chosen).drop("distance")
-    return clustered, spark.createDataFrame(chosen, "id int, x double, y double")
+    return clustered, chosen if isinstance(chosen, DataFrame) else spark.createDataFrame(chosen, _CENTER)
 
 
 def nearest_vector(points: DataFrame, centers: Sequence[Sequence[float]], features: str = "features") -> DataFrame:

@@ -1,13 +1,16 @@
-"""Connected components by spreading the smallest label."""
+"""Connected components: the smallest label spread step by step, or edges contracted until none is left."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.operators.graph import initial_labels, out_degrees, undirected
-from tidewheel.plans.skew import out_edges
-from tidewheel.plans.state import LoopState
+from tidewheel.operators.graph import out_degrees, undirected
+from tidewheel.plans.skew import out_edges, partitions_for
+from tidewheel.plans.state import CoPartitioned, LoopState, checkpointed, observed
+
+#: Tables of changed labels that are read beside the base table before they are merged into it.
+LOG = 4
 
 
 def connected_components(
@@ -20,74 +23,110 @@ def connected_components(
 ):
     """``(v, component)`` after ``iters`` supersteps, or fewer when no label changes.
 
-    Only vertices whose label fell in the last step send it on. ``materialize``
-    names a folder that keeps the state of every step. With ``stats`` the result
-    is a pair: the labels, and ``(op, step, rows_in, rows_out)``.
+    Only vertices whose label fell in the last step send it on, and a step writes the labels that
+    fell and no others. ``to_convergence`` goes on until none does; without ``materialize`` and
+    ``stats`` it contracts the edges instead. ``materialize`` names a folder that keeps the labels
+    after every step. With ``stats`` the result is a pair: the labels, and
+    ``(op, step, rows_in, rows_out)``.
     """
+    if to_convergence and not stats and materialize is None:
+        return contracted_components(edges)[0]
     spark = edges.sparkSession
-    loop = LoopState(spark, "components", materialize)
+    files = LoopState(spark, "components", materialize) if materialize else None
     both = undirected(edges)
-    degrees = loop.save(out_degrees(both), "degrees")
-    layout = out_edges(both, degrees, hot_rows)
-
-    labels = degrees.select(F.col("src").alias("v"), F.col("src").alias("component"), F.lit(True).alias("changed"))
-    kind = labels.schema["component"].dataType
-    counts = None
-    step = 0
-    while to_convergence or step < iters:
-        senders = labels.filter("changed").select("v", "component")
-        # The labels themselves travel in the shuffle of the messages.
-        heard = layout.receive(senders).select(
-            F.col("dst").alias("v"), F.col("component").alias("heard"), F.lit(None).cast(kind).alias("component")
-        )
-        own = labels.select("v", F.lit(None).cast(kind).alias("heard"), "component")
-        met = (
-            heard.unionByName(own)
-            .groupBy("v")
-            .agg(
-                F.min("heard").alias("heard"),
-                F.max("component").alias("component"),
-                F.nullif(F.count("heard"), F.lit(0)).alias("messages"),
+    degrees = checkpointed(out_degrees(both))
+    total = degrees.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
+    rows: list[tuple] = []
+    with CoPartitioned(spark, partitions_for(spark, total)) as loop:
+        own = degrees.select(F.col("src").alias("v"), F.col("src").alias("component"), "outdeg").repartition("v")
+        own, _ = loop.keep(own)
+        layout = out_edges(both, own.select(F.col("v").alias("src"), "outdeg"), hot_rows, total)
+        senders = base = own.select("v", "component")
+        log: list[DataFrame] = []
+        step = 0
+        while to_convergence or step < iters:
+            heard = (
+                layout.receive(senders)
+                .groupBy(F.col("dst").alias("v"))
+                .agg(F.min("component").alias("heard"), F.count("*").alias("messages"))
             )
-        )
-        lower = F.col("heard") < F.col("component")
-        labels = met.select(
-            "v",
-            F.when(lower, F.col("heard")).otherwise(F.col("component")).alias("component"),
-            F.coalesce(lower, F.lit(False)).alias("changed"),
-            *(["messages"] if stats else []),
-        )
-        labels = loop.advance(labels, "labels", step)
-        step += 1
-        if stats:
-            row = _step_counts(labels, step)
-            counts = row if counts is None else counts.unionByName(row)
-            counts = loop.advance(counts, "stats", step)
-        if labels.filter("changed").isEmpty():
-            break
-    layout.release()
-    loop.finish()
-    result = labels.select("v", "component")
+            met, seen = observed(
+                _latest(heard.hint("shuffle_hash").join(base, "v"), log), messages=F.sum("messages"), heard=F.count("heard")
+            )
+            lower = met.where("heard < component").select("v", F.col("heard").alias("component"))
+            senders, changed = loop.keep(lower)
+            step += 1
+            messages = seen.get["messages"] or 0
+            rows += [
+                ("neighbor_join", step, messages, messages),
+                ("component_filter", step, seen.get["heard"], changed["rows"]),
+            ]
+            log.append(senders)
+            if files:
+                files.advance(_latest(base, log), "labels", step - 1)
+            if not changed["rows"]:
+                break
+            if len(log) == LOG:
+                merged, _ = loop.keep(_latest(base, log))
+                loop.drop(*log[:-1])
+                base, log = merged, []
+        result = loop.result(_latest(base, log))
+        layout.release()
     if not stats:
         return result
-    return result, counts if counts is not None else _no_counts(spark)
+    return result, spark.createDataFrame(rows, "op string, step int, rows_in bigint, rows_out bigint")
 
 
-def _step_counts(labels: DataFrame, step: int) -> DataFrame:
-    """Records through the two joins of a step, read off the written state."""
-    totals = labels.agg(
-        F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"),
-        F.count("messages").alias("heard"),
-        F.count_if("changed").alias("changed"),
-    )
-    rows = F.array(
-        F.struct(F.lit("neighbor_join").alias("op"), F.col("messages").alias("rows_in"), F.col("messages").alias("rows_out")),
-        F.struct(F.lit("component_filter").alias("op"), F.col("heard").alias("rows_in"), F.col("changed").alias("rows_out")),
-    )
-    return totals.select(F.explode(rows).alias("r")).select(
-        "r.op", F.lit(step).alias("step"), "r.rows_in", "r.rows_out"
-    )
+def _latest(labels: DataFrame, log: list[DataFrame]) -> DataFrame:
+    """``labels`` with each component as the log has it; labels only ever fall."""
+    names = [f"component_{k}" for k in range(len(log))]
+    for name, changed in zip(names, log):
+        labels = labels.join(changed.withColumnRenamed("component", name).hint("shuffle_hash"), "v", "left")
+    if names:
+        labels = labels.withColumn("component", F.least("component", *names)).drop(*names)
+    return labels
 
 
-def _no_counts(spark):
-    return spark.createDataFrame([], "op string, step int, rows_in bigint, rows_out bigint")
+def _order(v: Column, step: int) -> Column:
+    """The order of vertices in a step, as good as random and another each time."""
+    return F.struct(F.xxhash64(v.cast("string"), F.lit(step)).alias("hash"), v.alias("v"))
+
+
+def contracted_components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``(v, component)`` with the smallest vertex of each component, and the number of steps.
+
+    In a step each vertex is given to the one that comes first, in an order drawn anew, of itself and
+    its neighbours; those are the vertices of the next step, and edges between them are kept once.
+    At least a quarter of all vertices, on average, is gone after a step, on a chain half of them, so
+    that the steps grow with the logarithm of the vertices, whatever the diameter, and all steps
+    together move a few times the edges.
+    """
+    # Written as files: those have a size that Spark can read, however many joins led to them.
+    loop = LoopState(edges.sparkSession, "contraction")
+    given: list[DataFrame] = []
+    left = undirected(edges)
+    while True:
+        step = len(given)
+        first = F.min(_order(F.col("dst"), step)).alias("first")
+        chosen = left.groupBy("src").agg(first).select(
+            F.col("src").alias("v"), F.least("first", _order(F.col("src"), step))["v"].alias("to")
+        )
+        given.append(loop.save(chosen, f"given_{step}"))
+        ends = given[-1].select(F.col("v").alias("src"), F.col("to").alias("a"))
+        other = given[-1].select(F.col("v").alias("dst"), F.col("to").alias("b"))
+        # Both directions are there, so one end is replaced, the edge turned, and then the other.
+        moved = left.where("src <> dst").join(ends, "src").select("dst", "a").distinct().join(other, "dst")
+        moved = moved.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src <> dst").distinct()
+        left = loop.advance(moved, "edges", step)
+        if left.isEmpty():
+            break
+    last = given[-1]
+    for earlier in reversed(given[:-1]):
+        later = last.select(F.col("v").alias("to"), F.col("to").alias("root"))
+        # A vertex without an edge to another is not in the next step: it stays what it was.
+        last = earlier.join(later, "to", "left").select("v", F.coalesce("root", "to").alias("to"))
+    last = loop.save(last, "roots")
+    least = last.groupBy("to").agg(F.min("v").alias("component"))
+    labels = checkpointed(last.join(least, "to").select("v", "component"))
+    loop.remove()
+    return labels, len(given)

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.operators.graph import out_degrees, vertex_degrees
-from tidewheel.plans.skew import out_edges
-from tidewheel.plans.state import LoopState
+from tidewheel.plans.skew import out_edges, partitions_for
+from tidewheel.plans.state import CoPartitioned, checkpointed, observed
 
 DAMPING = 0.85
+#: Tables of changes that are kept before they are summed into one.
+LOG = 8
 
 
 def pagerank(
@@ -40,73 +42,61 @@ def pagerank(
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "bulk" and not n:
         raise ValueError("bulk mode needs the number of pages n")
-    loop = LoopState(edges.sparkSession, "pagerank")
-    links = loop.save(edges.select("src", "dst").distinct(), "links") if mode == "contrib" else edges
-    if mode == "static":
-        everyone = loop.save(vertex_degrees(links), "vertices")
-        degrees = everyone.filter(F.col("outdeg") > 0).select(F.col("v").alias("src"), "outdeg")
-    else:
-        degrees = loop.save(out_degrees(links), "degrees")
-    layout = out_edges(links, degrees, hot_rows)
-
+    spark = edges.sparkSession
+    links = checkpointed(edges.select("src", "dst").distinct()) if mode == "contrib" else edges
+    everyone = checkpointed(vertex_degrees(links) if mode == "static" else _sources(links))
+    total = everyone.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
     base = 0.15 / n if mode == "bulk" else 0.15
     watch = mode == "bulk" and eps is not None
-    if mode == "static":
-        ranks = everyone.select("v", F.lit(float(init)).alias("rank"))
-    else:
-        ranks = degrees.select(F.col("src").alias("v"), F.lit(float(init)).alias("rank"))
-
-    counts = None
-    for step in range(iters):
-        received = layout.receive(ranks.select("v", "rank")).select(
-            F.col("dst").alias("v"), (F.col("rank") / F.col("outdeg")).alias("share")
-        )
-        # Rows that must survive, or be compared, join the one shuffle of the sum.
-        if mode == "static":
-            received = received.unionByName(everyone.select("v", F.lit(None).cast("double").alias("share")))
-        elif watch:
-            received = received.withColumn("old", F.lit(None).cast("double")).unionByName(
-                ranks.select("v", F.lit(None).cast("double").alias("share"), F.col("rank").alias("old"))
+    # A page that has out-links sends in the next step.
+    sends = F.count(F.nullif("outdeg", F.lit(0)))
+    rows: list[tuple] = []
+    with CoPartitioned(spark, partitions_for(spark, total)) as loop:
+        pages, seen = loop.keep(everyone.repartition("v"), senders=sends)
+        senders = seen["senders"]
+        sources = pages.where("outdeg > 0")
+        layout = out_edges(links, sources.select(F.col("v").alias("src"), "outdeg"), hot_rows, total)
+        ranks = (pages if mode == "static" else sources).select("v", F.lit(float(init)).alias("rank"))
+        for step in range(1, iters + 1):
+            summed = (
+                layout.receive(ranks.select("v", "rank"))
+                .groupBy(F.col("dst").alias("v"))
+                .agg(F.sum(F.col("rank") / F.col("outdeg")).alias("total"), F.count("*").alias("messages"))
             )
-        total = F.sum("share")
-        if mode == "static":
-            total = F.coalesce(total, F.lit(0.0))
-        summed = received.groupBy("v").agg(
-            total.alias("total"),
-            F.count("share").alias("messages"),
-            *([F.max("old").alias("old")] if watch else []),
-        )
-        rank = F.lit(base) + F.lit(DAMPING) * F.col("total")
-        moved = [(F.abs(rank - F.col("old")) > F.lit(eps)).alias("moved")] if watch else []
-        before = ranks
-        ranks = summed.filter(F.col("total").isNotNull()).select(
-            "v", rank.alias("rank"), *(["messages"] if stats else []), *moved
-        )
-        ranks = loop.advance(ranks, "ranks", step)
-        if stats:
-            row = _step_counts(before, degrees, ranks, step + 1)
-            counts = loop.advance(row if counts is None else counts.unionByName(row), "stats", step)
-        if watch and ranks.filter("moved").isEmpty():
-            break
-    layout.release()
-    loop.finish()
-    result = ranks.select("v", "rank")
+            if mode == "static":
+                summed = pages.select("v").join(summed.hint("shuffle_hash"), "v", "left")
+                summed = summed.fillna({"total": 0.0, "messages": 0})
+            rank = F.lit(base) + F.lit(DAMPING) * F.col("total")
+            moved = summed.withColumn("rank", rank)
+            counts = {"messages": F.sum("messages")}
+            if watch:
+                old = ranks.select("v", F.col("rank").alias("old")).hint("shuffle_hash")
+                moved = moved.join(old, "v", "left")
+                counts["moved"] = F.count_if(F.abs(F.col("rank") - F.col("old")) > F.lit(eps))
+            if stats:
+                moved = moved.join(sources.hint("shuffle_hash"), "v", "left")
+                counts["senders"] = sends
+            moved, seen = observed(moved, **counts)
+            old_ranks, ranks = ranks, loop.keep(moved.select("v", "rank"))[0]
+            if step > 1:
+                loop.drop(old_ranks)
+            rows.append(("distribute", step, senders, seen.get["messages"] or 0))
+            senders = seen.get.get("senders")
+            if watch and not seen.get["moved"]:
+                break
+        result = loop.result(ranks)
+        layout.release()
     if mode == "static" and normalize:
-        size, total = result.agg(F.count("*"), F.sum("rank")).first()
-        result = result.withColumn("rank", F.col("rank") * F.lit(size / total))
-    return (result, counts) if stats else result
+        size, sum_ = result.agg(F.count("*"), F.sum("rank")).first()
+        result = result.withColumn("rank", F.col("rank") * F.lit(size / sum_))
+    return (result, spark.createDataFrame(rows, _COUNTS)) if stats else result
+
+
+_COUNTS = "op string, step int, rows_in bigint, rows_out bigint"
 
 
-def _step_counts(before: DataFrame, degrees: DataFrame, after: DataFrame, step: int) -> DataFrame:
-    """Pages that distributed their rank in a step, and the shares they sent."""
-    senders = before.join(degrees, before["v"] == degrees["src"], "left_semi").agg(F.count("*").alias("rows_in"))
-    sent = after.agg(F.coalesce(F.sum("messages"), F.lit(0)).alias("rows_out"))
-    # Two one-row tables, put side by side under one constant key.
-    return (
-        senders.withColumn("op", F.lit("distribute"))
-        .join(sent.withColumn("op", F.lit("distribute")), "op")
-        .select("op", F.lit(step).alias("step"), "rows_in", "rows_out")
-    )
+def _sources(edges: DataFrame) -> DataFrame:
+    return out_degrees(edges).withColumnRenamed("src", "v")
 
 
 def pagerank_delta(
@@ -120,65 +110,52 @@ def pagerank_delta(
     """``(v, rank)`` for pages with out-links: 1 plus every change above ``threshold``.
 
     The first change is 1 - 1/n. A step sums the damped changes per target, forgets
-    those not above the threshold, and adds the rest; it stops when none is left.
+    those not above the threshold, and adds the rest; it stops when none is left. A step
+    writes these changes only; the ranks are their sums, made at the end.
     """
-    loop = LoopState(edges.sparkSession, "pagerank_delta")
-    degrees = loop.save(out_degrees(edges), "degrees")
-    layout = out_edges(edges, degrees, hot_rows)
-    ranks = degrees.select(
-        F.col("src").alias("v"), F.lit(1.0).alias("rank"), F.lit(1.0 - 1.0 / n).alias("delta")
-    )
-    counts = None
-    for step in range(iters):
-        senders = ranks.filter(F.col("delta").isNotNull()).select("v", "delta")
-        none = F.lit(None).cast("double")
-        received = layout.receive(senders).select(
-            F.col("dst").alias("v"), (F.lit(DAMPING) * F.col("delta") / F.col("outdeg")).alias("part"), none.alias("rank")
-        )
-        # The ranks themselves travel in the shuffle of the sums.
-        summed = (
-            received.unionByName(ranks.select("v", none.alias("part"), "rank"))
-            .groupBy("v")
-            .agg(F.sum("part").alias("delta"), F.count("part").alias("messages"), F.max("rank").alias("rank"))
-        )
-        if stats:
-            summed = loop.advance(summed, "deltas", step)
-        before = ranks
-        large = F.when(F.abs("delta") > F.lit(threshold), F.col("delta"))
-        ranks = summed.filter(F.col("rank").isNotNull()).select(
-            "v", (F.col("rank") + F.coalesce(large, F.lit(0.0))).alias("rank"), large.alias("delta")
-        )
-        ranks = loop.advance(ranks, "ranks", step)
-        if stats:
-            row = _delta_counts(before, summed, ranks, threshold, step + 1)
-            counts = loop.advance(row if counts is None else counts.unionByName(row), "stats", step)
-        if ranks.filter(F.col("delta").isNotNull()).isEmpty():
-            break
-    layout.release()
-    loop.finish()
-    result = ranks.select("v", "rank")
-    return (result, counts) if stats else result
-
-
-def _delta_counts(before: DataFrame, summed: DataFrame, after: DataFrame, threshold: float, step: int) -> DataFrame:
-    one = F.lit(1).alias("one")
-    senders = before.agg(F.count("delta").alias("senders")).select("*", one)
-    sums = summed.agg(
-        F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"),
-        F.count_if(F.abs("delta") > F.lit(threshold)).alias("kept"),
-    ).select("*", one)
-    updates = after.agg(F.count("delta").alias("updated")).select("*", one)
-    totals = senders.join(sums, "one").join(updates, "one")
-    rows = F.array(
-        *[
-            F.struct(F.lit(op).alias("op"), F.col(a).alias("rows_in"), F.col(b).alias("rows_out"))
-            for op, a, b in (
-                ("distribute", "senders", "messages"),
-                ("sum_and_filter", "messages", "kept"),
-                ("update", "updated", "updated"),
+    spark = edges.sparkSession
+    degrees = checkpointed(_sources(edges))
+    total = degrees.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
+    rows: list[tuple] = []
+    with CoPartitioned(spark, partitions_for(spark, total)) as loop:
+        pages, seen = loop.keep(degrees.repartition("v"))
+        layout = out_edges(edges, pages.select(F.col("v").alias("src"), "outdeg"), hot_rows, total)
+        changes = pages.select("v", F.lit(1.0 - 1.0 / n).alias("delta"))
+        senders = seen["rows"]
+        log: list[DataFrame] = []
+        for step in range(1, iters + 1):
+            part = F.lit(DAMPING) * F.col("delta") / F.col("outdeg")
+            summed = (
+                layout.receive(changes)
+                .groupBy(F.col("dst").alias("v"))
+                .agg(F.sum(part).alias("delta"), F.count("*").alias("messages"))
             )
-        ]
-    )
-    return totals.select(F.explode(rows).alias("r")).select(
-        "r.op", F.lit(step).alias("step"), "r.rows_in", "r.rows_out"
-    )
+            large = F.abs("delta") > F.lit(threshold)
+            summed, seen = observed(summed, messages=F.sum("messages"), kept=F.count_if(large))
+            updates = summed.where(large).select("v", "delta").hint("shuffle_hash").join(pages.select("v"), "v")
+            changes, updated = loop.keep(updates)
+            log.append(changes)
+            messages = seen.get["messages"] or 0
+            rows += [
+                ("distribute", step, senders, messages),
+                ("sum_and_filter", step, messages, seen.get["kept"]),
+                ("update", step, updated["rows"], updated["rows"]),
+            ]
+            senders = updated["rows"]
+            if not senders:
+                break
+            if len(log) > LOG:  # all but the last, which the next step sends, become one
+                merged, _ = loop.keep(_sums(log[:-1], "delta"))
+                loop.drop(*log[:-1])
+                log = [merged, changes]
+        first = pages.select("v", F.lit(1.0).alias("delta"))
+        result = loop.result(_sums([first, *log], "delta").withColumnRenamed("delta", "rank"))
+        layout.release()
+    return (result, spark.createDataFrame(rows, _COUNTS)) if stats else result
+
+
+def _sums(tables: list[DataFrame], value: str) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionAll(table)
+    return out.groupBy("v").agg(F.sum(value).alias(value))

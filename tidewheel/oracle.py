@@ -219,6 +219,29 @@ def _kmeans(steps: int, final: int) -> str:
     return _lloyd(steps) + f"select x, y, b.id as center_id from ({_nearest(f'c{final}')})"
 
 
+_LINE_CENTERS = """select cast(l_orderkey * 2 + l_linenumber as integer) as id, l_quantity as x, l_extendedprice / 2000 as y
+from lineitem where l_linenumber <= 2"""
+_ACCOUNTS = "select c_custkey, cast(c_custkey % 50 + 0.5 as double) as x, c_acctbal / 200 as y from customer"
+
+
+def _nearest_of_many(points: str, centers: str, keep: str) -> str:
+    """As ``_nearest``, for any number of centres: every pair, reduced by point."""
+    distance = "sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y))"
+    return f"""select {keep}, min({{'d': {distance}, 'id': c.id}}) as b from ({points}) p, ({centers}) c group by {keep}"""
+
+
+def _many_centers(steps: int) -> str:
+    """Points in one place share their centre, so each place is looked up once."""
+    chain = [
+        ("pts", f"select x, y, count(*) as n from ({POINTS}) group by x, y"),
+        ("c0", f"select cast(c_custkey as integer) as id, x, y from ({_ACCOUNTS})"),
+    ]
+    for k in range(1, steps + 1):
+        near = _nearest_of_many("select * from pts", f"select * from c{k - 1}", "p.x, p.y, p.n")
+        chain.append((f"c{k}", f"select b.id as id, sum(x * n) / sum(n) as x, sum(y * n) / sum(n) as y from ({near}) group by b.id"))
+    return _with(*chain) + f"select id, round(x / pi(), 6) as x, round(y / pi(), 6) as y from c{steps}"
+
+
 def _bgd(steps: int) -> str:
     chain = [("data", PAIRS), ("p0", "select 0::double as t0, 0::double as t1")]
     for k in range(1, steps + 1):
@@ -523,6 +546,14 @@ ORACLES: dict[str, str] = {
     "kmeans_centers": _lloyd(q.LLOYD_STEPS) + f"select id, round(x, 6) as x, round(y, 6) as y from c{q.LLOYD_STEPS}",
     "kmeans_multijob": _kmeans(q.LLOYD_STEPS, q.LLOYD_STEPS),
     "kmeans_multijob_previous": _kmeans(q.LLOYD_STEPS, q.LLOYD_STEPS - 1),
+    "nearest_of_many_centers": "select c_custkey, b.id as center_id, round(b.d, 9) as distance from ("
+    + _nearest_of_many(_ACCOUNTS, _LINE_CENTERS, "p.c_custkey") + ")",
+    "kmeans_many_centers": _many_centers(2),
+    "components_chain": """with o as (
+  select o_orderkey as v, o_orderkey - row_number() over (order by o_orderkey) as gap, (o_orderkey + 1499) // 1500 as block from orders
+)
+select v, min(v) over (partition by gap, block) as component from o
+qualify count(*) over (partition by gap, block) > 1""",
     "kmeans_auto": "select count(*) as n, 10::bigint as clusters, 0::bigint as misplaced, true as better from embeddings",
     "wssse": WSSSE,
     "linreg_bgd": _bgd(q.BGD_STEPS),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.plans.state import checkpointed
@@ -52,10 +52,16 @@ class OutEdges:
                 part.unpersist()
 
 
-def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None) -> OutEdges:
-    """Lay out ``edges(src, dst)``; ``degrees(src, outdeg)`` counts the rows of each ``src``."""
+def partitions_for(spark: SparkSession, edges: int) -> int:
+    """Partitions of the layout of so many edges."""
+    return max(min(spark.sparkContext.defaultParallelism, 1 + edges // LEAST_PER_PARTITION), -(-edges // ROWS_PER_PARTITION))
+
+
+def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None, total: int | None = None) -> OutEdges:
+    """Lay out ``edges(src, dst)``; ``degrees(src, outdeg)`` counts the rows of each ``src``, ``total`` all of them."""
     spark = edges.sparkSession
-    total = degrees.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
+    if total is None:
+        total = degrees.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
     limit = max(HOT_MIN_ROWS if hot_rows is None else hot_rows, total // MAX_HOT_KEYS)
 
     hot_keys = degrees.filter(F.col("outdeg") > limit).persist()
@@ -69,7 +75,7 @@ def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None)
         hot = edges.join(small, "src").select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
         cold = edges.join(F.broadcast(hot_keys.select("src")), "src", "left_anti")
     # Partitioned before the degrees join, so the edges are shuffled once.
-    parts = max(min(spark.sparkContext.defaultParallelism, 1 + total // LEAST_PER_PARTITION), -(-total // ROWS_PER_PARTITION))
+    parts = partitions_for(spark, total)
     cold = cold.select("src", "dst").repartition(parts, "src").join(degrees, "src").sortWithinPartitions("src")
     cold = cold.select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
     return OutEdges(cold, hot, hot_keys)

@@ -11,7 +11,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def state_root(spark: SparkSession) -> str:
@@ -87,3 +89,70 @@ class LoopState:
         if self._versions and not self.keep:
             for path in self._saved:
                 _remove(self.spark, path)
+
+    def remove(self) -> None:
+        """Drop everything that the loop wrote."""
+        _remove(self.spark, self.path)
+
+
+def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``df``, and aggregates over its rows that are known once an action has read them.
+
+    Only for rows that no shuffle follows: tasks of the last stage count once, whatever is run again.
+    """
+    seen = Observation()
+    return df.observe(seen, *(c.alias(name) for name, c in counts.items())), seen
+
+
+class CoPartitioned:
+    """The tables of a loop, all hash-partitioned alike by what each is grouped by.
+
+    Inside ``with``, every shuffle has ``parts`` partitions and none are merged afterwards, so tables
+    that ``keep`` has written meet each other, and edges laid out in as many partitions, without
+    moving. ``keep`` counts what is asked while it writes. All tables but the ``result`` are deleted
+    at the end, and those named to ``drop`` before.
+    """
+
+    def __init__(self, spark: SparkSession, parts: int):
+        self.spark = spark
+        self.settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+        self._kept: list[DataFrame] = []
+        #: Rows written by each ``keep``.
+        self.written: list[int] = []
+
+    def __enter__(self) -> CoPartitioned:
+        self._before = {name: self.spark.conf.get(name) for name in self.settings}
+        for name, value in self.settings.items():
+            self.spark.conf.set(name, value)
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name, value in self._before.items():
+            self.spark.conf.set(name, value)
+        self.drop(*self._kept)
+
+    def keep(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+        """``df`` written below the checkpoint folder, and aggregates over its rows, taken while they are written."""
+        df, seen = observed(df, rows=F.count(F.lit(1)), **counts)
+        # Once cached, a table's true size is known; otherwise estimates would multiply from step to step.
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.count()
+        out = checkpointed(cached)
+        cached.unpersist()
+        self._kept.append(out)
+        self.written.append(seen.get["rows"])
+        return out, seen.get
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            self._kept = [other for other in self._kept if other is not df]
+            file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            if file.isDefined():
+                _remove(self.spark, file.get())
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` written, to outlive the loop."""
+        out, _ = self.keep(df)
+        self._kept = [other for other in self._kept if other is not out]
+        return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions.hashing import hash_int, hash_uniform
 from tidewheel.operators import clustering, datagen, graph, regression, relational, runtimes
 from tidewheel.operators import text as text_ops
-from tidewheel.operators.components import connected_components
+from tidewheel.operators.components import connected_components, contracted_components
 from tidewheel.operators.pagerank import pagerank, pagerank_delta
 from tidewheel.plans.state import materialize, new_folder
 from tidewheel.sources import runs as run_files
@@ -416,6 +416,18 @@ def components_multijob(spark, sf_dir):
     )
 
 
+def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order and the next one, by key, in chains of 1500."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"))
+    following = orders.select((F.col("src") - 1).alias("src"), F.col("src").alias("dst"))
+    return orders.where("src % 1500 <> 0").join(following, "src")
+
+
+def components_chain(spark, sf_dir):
+    """Chains whose smallest label would take 1500 steps from end to end."""
+    return contracted_components(chain_edges(spark, sf_dir))[0]
+
+
 def component_count(spark, sf_dir):
     return graph.component_count(connected_components(territory_edges(spark, sf_dir), to_convergence=True))
 
@@ -451,6 +463,31 @@ def kmeans_multijob_previous(spark, sf_dir):
     )[0]
 
 
+def line_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two lines of every order as centres: many, and some of them in one place."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    key = (F.col("l_orderkey") * 2 + F.col("l_linenumber")).cast("int")
+    return lines.select(key.alias("id"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 2000).alias("y"))
+
+
+def account_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_custkey") % 50 + 0.5).cast("double").alias("x"), (F.col("c_acctbal") / 200).alias("y")
+    )
+
+
+def nearest_of_many_centers(spark, sf_dir):
+    placed = clustering.nearest_center(account_points(spark, sf_dir), line_centers(spark, sf_dir))
+    return placed.select("c_custkey", "center_id", F.round("distance", 9).alias("distance"))
+
+
+def kmeans_many_centers(spark, sf_dir):
+    """Two steps over order lines from one centre per customer; divided by pi, no mean lies between two rounded values."""
+    start = account_points(spark, sf_dir).select(F.col("c_custkey").cast("int").alias("id"), "x", "y")
+    centers = clustering.kmeans(price_points(spark, sf_dir), start, 2)[1]
+    return centers.select("id", *(F.round(F.col(c) / F.pi(), 6).alias(c) for c in "xy"))
+
+
 def kmeans_auto(spark, sf_dir):
     """Facts about a clustering whose start is random: rows, clusters, misplaced rows, whether it beats one centre."""
     vectors = embedding_vectors(spark, sf_dir)
@@ -669,6 +706,7 @@ QUERIES: dict[str, Query] = {
     "connected_components": components,
     "connected_components_multijob": components_multijob,
     "connected_components_hot": components_hot,
+    "components_chain": components_chain,
     "component_count": component_count,
     "cc_iteration_stats": cc_iteration_stats,
     "nearest_center": nearest_center,
@@ -677,6 +715,8 @@ QUERIES: dict[str, Query] = {
     "kmeans_multijob": kmeans_multijob,
     "kmeans_multijob_previous": kmeans_multijob_previous,
     "kmeans_auto": kmeans_auto,
+    "nearest_of_many_centers": nearest_of_many_centers,
+    "kmeans_many_centers": kmeans_many_centers,
     "wssse": wssse,
     "linreg_bgd": linreg_bgd,
     "linreg_sgd": linreg_sgd,
