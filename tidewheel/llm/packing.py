@@ -35,16 +35,16 @@ _CACHED = 1 << 17
 
 
 class _Words(dict):
-    """Ids of a word as bytes, encoded when it is first asked for; emptied when it gets large."""
+    """Ids of a word as bytes. The first ``_CACHED`` words asked for, which the frequent ones are among, are kept."""
 
     def __init__(self, encode: Callable[[str], list[int]], before: str):
         super().__init__()
         self.encode, self.before = encode, before
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > _CACHED:
-            self.clear()
-        found = self[word] = array("H", self.encode(self.before + word)).tobytes()
+        found = array("H", self.encode(self.before + word)).tobytes()
+        if len(self) < _CACHED:
+            self[word] = found
         return found
 
 
