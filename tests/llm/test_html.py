@@ -29,6 +29,10 @@ BODY = "One long sentence that is surely part of the main text of this page, wit
         ("<div hidden>no</div><article><span style='display:none'>no</span>yes</article>", "yes"),
         ("<div role=navigation>no</div><article>yes</article>", "yes"),
         ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+        ("<script>for(i=0;i<n;i++){f(i)}</script><article><p>x</p></article>", "x"),
+        ("<article><p>x</p><script>if(a<b && c=='>\"')</SCRIPT ><p>y</p></article>", "x\n\ny"),
+        ("<div class='share-price'><p>out</p></div><article><div class='share-price'>up</div><section id='login-history'>in</section></article>", "up\n\nin"),
+        ("<article><p>x</p><div class='social-share'>s</div><div class='commentList'>c</div></article>", "x"),
         ("<article>&#233;&#x1F600;&copy</article>", "é😀©"),
     ],
 )

@@ -39,6 +39,11 @@ NAMES = frozenset(
     "subscription signup login search popup modal overlay widget toolbar pagination pager contentinfo complementary".split()
 )
 _IN_ARTICLE = NAMES - {"header", "masthead", "banner"}
+#: Those that also say so as the first part of a name within an article; others may name its subject there.
+_FIRST = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent "
+    "comment comments commentlist disqus related recommended newsletter sidebar breadcrumb breadcrumbs".split()
+)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -63,6 +68,22 @@ def _named(attrs: str) -> set[str]:
     return found
 
 
+def _aside(attrs: str) -> bool:
+    """Whether a name within an article says that its element is no part of it: by its last part, or the first of some."""
+    for groups in _NAMED.findall(attrs):
+        for name in "".join(groups).split():
+            parts = [p for p in _PART.split(_CAMEL.sub(" ", name).lower()) if p]
+            if parts and (parts[-1] in _IN_ARTICLE or parts[0] in _FIRST):
+                return True
+    return False
+
+
+def _after_raw(page: str, name: str, at: int) -> int:
+    """Where the content of a raw element that starts at ``at`` ends; the page's end if it is not closed."""
+    end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Blocks of a page in order: text, characters outside links, and whether an article holds it.
 
@@ -90,31 +111,29 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if not in_link:
                 plain += len("".join(text.split()))
 
-    at, raw_until = 0, ""
-    for tag in _TAG.finditer(page):
-        if tag.start() < at:
-            continue
+    at = 0
+    while tag := _TAG.search(page, at):
         name = (tag["name"] or tag["name2"] or "").lower()
         end = bool(tag["end"] or tag["end2"])
-        if raw_until:
-            if not (end and name == raw_until):
-                continue
-            raw_until = ""
-        elif not skipped:
+        if not skipped:
             add(page[at : tag.start()])
         at = tag.end()
         if not name:
             continue
+        if not end and name in RAW:
+            # Nothing within is a tag.
+            at = _after_raw(page, name, at)
+            if not skipped and name in BLOCKS:
+                close()
+            continue
         if skipped:
-            if not end and name in ARTICLE and skipped not in RAW:
+            if not end and name in ARTICLE:
                 skipped, depth = "", 0
             else:
                 if name == skipped:
                     depth += -1 if end else 1
                     if not depth:
                         skipped = ""
-                if not end and name in RAW:
-                    raw_until = name
                 continue
         if name in BLOCKS:
             close()
@@ -134,11 +153,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             in_link = 1
         elif name not in VOID and name not in ("html", "body"):
             own = name in DROPPED and not (inside and name in ("header", "figure"))
-            if own or _named(attrs) & (_IN_ARTICLE if inside else NAMES) or _HIDDEN.search(attrs):
+            if own or (_aside(attrs) if inside else _named(attrs) & NAMES) or _HIDDEN.search(attrs):
                 skipped, depth = name, 1
-                if name in RAW:
-                    raw_until = name
-    if not skipped and not raw_until:
+    if not skipped:
         add(page[at:])
     close()
     return lines
