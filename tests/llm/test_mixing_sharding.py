@@ -85,6 +85,24 @@ def test_mix_of_odd_rows_and_repeats(spark):
     assert mixing.pareto_mix(spark.createDataFrame([], DOCS), F.lit(1)).collect() == []
 
 
+def test_repeated_rows_are_taken_one_by_one(spark):
+    """A third of a source under one key: its target is met to half a document, and rows are repeated as the mix says."""
+    for key in (7, 11, 12345):
+        rows = [(key if i % 3 == 0 else 1000 + i, "a", "w " * 50) for i in range(300)] + [(5000 + i, "b", "v " * 40) for i in range(200)]
+        rows += [(None, None, None), (key, "b", "v " * 40)]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        mix = mixing.pareto_mix(docs, word_count(F.col("text")), weights=(3, 7))
+        found = mix.collect()
+        for source, size in (("a", 50), ("b", 40)):
+            of = [r for r in found if r["source"] == source]
+            assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= size / 2
+        got = Counter((r["doc_id"], r["source"]) for r in mixing.repeat_rows(docs, mix).collect())
+        want = Counter()
+        for r in found:
+            want[r["doc_id"], r["source"]] += r["copies"]
+        assert got == +want
+
+
 def shards_of(rows, shards=8):
     """Shard and slot of sorted ``(key, tie, size)``."""
     total, before, slots, out = sum(r[2] for r in rows), 0, Counter(), []

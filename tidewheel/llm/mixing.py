@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import checkpointed
+from tidewheel.llm.common import checkpointed, word_count
 
 #: Cells into which one look divides a source's documents; two looks precede the last one.
 BITS = 10
@@ -74,14 +74,16 @@ def pareto_mix(
     the inclusion odds are ``f / (1 - f) * ln(2 + size)`` with ``f`` the share still to take, so longer
     documents are likelier. Documents are taken while they fit; then one more is, the one
     whose size is nearest to what is missing, if that brings the source closer. The take of
-    a source thus misses its target by half a document at most. Rows with one doc_id and
-    size are taken together. Nulls: an own source, id and size 0. No rows, no result.
+    a source thus misses its target by half a document at most. Rows alike in doc_id, source
+    and size follow each other in the order and are taken one by one. Nulls: an own source, id and size 0. No rows, no result.
 
     No source is sorted whole: sums over ranges of the order find the range in which the
     target is reached, within it a finer one, and only that one is sorted.
     """
     fixed = checkpointed(
-        docs.select("doc_id", "source", F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"))
+        docs.select("doc_id", "source", F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size")).withColumn(
+            "position", F.monotonically_increasing_id()
+        )
     )
     goals = checkpointed(targets(fixed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -98,7 +100,8 @@ def pareto_mix(
 
     in_source = Window.partitionBy("source")
     cut = goals.select("source", "open", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("before"))
-    inside = ranked.select("source", "doc_id", "size", "rank")
+    # A source with nothing left to take has no order.
+    inside = ranked.where("open > 0").select("source", "doc_id", "size", "rank", "position")
     for look in range(1, LOOKS + 1):
         shift = _RANK_BITS - look * BITS
         cells = inside.withColumn("next", F.shiftright("rank", shift)).groupBy("source", "next").agg(
@@ -119,14 +122,14 @@ def pareto_mix(
         wanted = cut.select("source", F.col("cell").alias("wanted"))
         inside = _joined(inside, wanted).where(F.shiftright("rank", shift) == F.col("wanted")).drop("wanted")
     last = _joined(inside, cut).withColumn(
-        "end", F.col("before") + F.sum("size").over(in_source.orderBy("rank", "doc_id", "size"))
+        "end", F.col("before") + F.sum("size").over(in_source.orderBy("rank", "doc_id", "size", "position"))
     )
     # The first document in the order that no longer fits, and the words before it.
     edge = last.where(F.col("end") > F.col("open")).groupBy("source").agg(
-        F.min(F.struct("rank", "doc_id", "size")).alias("edge")
+        F.min(F.struct("rank", "doc_id", "size", "position")).alias("edge")
     )
     state = checkpointed(_joined(goals.select("source", "open"), edge))
-    place = F.struct("rank", "doc_id", "size")
+    place = F.struct("rank", "doc_id", "size", "position")
     marked = _joined(ranked.drop("open"), state).withColumn(
         "fits", (F.col("open") > 0) & F.coalesce(place < F.col("edge"), F.lit(True))
     )
@@ -140,10 +143,10 @@ def pareto_mix(
         _joined(marked, missing)
         .where(~F.col("fits") & (off < F.col("missing")))
         .groupBy("source")
-        .agg(F.min(F.struct(off.alias("off"), "rank", "doc_id", "size")).alias("closing"))
+        .agg(F.min(F.struct(off.alias("off"), "rank", "doc_id", "size", "position")).alias("closing"))
     )
     closing = checkpointed(
-        closing.select("source", F.struct("closing.rank", "closing.doc_id", "closing.size").alias("closing"))
+        closing.select("source", F.struct("closing.rank", "closing.doc_id", "closing.size", "closing.position").alias("closing"))
     )
     extra = F.when(F.col("fits") | F.coalesce(place.eqNullSafe(F.col("closing")), F.lit(False)), 1).otherwise(0)
     copies = (F.col("certain") + extra).cast("long")
@@ -152,9 +155,32 @@ def pareto_mix(
     )
 
 
-def repeat_rows(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it; joined by doc_id, null ids are one id."""
-    copies = mix.groupBy(F.col("doc_id").alias("__doc_id")).agg(F.max("copies").alias("__copies"))
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__doc_id"))).where("__copies > 0")
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    return rows.withColumn("__copy", again).select(*docs.columns)
+def repeat_rows(docs: DataFrame, mix: DataFrame, size: Column | None = None) -> DataFrame:
+    """Each document as often as the mix takes it; ``size`` as in the mix, by default the words of ``text``.
+
+    Rows alike in doc_id, source and size share their copies evenly; where these do not go up, which
+    is so for two such groups of a source at most, the first rows read have one more. Nulls are alike.
+    """
+    by = ["doc_id", "source", "size"]
+    size = word_count(F.col("text")) if size is None else F.coalesce(size.cast("long"), F.lit(0).cast("long"))
+    totals = checkpointed(mix.groupBy(*by).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")))
+    totals = totals.select(*(F.col(c).alias(f"__{c}") for c in by), "__copies", "__rows").where("__copies > 0")
+
+    def times(found: DataFrame, copies: Column) -> DataFrame:
+        return found.withColumn("__times", copies).where("__times > 0").withColumn(
+            "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))
+        ).select(*docs.columns)
+
+    def met(some: DataFrame) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by[:2]]
+        return docs.join(some, [*same, size == F.col("__size")])
+
+    each, more = F.floor(F.col("__copies") / F.col("__rows")), F.col("__copies") % F.col("__rows")
+    out = times(met(totals.where(more == 0)), each)
+    uneven = totals.where(more != 0)
+    if uneven.isEmpty():
+        return out
+    numbered = met(uneven).withColumn("__order", F.monotonically_increasing_id())
+    number = F.row_number().over(Window.partitionBy("__doc_id", "__source", "__size").orderBy("__order"))
+    numbered = numbered.withColumn("__number", number)
+    return out.unionByName(times(numbered, each + (F.col("__number") <= more).cast("long")))

@@ -77,7 +77,7 @@ from failed
 
 OP5 = rf"""
 with docs as (
-  select doc_id, source, len({WORDS})::bigint as size from documents
+  select doc_id, source, len({WORDS})::bigint as size, row_number() over () as position from documents
 ), sizes as (
   select source, sum(size)::bigint as source_size from docs group by source
 ), weighted as (
@@ -98,7 +98,7 @@ with docs as (
     target - case when source_size > 0 then floor(target / source_size) else 0 end * source_size as open
   from goals
 ), drawn as (
-  select d.doc_id, d.source, d.size, source_size, target, certain, open,
+  select d.doc_id, d.source, d.size, d.position, source_size, target, certain, open,
     case when source_size > 0 and open > 0 then open / source_size end as part,
     (('0x' || substr(md5('42/' || coalesce(d.doc_id::varchar, '')), 1, 12))::bigint + 0.5) / 281474976710656.0::double as u
   from docs d join shares s on d.source is not distinct from s.source
@@ -107,18 +107,18 @@ with docs as (
 ), ranked as (
   select *, floor(coalesce(q / (1 + q), 0) * 1125899906842623.0::double)::bigint as rank from odds
 ), summed as (
-  select *, sum(size) over (partition by source order by rank, doc_id nulls first, size) as upto from ranked
+  select *, sum(size) over (partition by source order by rank, doc_id nulls first, size, position) as upto from ranked
 ), fitting as (
   select *, open > 0 and upto <= open as fits from summed
 ), missing as (
   select source, max(open) - coalesce(sum(size) filter (where fits), 0) as missing from fitting group by source
 ), closing as (
-  select f.source, arg_min([rank, doc_id, f.size], [abs(f.size - missing), rank, coalesce(doc_id, -9e18), f.size]) as row
+  select f.source, arg_min(position, [abs(f.size - missing), rank, coalesce(doc_id, -9e18), f.size, position]) as row
   from fitting f join missing m on f.source is not distinct from m.source
   where not fits and abs(f.size - missing) < missing group by f.source
 )
 select doc_id, size, source_size, target,
-  ((certain + (fits or coalesce([rank, doc_id, size] = row, false))::int) * size)::bigint as taken
+  ((certain + (fits or coalesce(position = row, false))::int) * size)::bigint as taken
 from fitting f left join closing c on f.source is not distinct from c.source
 """
 
