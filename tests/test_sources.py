@@ -112,6 +112,30 @@ def test_run_states_and_host_metrics(spark, tmp_path):
     ]
 
 
+def test_a_log_of_many_blocks_is_read_by_many_tasks(spark, tmp_path):
+    """Blocks end within lines, within the header, and several of different files share a task."""
+    root = tmp_path / "suite"
+    samples = {f"h{k}": [(float(i), float(k)) for i in range(n)] for k, n in enumerate((3000, 7, 0, 900))}
+    write_run(root, "wc.top004.run01", 0, 1, list(samples.items()) + [("boss", [(0, 0)])])
+    path = root / "wc.top004.run01" / "logs" / "stat" / "v1" / "h1.example.org.csv"
+    path.write_text(path.read_text().replace("\n4,", "\n\n4,"))  # an empty line counts as a second
+    want = {(h, i, u) for h, of in samples.items() for i, (u, _) in enumerate(of) if h != "h1"}
+    want |= {("h1", i + (i > 3), u) for i, (u, _) in enumerate(samples["h1"])}
+    before = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("61", "4000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            read = run_files.read_host_metrics(spark, f"{root}/*.top*.run*", "boss", logs="logs/stat/*/*.csv")
+            assert {tuple(r) for r in read.select("host", "seq", "usr").collect()} == want
+            if size == "4000":
+                tasks = spark.read.text(f"{root}/*/logs/stat/*/*.csv").rdd.getNumPartitions()
+                assert tasks > 20
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_state_goes_below_the_named_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert state_root(spark) == root

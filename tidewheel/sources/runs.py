@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Lines before the header of a host metrics file, and the columns read from it; fixed values.
@@ -54,30 +54,41 @@ def read_host_metrics(
     """``(suite, nodes, run, host, seq, usr ... writ)``: one row per sample line of every host but the master.
 
     ``run_dir`` is one run folder or a pattern over many, and the first group of
-    ``host_pattern`` finds the host in the path of a file. A file holds one line per
-    second of one run on one host, so it is read as a whole: its lines have to be
-    counted from its start, and its columns are found by their names in its header.
+    ``host_pattern`` finds the host in the path of a file. Files are read block by block, by as many
+    tasks as Spark makes of them: lines are counted within their block, and a file's blocks are
+    numbered from its start by their counts. Columns are found by their names in the header.
     Files below folders that are not named ``<suite>.topNNN.runNN`` are left out.
     """
-    files = spark.read.text(f"{run_dir.rstrip('/')}/{logs}", wholetext=True)
     path = F.col("_metadata.file_path")
     host = F.regexp_extract(path, host_pattern, 1)
-    lines = F.split(F.replace("value", F.lit('"'), F.lit("")), r"\r?\n")
-    per_file = (
-        files.select(*_run_of(path), host.alias("host"), lines.alias("lines"))
+    # The lines of a block follow each other in one partition, so their numbers there are in a row.
+    lines = (
+        spark.read.text(f"{run_dir.rstrip('/')}/{logs}")
+        .select(
+            path.alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"),
+            F.replace("value", F.lit('"'), F.lit("")).alias("line"),
+            *_run_of(path),
+            host.alias("host"),
+        )
         .filter((F.col("host") != master) & F.col("suite").isNotNull())
-        .withColumn("header", F.split(F.element_at("lines", METRIC_PREAMBLE_LINES + 1), ","))
-        .withColumn("samples", F.slice("lines", F.lit(METRIC_PREAMBLE_LINES + 2), F.size("lines")))
     )
-    per_line = per_file.select("suite", "nodes", "run", "host", "header", F.posexplode("samples").alias("seq", "line"))
-    values = per_line.filter(F.trim("line") != "").withColumn("values", F.split("line", ","))
+    blocks = lines.groupBy("path", "block").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0))).drop("lines")
+    number = F.col("before") + F.col("place") - F.col("first")
+    numbered = lines.join(blocks, ["path", "block"]).withColumn("number", number)
+    headers = numbered.filter(F.col("number") == METRIC_PREAMBLE_LINES).select("path", F.split("line", ",").alias("header"))
+    samples = numbered.filter((F.col("number") > METRIC_PREAMBLE_LINES) & (F.trim("line") != ""))
+    values = samples.join(headers, "path").withColumn("values", F.split("line", ","))
     # The first of several columns of one name is taken.
     return values.select(
         "suite",
         "nodes",
         "run",
         "host",
-        "seq",
+        (F.col("number") - (METRIC_PREAMBLE_LINES + 1)).cast("int").alias("seq"),
         *[
             F.element_at("values", F.array_position("header", name).cast("int")).cast("double").alias(name)
             for name in METRIC_COLUMNS
