@@ -98,6 +98,10 @@ def test_queries_return_what_the_contract_says(spark, name):
         "op8_html": "page_id bigint, url string, text string, n_chars bigint",
         "op9_quality": "doc_id bigint, held_out boolean, score double, predicted int",
         "op10_urls": "page_id bigint, host string, path string, rule string, verdict string",
+        "op11_exact": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+        "op12_phrases": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+        "op13_periodic": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, "
+        "runs_sha256 string, collapsed_sha256 string",
     }
     df = q.QUERIES[name](spark, SF)
     assert ", ".join(f"{c} {t}" for c, t in df.dtypes) == columns[name]
@@ -108,6 +112,9 @@ def test_queries_return_what_the_contract_says(spark, name):
         "op3_chat": whole.select("conv_id").distinct().count() + 1 if "conv_id" in whole.columns else None,
     }
     n = df.count()
+    if name == "op12_phrases":
+        assert n == df.select("lang", "rank").distinct().count() <= 2000 * whole.select("lang").distinct().count()
+        return
     assert n >= whole.count() if name == "op2_packing" else n == counted.get(name, whole.count())
 
 
