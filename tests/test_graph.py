@@ -283,3 +283,12 @@ def test_a_step_moves_messages_only(spark, no_broadcast, monkeypatch):
         cached = depth if "InMemoryRelation" in line else None
         exchanges += "Exchange " in line
     assert exchanges == 1 and any("hashpartitioning(dst" in line and ", 3)" in line for line in lines)
+
+
+def test_loops_end_on_a_relation_known_to_be_empty(spark):
+    none = spark.sql("select 1L as src, 2L as dst where false")
+    labels, stats = connected_components(none, 3, stats=True)
+    assert labels.count() == 0 and stats.filter("rows_in > 0").count() == 0
+    for mode in ("contrib", "bulk", "static"):
+        assert pagerank(none, 2, mode=mode, n=3).count() == 0
+    assert pagerank_delta(none, 3, 2).count() == 0
