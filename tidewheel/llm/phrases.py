@@ -31,13 +31,11 @@ UNKNOWN = "und"
 FILTER_BITS = 26
 _ROW_BITS = 15
 #: Bytes looked at together, and fingerprints counted together.
-SLICE, COUNTED = 1 << 20, 1 << 21
+SLICE, COUNTED = 1 << 21, 1 << 21
 #: Fixed odd numbers: bases of the two polynomials, and of the mixing of their values.
 _BYTE_BASE, _WORD_BASE = 0xD1342543DE82EF95, 0x2545F4914F6CDD1D
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BLANK, _BREAK = 1, 2
-#: Pointer of a phrase that is in rows without a key only.
-_NONE = np.iinfo(np.int64).max
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -226,53 +224,49 @@ def _texts(batches: Iterator[pa.RecordBatch], sent, width: int) -> Iterator[pa.R
     of their own. The phrase of no words counts all words of a language.
     """
     bits = np.frombuffer(sent.value, np.uint8)
+    none = np.iinfo(np.int64).max
     for batch in batches:
         language, names, added = _languages(batch)
-        keys = np.array([_NONE if k is None else k for k in batch.column("key").to_pylist()], np.int64)
+        keys = np.array([none if k is None else k for k in batch.column("key").to_pylist()], np.int64)
         totals: Counter = Counter()
-        vocabulary: dict[str, int] = {}
-        held: dict[int, list[tuple]] = {n: [] for n in range(1, LONGEST + 1)}
         for words, row in _slices(batch):
             if not len(row):
                 continue
             totals.update(dict(enumerate(np.bincount(language[row], minlength=len(names)).tolist())))
             named = words.named()
-            known = [vocabulary.setdefault(word, len(vocabulary)) for word in named.dictionary.to_pylist()]
-            ids = np.array(known, np.int32)[named.indices.to_numpy()]
-            for n, at, found in _phrases(words, added[language[row]], tuple(held), bits, width):
+            ids, vocabulary = named.indices.to_numpy(), named.dictionary
+            out: dict[str, list] = {"lang": [], "phrase": [], "n": [], "seen": []}
+            for n, at, found in _phrases(words, added[language[row]], range(1, LONGEST + 1), bits, width):
                 may = _likely(bits, found)
                 at, found = at[may], found[may]
-                if len(at):
-                    parts = [language[row[at]], *(ids[at + k] for k in range(n))]
-                    held[n].append(_distinct(found, parts, np.ones(len(at), np.int64), keys[row[at]]))
-        spelled = list(vocabulary)
-        for n, found in held.items():
-            if found:
-                columns = [np.concatenate(c) for c in zip(*([f, *p, c, s] for f, p, c, s in found))]
-                _, parts, counts, seen = _distinct(columns[0], columns[1:-2], *columns[-2:])
-                texts = ([spelled[k] for k in part.tolist()] for part in parts[1:])
-                lang = [names[k] for k in parts[0].tolist()]
-                yield _table({"lang": lang, "phrase": [" ".join(p) for p in zip(*texts)], "n": counts, "seen": seen})
-        rows = [(names[k], "", n, _NONE) for k, n in totals.items()]
-        yield _table(dict(zip(("lang", "phrase", "n", "seen"), zip(*rows) if rows else [()] * 4)))
-
-
-def _distinct(found: np.ndarray, parts: list[np.ndarray], counts: np.ndarray, seen: np.ndarray):
-    """Different phrases with the sum of their counts and the smallest pointer, by fingerprint and then by words."""
-    order = np.argsort(found, kind="stable")
-    ordered = found[order]
-    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    if not all((part[order] == part[first]).all() for part in parts):
-        # Another phrase has the same fingerprint.
-        order = np.lexsort((*parts[::-1], found))
-        new = np.zeros(len(order), bool)
-        new[0] = True
-        for part in (found, *parts):
-            new[1:] |= part[order[1:]] != part[order[:-1]]
-    starts = np.flatnonzero(new)
-    at = order[starts]
-    return found[at], [p[at] for p in parts], np.add.reduceat(counts[order], starts), np.minimum.reduceat(seen[order], starts)
+                if not len(at):
+                    continue
+                order = np.argsort(found, kind="stable")
+                at, found = at[order], found[order]
+                starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+                group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at))))
+                first = at[starts]
+                same = language[row[at]] == language[row[first]][group]
+                for k in range(n):
+                    same &= ids[at + k] == ids[first + k][group]
+                if not same.all():  # another phrase with the same fingerprint
+                    parts = [ids[at + k] for k in range(n - 1, -1, -1)]
+                    order = np.lexsort((*parts, language[row[at]]))
+                    at = at[order]
+                    new = np.zeros(len(at), bool)
+                    for column in (language[row[at]], *(ids[at + k] for k in range(n))):
+                        new[1:] |= column[1:] != column[:-1]
+                    new[0] = True
+                    starts = np.flatnonzero(new)
+                    first = at[starts]
+                out["n"] += np.diff(np.append(starts, len(at))).tolist()
+                out["seen"] += np.minimum.reduceat(keys[row[at]], starts).tolist()
+                out["lang"] += [names[k] for k in language[row[first]].tolist()]
+                columns = [vocabulary.take(pa.array(ids[first + k])).to_pylist() for k in range(n)]
+                out["phrase"] += [" ".join(phrase) for phrase in zip(*columns)]
+            if out["n"]:
+                yield _table(out)
+        yield _table({"lang": [names[k] for k in totals], "phrase": [""] * len(totals), "n": list(totals.values()), "seen": [none] * len(totals)})
 
 
 def _table(out: dict[str, list]) -> pa.RecordBatch:
@@ -320,7 +314,7 @@ def frequent_phrases(
     counted = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
     with shuffles_dropped(docs.sparkSession):
         counted = checkpointed(counted.where((F.col("n") >= least) | (F.col("phrase") == "")))
-    return counted.withColumn("seen", F.nullif("seen", F.lit(int(_NONE))))
+    return counted.withColumn("seen", F.nullif("seen", F.lit(np.iinfo(np.int64).max)))
 
 
 def _wide(value: Column | str) -> Column:
