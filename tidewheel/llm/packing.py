@@ -31,7 +31,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SHARD = 512
 #: Classes of topics that keep apart; each class is dealt over many shards.
 TOPICS = 8
-_CACHED = 1 << 17
+_CACHED = 1 << 18
 
 
 class _Words(dict):
@@ -116,13 +116,14 @@ def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[starts], np.diff(np.append(starts, len(ordered)))
 
 
-def _topic(ids: np.ndarray) -> int:
-    """The class of a document: a hash of the id that weighs most, by its count and its rarity.
+#: How rare an id counts; ids of byte-pair vocabularies go from frequent to rare.
+_RARITY = np.log1p(np.arange(1 << 16, dtype=np.float32))
 
-    Ids of byte-pair vocabularies go from frequent to rare.
-    """
+
+def _topic(ids: np.ndarray) -> int:
+    """The class of a document: a hash of the id that weighs most, by its count and its rarity."""
     found, counts = _counted(ids)
-    return int(found[(counts * np.log1p(found.astype(np.float32))).argmax()]) * 2654435761 % (1 << 32) * TOPICS >> 32
+    return int(found[(counts * _RARITY[found]).argmax()]) * 2654435761 % (1 << 32) * TOPICS >> 32
 
 
 def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
