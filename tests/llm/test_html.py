@@ -1,5 +1,10 @@
+import re
+from html.parser import HTMLParser
+
+import pyarrow.parquet as pq
 import pytest
 
+
 from tidewheel.llm import html
 
 BODY = "One long sentence that is surely part of the main text of this page, with many words in it."
@@ -46,10 +51,87 @@ def test_without_an_article_text_surges_and_dives():
     assert html.extract(page) == f"{BODY}\n\n{BODY}"
 
 
+def test_text_outside_articles_surges_only_if_it_outweighs_them():
+    article = f"<article><p>{BODY}</p><p>{BODY}</p></article>"
+    assert html.extract(f"<div><p>{BODY}</p></div>{article}") == f"{BODY}\n\n{BODY}"
+    paragraphs = "<p>" + " ".join([BODY] * 9) + "</p>"
+    found = html.extract(f"<div>{paragraphs * 4}</div><article><p>teaser</p></article>")
+    assert found.startswith(BODY) and found.count(BODY) == 36
+
+
+def test_links_between_text_stay_and_at_its_ends_go():
+    page = f"<a href=0>skip</a><p>{BODY}</p><p><a href=1>a link</a></p><p>{BODY}</p><p><a href=2>next page</a></p>"
+    assert html.extract(page) == f"{BODY}\n\na link\n\n{BODY}"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # Without an end of its own, an element that is no part goes up to its first block.
+        (f"<div class=ad>buy <p>now</p><p>{BODY}</p>", f"now\n\n{BODY}"),
+        (f"<p class=ad>buy<p>{BODY}</p>", BODY),
+        (f"<article><div><aside>side</div><p>{BODY}</p></article>", BODY),
+        # What is named like a sidebar may hold the page; text in it counts as elsewhere.
+        (f"<div class='no sidebar'><article><p>{BODY}</p><p>end</p></article></div>", f"{BODY}\n\nend"),
+        (f"<article><p>{BODY}</p></article><div class=related><article>teaser</article></div>", BODY),
+        (f"<article><p>x</p><ul class=related><li>1<li>2<li>3<li>4</ul><p>y</p></article>", "x\n\ny"),
+    ],
+)
+def test_elements_without_an_end_and_names_around_articles(page, want):
+    assert html.extract(page) == want
+
+
+class Blocks(HTMLParser):
+    """What the test tables' pages hold, by the standard library's parser: blocks of the article."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.parts, self.blocks = 0, [], []
+
+    def cut(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("article", "p", "h1", "h2", "ul", "li", "div", "table", "tr", "td"):
+            self.cut()
+        if tag == "br":
+            self.parts.append(" ")
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1", "h2", "ul", "li", "div", "table", "tr", "td"):
+            self.cut()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+def test_against_another_parser_and_without_marks():
+    pages = [p or "" for p in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
+    same = bare = 0
+    for page in pages:
+        parser = Blocks()
+        parser.feed(page)
+        parser.close()
+        parser.cut()
+        want = "\n\n".join(parser.blocks)
+        same += html.extract(page) == want
+        bare += html.extract(re.sub(r"<(/?)article\b", r"<\1div", page)) == want
+    assert same == len(pages)
+    assert bare >= 0.9 * len(pages)
+
+
 def test_long_pages_are_kept_whole():
     page = "<article>" + "".join(f"<p>{i} {BODY}</p>" for i in range(5000)) + "</article>"
     assert html.extract(page).count("\n\n") == 4999
     assert html.extract("<" * 20000 + "<article>x</article>").endswith("x")
+    assert html.extract("<div class=ad><p>" * 20000 + "y<p>x").endswith("x")
+    assert html.extract("<article>" * 20000 + "<b>x").endswith("x")
 
 
 def test_column(spark):

@@ -2,21 +2,27 @@
 
 Markup is stripped to lines, one per block, with the lengths of their text outside links.
 Sums over sliding windows of lines show where text surges and where it dives; the lines
-between are kept.
+between are kept. Elements only weigh lines: text within an article counts ``MARKED`` times,
+that of menus, adverts and the like not at all, and an article's ends are gaps.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 WINDOW = 3
-#: Characters in a window from which text surges, where the page marks no article.
+#: Characters in a window from which text surges.
 SURGE = 80
+#: How often a character within an article counts.
+MARKED = 4
 
 # Kinds of elements of HTML.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -84,78 +90,161 @@ def _after_raw(page: str, name: str, at: int) -> int:
     return end.end() if end else len(page)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Blocks of a page in order: text, characters outside links, and whether an article holds it.
+@dataclass(frozen=True)
+class Tag:
+    """A tag, or the content of a raw element, between two places of a page."""
 
-    Blocks of elements that are no part of an article are left out. An element left open
-    ends where an article begins.
+    name: str
+    end: bool
+    attrs: str
+    start: int
+    stop: int
+
+
+def tags_of(page: str) -> list[Tag]:
+    """Tags in order. Comments have no name; nothing within a raw element is a tag."""
+    tags = []
+    at = 0
+    while found := _TAG.search(page, at):
+        name = (found["name"] or found["name2"] or "").lower()
+        end = bool(found["end"] or found["end2"])
+        at = _after_raw(page, name, found.end()) if name in RAW and not end else found.end()
+        tags.append(Tag(name, end, found["attrs"] or found["attrs2"] or "", found.start(), at))
+    return tags
+
+
+def ends_of(tags: list[Tag]) -> dict[int, int]:
+    """For the elements that start at some of the tags, the tag at which each ends.
+
+    A block ends with its own end tag or that of a block around it, a paragraph also where a
+    block starts, other elements with their own end tag only. Elements without an end are not there.
+    """
+    ends: dict[int, int] = {}
+    blocks: list[int] = []
+    opened: Counter[str] = Counter()
+    others: dict[str, list[int]] = {}
+    for i, tag in enumerate(tags):
+        if tag.name in BLOCKS:
+            if not tag.end:
+                if blocks and tags[blocks[-1]].name == "p":
+                    ends[blocks.pop()] = i
+                    opened["p"] -= 1
+                blocks.append(i)
+                opened[tag.name] += 1
+            elif opened[tag.name]:
+                name = ""
+                while name != tag.name:
+                    last = blocks.pop()
+                    name = tags[last].name
+                    opened[name] -= 1
+                    ends[last] = i
+        elif tag.end:
+            if others.get(tag.name):
+                ends[others[tag.name].pop()] = i
+        elif tag.name and tag.name not in VOID and tag.name not in RAW:
+            others.setdefault(tag.name, []).append(i)
+    return ends
+
+
+@dataclass(frozen=True)
+class Line:
+    """A block's text, its weighted length, and whether an article holds it. No text: a gap."""
+
+    text: str
+    length: int
+    inside: bool
+
+
+_GAP = Line("", 0, False)
+
+
+def lines_of(page: str) -> list[Line]:
+    """Blocks of a page in order.
+
+    An element that is no part of an article is one gap, or, if it has no end, its first
+    block is. It ends where an article begins outside of any; such an article weighs as other text.
     """
-    lines: list[tuple[str, int, bool]] = []
+    tags = tags_of(page)
+    ends = ends_of(tags)
+    lines: list[Line] = []
     parts: list[str] = []
-    plain = 0
+    plain = total = 0
     in_link = inside = 0
-    skipped, depth = "", 0
+    lone = False
+    aside_until = doubtful_until = -1
 
     def close():
-        nonlocal parts, plain
+        nonlocal parts, plain, total, lone
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, plain, inside > 0))
-        parts, plain = [], 0
+            marked = inside > 0 and doubtful_until < 0
+            lines.append(_GAP if lone else Line(text, MARKED * total if marked else plain, marked))
+            lone = False
+        parts, plain, total = [], 0, 0
 
     def add(raw: str):
-        nonlocal plain
+        nonlocal plain, total
         if raw:
             text = unescape(raw)
             parts.append(text)
-            if not in_link:
-                plain += len("".join(text.split()))
+            n = len("".join(text.split()))
+            total += n
+            plain += 0 if in_link else n
 
     at = 0
-    while tag := _TAG.search(page, at):
-        name = (tag["name"] or tag["name2"] or "").lower()
-        end = bool(tag["end"] or tag["end2"])
-        if not skipped:
-            add(page[at : tag.start()])
-        at = tag.end()
+    for i, tag in enumerate(tags):
+        if aside_until < 0:
+            add(page[at : tag.start])
+        at = tag.stop
+        name = tag.name
+        if i == doubtful_until:
+            close()
+            doubtful_until = -1
+        if aside_until >= 0:
+            if not tag.end and name in ARTICLE and not inside:
+                doubtful_until, aside_until = aside_until, -1
+            elif i < aside_until:
+                continue
+            else:
+                aside_until = -1
+                if tag.end and name not in ARTICLE:
+                    continue
         if not name:
             continue
-        if not end and name in RAW:
-            # Nothing within is a tag.
-            at = _after_raw(page, name, at)
-            if not skipped and name in BLOCKS:
-                close()
-            continue
-        if skipped:
-            if not end and name in ARTICLE:
-                skipped, depth = "", 0
-            else:
-                if name == skipped:
-                    depth += -1 if end else 1
-                    if not depth:
-                        skipped = ""
-                continue
         if name in BLOCKS:
             close()
         elif name == "br":
             parts.append(" ")
-        if end:
-            if name in ARTICLE:
-                inside = max(0, inside - 1)
+        if tag.end:
+            if name in ARTICLE and inside:
+                inside -= 1
+                if not inside:
+                    lines.extend([_GAP] * WINDOW)
             elif name == "a":
                 in_link = 0
             continue
-        attrs = tag["attrs"] or tag["attrs2"] or ""
+        if name in RAW or name in VOID:
+            continue
         if name in ARTICLE:
+            if not inside:
+                lines.extend([_GAP] * WINDOW)
             inside += 1
             in_link = 0
+            lone = False
         elif name == "a":
             in_link = 1
-        elif name not in VOID and name not in ("html", "body"):
+        if name not in ("html", "body", *ARTICLE):
             own = name in DROPPED and not (inside and name in ("header", "figure"))
-            if own or (_aside(attrs) if inside else _named(attrs) & NAMES) or _HIDDEN.search(attrs):
-                skipped, depth = name, 1
-    if not skipped:
+            if own or (_aside(tag.attrs) if inside else _named(tag.attrs) & NAMES) or _HIDDEN.search(tag.attrs):
+                if name in BLOCKS and lines and lines[-1].text:
+                    lines.append(_GAP)
+                if i in ends:
+                    aside_until = ends[i]
+                elif name in BLOCKS:
+                    lone = True
+                if name == "a":
+                    in_link = 0
+    if aside_until < 0:
         add(page[at:])
     close()
     return lines
@@ -164,23 +253,26 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def extract(page: str | None) -> str:
     """The main text of a page: blocks in page order, joined by an empty line; empty if there is none.
 
-    If the page marks an article, lines outside it count as empty and any text surges. If
-    not, text surges in windows of more than ``SURGE`` characters outside links, or more
-    than half the largest window where that is smaller.
+    Text surges in windows of more than ``SURGE`` characters, or more than half the largest
+    window where that is smaller, and dives where a window is empty. If the largest window lies
+    in an article, text elsewhere surges in windows of more than half of that only. Any text
+    within an article surges.
     """
     lines = lines_of(page or "")
-    marked = any(inside for _, _, inside in lines)
-    lengths = [0 if marked and not inside else len(text) if marked else plain for text, plain, inside in lines]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    surge = 0 if marked else min(SURGE, max(sums, default=0) / 2)
+    before = [0, *accumulate(line.length for line in lines)]
+    sums = [before[min(i + WINDOW, len(lines))] - before[i] for i in range(len(lines))]
+    peak = max(sums, default=0)
+    top = next((i for i, n in enumerate(sums) if n == peak), 0)
+    marked = any(line.inside and line.length for line in lines[top : top + WINDOW])
+    outside = peak / 2 if marked else min(SURGE, peak / 2)
     kept, on = [], False
-    for i, (text, _, _) in enumerate(lines):
-        if not on and sums[i] > surge and lengths[i]:
-            on = True
-        elif on and not sums[i]:
+    for i, line in enumerate(lines):
+        if not sums[i]:
             on = False
-        if on and lengths[i]:
-            kept.append(text)
+        elif line.length and sums[i] > (0 if line.inside else outside):
+            on = True
+        if on and line.text:
+            kept.append(line.text)
     return "\n\n".join(kept)
 
 
