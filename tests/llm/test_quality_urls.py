@@ -127,6 +127,65 @@ def test_similar_branches_are_merged(spark):
     assert len({round(r["badness"], 9) for r in judged if not r["url"].endswith("xe/p")}) == 1
 
 
+def plain_templates(shapes, tree=urls.Tree()):
+    """Templates by host and shape, level after level, in plain Python."""
+    parts = {key: [] for key in shapes}
+    for level in range(max(len(shape) for _, shape in shapes)):
+        children = {}
+        for (host, shape), n in shapes.items():
+            if level < len(shape):
+                seen = children.setdefault((host, *parts[host, shape]), {})
+                seen[shape[level]] = seen.get(shape[level], 0) + n
+        for host, shape in shapes:
+            if level < len(shape):
+                seen = children[(host, *parts[host, shape][:level])]
+                variable = len(seen) >= tree.many and sum(seen.values()) <= len(seen) * tree.repeats
+                parts[host, shape].append(urls.ANY if variable else shape[level])
+    return {key: "/".join(found) for key, found in parts.items()}
+
+
+def test_wildcards_below_wildcards(spark):
+    bad = [(f"http://h/u/name{a}{b}/slug-{a}{b}{c}", 1) for a in "abcdef" for b in "efghi" for c in "jk"]
+    good = [(f"http://h/w/name{a}{b}/slug-{a}{b}{c}", 0) for a in "abcdef" for b in "efghi" for c in "jk"]
+    df = spark.createDataFrame(bad + good, "url string, bad int")
+    found = urls.filter_urls(df, [], F.col("bad")).collect()
+    assert {(r["template"], r["verdict"]) for r in found} == {("u/*/*", "block"), ("w/*/*", "allow")}
+
+
+def test_the_tree_decides_on_whole_pages(spark):
+    # Few hosts, and paths whose second and third segments vary, out of every page's url; the label says en or de.
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    lang, name = F.substring(path, 2, 2), F.substring_index(host, ".", 1)
+    kind = F.element_at(F.split(host, r"\."), -1)
+    word = F.translate(F.regexp_extract(path, r"(\d+)", 1), "0123456789", "abcdefghij")
+    made = F.concat(F.lit("http://"), kind, F.lit("/"), lang, F.lit("/"), word, F.lit("/"), name, word, F.lit("/p"))
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("url is not null")
+    pages = pages.select("page_id", made.alias("url"), (lang == "en").cast("int").alias("bad"))
+    found = urls.filter_urls(pages, [], F.col("bad")).collect()
+    assert len(found) == pages.count()
+    shapes = {}
+    for r in found:
+        key = (r["host"], tuple(re.sub(r"\d+", "{n}", r["path"]).strip("/").split("/")))
+        shapes[key] = shapes.get(key, 0) + 1
+    want = plain_templates(shapes)
+    for r in found:
+        key = (r["host"], tuple(re.sub(r"\d+", "{n}", r["path"]).strip("/").split("/")))
+        assert r["template"] == want[key]
+    assert any(t.count("*") > 1 for t in want.values())
+    blocked = {r["template"] for r in found if r["verdict"] == "block"}
+    assert blocked and all(t.startswith("en/") or t == "en" for t in blocked)
+
+
+def test_counts_change_under_wildcards(spark):
+    # Alone, the children of each name are variable; together "same" repeats, so they are not.
+    rows = {("h", ("r", f"n{i}", s)): 1 for i in range(9) for s in ("same", "one", "two")}
+    rows |= {("h", ("q", "x", f"s{i}", "t")): 1 + i % 2 for i in range(12)}
+    df = spark.createDataFrame([(h, list(s), n, 0, 0) for (h, s), n in rows.items()],
+                               "host string, shape array<string>, rows long, labels long, bad long")
+    found = {(r["host"], tuple(r["shape"])): r["template"] for r in urls.templates(df).collect()}
+    assert found == plain_templates(rows)
+
+
 def test_long_paths_and_empty_tables(spark):
     df = spark.createDataFrame([("http://h/" + "a/" * 3000, 1), (None, 2)], "url string, page_id int")
     assert len(urls.filter_urls(df, URL_RULES).collect()) == 2

@@ -147,7 +147,7 @@ from sharded
 """
 
 OP10 = r"""
-with parts as (
+with recursive parts as (
   select row_number() over () as place, page_id,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -168,16 +168,15 @@ with parts as (
   select *, case when rule is null then null when rule in ('com/', 'www.example.com/en/') then 0 else 1 end as bad from ruled
 ), shapes as (
   select host, shape, count(*) as n, count(bad) as labels, coalesce(sum(bad), 0) as bad from said group by all
-), nodes as (
-  select host, shape, n, level, shape[1:level - 1] as node, shape[level] as child
-  from (select host, shape, n, unnest(range(1, len(shape) + 1)) as level from shapes)
-), children as (
-  select host, node, child, sum(n) as n from nodes group by all
-), variable as (
-  select host, node from children group by all having count(*) >= 8 and sum(n) <= count(*) * 2
+), grown as (
+  select host, shape, n, 0 as level, []::varchar[] as parts from shapes
+  union all
+  select host, shape, n, level + 1, list_append(parts, case
+      when count(distinct shape[level + 1]) over node >= 8 and sum(n) over node <= 2 * count(distinct shape[level + 1]) over node
+      then '*' else shape[level + 1] end)
+  from grown where level < len(shape) window node as (partition by host, parts)
 ), general as (
-  select a.host, shape, list(case when v.host is null then child else '*' end order by level) as parts
-  from nodes a left join variable v on a.host = v.host and a.node = v.node group by all
+  select host, shape, parts from grown where level = len(shape)
 ), rows_ as (
   select host, shape, len(parts) as depth, case when len(parts) > 1 then parts[1] else '' end as top,
     array_to_string(parts, '/') as template, labels, bad

@@ -11,9 +11,11 @@ import string
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm.common import checkpointed
+
 ALLOW, BLOCK = "allow", "block"
 ANY = "*"
 
@@ -75,55 +77,70 @@ def _segments(path: Column) -> Column:
     return F.split(F.regexp_replace(plain, "^/+|/+$", ""), "/+")
 
 
+def generalised(shapes: DataFrame, tree: Tree = Tree()) -> DataFrame:
+    """``shapes`` (one row per host and shape) with ``parts``: its segments, variable ones as wildcards.
+
+    Whether a node's children are variable is counted under the wildcards above it. All levels are
+    counted at once, again until no part changes any more: a level is settled one round after
+    those above it, so rounds follow wildcards below wildcards, not the depth of paths.
+    """
+    state = checkpointed(shapes.withColumn("parts", F.col("shape")))
+    while True:
+        nodes = state.select(
+            "host", "rows", "shape", "parts", F.posexplode("shape").alias("level", "child")
+        ).withColumn("node", F.xxhash64("level", F.slice("parts", F.lit(1), F.col("level"))))
+        variable = (
+            nodes.groupBy("host", "node", "child")
+            .agg(F.sum("rows").alias("rows"))
+            .groupBy("host", "node")
+            .agg(F.count("*").alias("children"), F.sum("rows").alias("rows"))
+            .where((F.col("children") >= tree.many) & (F.col("rows") <= F.col("children") * F.lit(tree.repeats)))
+            .select("host", "node", F.lit(True).alias("variable"))
+        )
+        part = F.when(F.col("variable"), F.lit(ANY)).otherwise(F.col("child"))
+        made = (
+            nodes.drop("parts")
+            .join(variable, ["host", "node"], "left")
+            .groupBy("host", "shape")
+            .agg(F.array_sort(F.collect_list(F.struct("level", part.alias("part")))).alias("made"))
+            .select("host", "shape", F.transform("made", lambda m: m["part"]).alias("made"))
+        )
+        state = checkpointed(
+            state.join(made, ["host", "shape"]).select(
+                *shapes.columns, F.col("made").alias("parts"), (F.col("made") != F.col("parts")).alias("changed")
+            )
+        )
+        if state.where("changed").isEmpty():
+            return state.drop("changed")
+
+
 def templates(shapes: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """The template of each row of host, shape (array of segments), rows, labels and bad (long).
 
     Adds ``template`` (string), ``branch`` (string, what it was merged to), ``badness``
     (double, the smoothed share) and ``rejected`` (boolean). ``shapes`` has one row per host
-    and shape. Paths may be of any depth: all nodes of all levels are counted at once.
+    and shape. Paths may be of any depth.
     """
-    nodes = shapes.select(
-        "host", "rows", F.posexplode("shape").alias("level", "child"), "shape"
-    ).withColumn("node", F.xxhash64(F.slice("shape", F.lit(1), F.col("level"))))
-    children = nodes.groupBy("host", "node", "child").agg(F.sum("rows").alias("rows"))
-    variable = (
-        children.groupBy("host", "node")
-        .agg(F.count("*").alias("children"), F.sum("rows").alias("rows"))
-        .where((F.col("children") >= tree.many) & (F.col("rows") <= F.col("children") * F.lit(tree.repeats)))
-        .select("host", "node", F.lit(True).alias("variable"))
-    )
-    part = F.when(F.col("variable"), F.lit(ANY)).otherwise(F.col("child"))
-    general = (
-        nodes.join(variable, ["host", "node"], "left")
-        .groupBy("host", "shape")
-        .agg(F.array_sort(F.collect_list(F.struct("level", part.alias("part")))).alias("parts"))
-        .select("host", "shape", F.transform("parts", lambda p: p["part"]).alias("parts"))
-    )
-    rows = shapes.join(general, ["host", "shape"]).withColumn("depth", F.size("parts"))
+    rows = generalised(shapes, tree).withColumn("depth", F.size("parts"))
     # Siblings are templates of one depth below one first segment.
     top = F.when(F.col("depth") > 1, F.element_at("parts", 1)).otherwise(F.lit(""))
     rows = rows.withColumn("top", top).withColumn("template", F.concat_ws("/", "parts"))
-    counted = rows.groupBy("host", "depth", "top", "template").agg(
-        F.sum("labels").alias("labels"), F.sum("bad").alias("bad")
-    )
-    siblings = Window.partitionBy("host", "depth", "top")
+    siblings = ["host", "depth", "top"]
+    counted = rows.groupBy(*siblings, "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
     enough = F.col("labels") >= tree.least
-    pooled = counted.withColumn("all_labels", F.sum(F.when(enough, F.col("labels"))).over(siblings)).withColumn(
-        "all_bad", F.sum(F.when(enough, F.col("bad"))).over(siblings)
+    shares = (
+        counted.where(enough).groupBy(*siblings).agg((F.sum("bad") / F.sum("labels")).alias("share"))
     )
-    share = F.col("all_bad") / F.col("all_labels")
     labels = F.nullif("labels", F.lit(0))
-    error = F.sqrt(share * (1 - share) / labels)
-    alike = enough & (F.abs(F.col("bad") / labels - share) <= F.lit(tree.similar) * error)
-    merged = F.when(alike, F.concat_ws("/", "top", F.lit("~"))).otherwise(F.col("template"))
-    pooled = pooled.withColumn("branch", F.when(F.col("labels") > 0, merged).otherwise(F.col("template")))
-    of_branch = Window.partitionBy("host", "depth", "top", "branch")
-    badness = (F.sum("bad").over(of_branch) + tree.prior * tree.strength) / (
-        F.sum("labels").over(of_branch) + tree.strength
-    )
-    judged = pooled.withColumn("badness", badness).select("host", "template", "branch", "badness")
+    error = F.sqrt(F.col("share") * (1 - F.col("share")) / labels)
+    alike = enough & (F.abs(F.col("bad") / labels - F.col("share")) <= F.lit(tree.similar) * error)
+    branch = F.when(alike, F.concat_ws("/", "top", F.lit("~"))).otherwise(F.col("template"))
+    branched = counted.join(shares, siblings, "left").withColumn("branch", branch)
+    badness = (F.sum("bad") + tree.prior * tree.strength) / (F.sum("labels") + tree.strength)
+    judged = branched.groupBy(*siblings, "branch").agg(badness.alias("badness"))
     return (
-        rows.join(judged, ["host", "template"])
+        rows.join(branched.select(*siblings, "template", "branch"), [*siblings, "template"])
+        .join(judged, [*siblings, "branch"])
         .select("host", "shape", "template", "branch", "badness")
         .withColumn("rejected", F.col("badness") >= tree.reject)
     )
