@@ -124,6 +124,18 @@ def test_all_ways_to_the_gradient_agree(spark, monkeypatch):
     df.unpersist()
 
 
+@pytest.mark.parametrize("width", [9, 62, 63, 130])
+def test_products_of_wide_points(spark, monkeypatch, width):
+    """Widths around one and two tiles, with sums of several tasks in several groups."""
+    monkeypatch.setattr(regression, "FAN_IN", 3)
+    rng = np.random.default_rng(width)
+    x, y = rng.normal(0, 1, (300, width)), rng.normal(0, 1, 300)
+    rows = [(float(b), [float(v) for v in a]) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows, "label double, features array<double>").repartition(7)
+    gram, moment = regression.mean_products(df, width)
+    assert np.allclose(gram, x.T @ x / 300) and np.allclose(moment, x.T @ y / 300)
+
+
 def test_points_of_unequal_width_are_refused(spark):
     rows = [(1.0, [1.0]), (2.0, [1.0, 2.0]), (3.0, [1.0, 3.0])]
     ragged = spark.createDataFrame(rows, "label double, features array<double>")

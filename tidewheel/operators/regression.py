@@ -12,14 +12,18 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Widest point for which the products are aggregated column by column.
 MAX_PRODUCT_COLUMNS = 8
-# Widest point for which the matrix of products is formed at all.
-MAX_PRODUCT_WIDTH = 128
+# Widest point for which the matrix of products is formed at all: 128 MB on the driver.
+MAX_PRODUCT_WIDTH = 4096
+# Side of the square tiles that matrix is summed in.
+TILE = 64
+# Into how many sums per tile those of all tasks are added first.
+FAN_IN = 256
 
 
 def mean_products(points: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,12 +39,67 @@ def mean_products(points: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
             gram[i, j] = gram[j, i] = value
         return gram, np.array(row[len(pairs):], dtype="float64")
 
-    def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.concatenate([(x.T @ x).ravel(), x.T @ y, [len(y)]])
+    # A point's columns are its features, its label and 1.
+    columns = width + 2
+    padded = -(-columns // TILE) * TILE
+    gram = np.zeros((padded, padded))
+    for i, j, part in _tiles(points, width, padded).collect():
+        at = slice(i, i + TILE), slice(j, j + TILE)
+        gram[at] = np.frombuffer(part).reshape(TILE, TILE)
+        gram[at[::-1]] = gram[at].T
+    gram /= gram[columns - 1, columns - 1]
+    return gram[:width, :width], gram[:width, width]
 
-    total = _sum_over_batches(points, products, width)
-    square = width * width
-    return total[:square].reshape(width, width) / total[-1], total[square:-1] / total[-1]
+
+def _tiles(points: DataFrame, width: int, padded: int) -> DataFrame:
+    """``(i, j, part)``: the sums of products of columns from ``i`` with columns from ``j``, as bytes, for i <= j.
+
+    A task sends its sums once; sums of the same tile are added in two rounds, so that no task
+    adds those of more than ``1 / FAN_IN`` of all tasks at once.
+    """
+    starts = range(0, padded, TILE)
+
+    def sums_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                z = np.zeros((len(batch), padded))
+                z[:, :width] = np.stack(batch["features"].to_numpy())
+                z[:, width] = batch["label"]
+                z[:, width + 1] = 1.0
+                total = np.zeros((padded, padded)) if total is None else total
+                for i in starts:
+                    total[i : i + TILE, i:] += z[:, i : i + TILE].T @ z[:, i:]
+        if total is not None:
+            group = TaskContext.get().partitionId() % FAN_IN
+            for i in starts:
+                rows = [(i, j, group, total[i : i + TILE, j : j + TILE].tobytes()) for j in starts if j >= i]
+                yield pd.DataFrame(rows, columns=["i", "j", "group", "part"])
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict = {}
+        for batch in batches:
+            for i, j, group, part in batch.itertuples(index=False):
+                value = np.frombuffer(part)
+                key = (i, j, group)
+                if key in totals:
+                    totals[key] += value
+                else:
+                    totals[key] = value.copy()
+        for (i, j, group), value in totals.items():
+            yield pd.DataFrame({"i": [i], "j": [j], "group": [group], "part": [value.tobytes()]})
+
+    schema = "i int, j int, group int, part binary"
+    return (
+        points.select("features", F.col("label").cast("double").alias("label"))
+        .mapInPandas(sums_of_task, schema)
+        .repartition("i", "j", "group")
+        .mapInPandas(added, schema)
+        .withColumn("group", F.lit(0))
+        .repartition("i", "j")
+        .mapInPandas(added, schema)
+        .drop("group")
+    )
 
 
 def _sum_over_batches(points: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:

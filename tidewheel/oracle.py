@@ -278,6 +278,36 @@ select 0 as pos, round(w0, 8) as weight, t as steps from f
 union all select 1, round(w1, 8), t from f"""
 
 
+def _wide_descent(width: int, iters: int, rate: str, reg: float, tol: float | None) -> str:
+    """Gradient descent on ``width`` features of the orders; ``rate`` is the step size at step ``t + 1``."""
+
+    def norm(values: str) -> str:
+        return f"sqrt(list_dot_product({values}, {values}))"
+
+    moved = "list_transform(list_zip(w, o), lambda z: z[1] - z[2])"
+    stop = f"t > 1 and {norm(moved)} < {tol} * greatest({norm('w')}, 1)" if tol is not None else "false"
+    return f"""with recursive data as materialized (
+  select o_totalprice / 100000 as y, list_transform(range(1, {width} + 1),
+    lambda k: ((o_orderkey::bigint * (2 * k + 1) + o_custkey::bigint * k) % 997)::double / 498 - 1) as x
+  from orders
+),
+r as (
+  select 0 as t, list_transform(range({width}), lambda k: 0::double) as w, false as done
+  union all
+  select t, w, {stop} from (
+    select r.t + 1 as t, r.w as o, list_transform(list_zip(r.w, g), lambda z: z[1] * (1 - {rate} * {reg}) - {rate} * z[2]) as w
+    from r join (
+      select t, list(g order by k) as g from (
+        select t, k, avg(e * x) as g from (
+          select r.t, list_dot_product(r.w, d.x) - d.y as e, unnest(d.x) as x, unnest(range({width})) as k
+          from r, data d where not r.done and r.t < {iters})
+        group by t, k)
+      group by t) s on r.t = s.t)
+),
+f as (select * from r order by t desc limit 1)
+select unnest(range({width}))::int as pos, round(unnest(w), 8) as weight, t as steps from f"""
+
+
 WSSSE = (
     _with(
         ("vecs", VECTORS),
@@ -558,6 +588,8 @@ qualify count(*) over (partition by gap, block) > 1""",
     "wssse": WSSSE,
     "linreg_bgd": _bgd(q.BGD_STEPS),
     "linreg_sgd": _descent(100, "1.0 / sqrt(r.t + 1)", 0.01, 0.001),
+    "linreg_sgd_20": _wide_descent(20, 100, "1.0 / sqrt(r.t + 1)", 0.01, 0.001),
+    "sgd_least_squares_300": _wide_descent(300, q.WIDE_STEPS, "0.1 / sqrt(r.t + 1)", 0.0, None),
     "sgd_least_squares": _descent(50, "0.1 / sqrt(r.t + 1)", 0.0, None),
     "sgd_intercept": f"""select 1 - pos as pos, weight, steps from ({_descent(50, "0.1 / sqrt(r.t + 1)", 0.0, None)})""",
     "gen_kmeans_points": _generated([5, 1, 1, 1, 2]),

@@ -25,6 +25,7 @@ GRAPH_STEPS = 5
 COMPONENT_STEPS = 10
 DELTA_THRESHOLD = 0.1
 LLOYD_STEPS = 10
+WIDE_STEPS = 20
 BGD_STEPS = 10
 GENERATED_CLUSTERS = 5
 HOT_ROWS = 50
@@ -531,6 +532,23 @@ def sgd_intercept(spark, sf_dir):
     return _rounded_weights(regression.sgd_least_squares(points, fit_intercept=True))
 
 
+def wide_points(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    """A point for every order: its price, and ``width`` features in [-1, 1] out of its keys."""
+    order, customer = F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint")
+    features = F.transform(
+        F.sequence(F.lit(1), F.lit(width)), lambda k: ((order * (2 * k + 1) + customer * k) % 997) / 498.0 - 1.0
+    )
+    return table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 100000).alias("label"), features.alias("features"))
+
+
+def linreg_sgd_20(spark, sf_dir):
+    return _rounded_weights(regression.linear_regression_sgd(wide_points(spark, sf_dir, 20)))
+
+
+def sgd_least_squares_300(spark, sf_dir):
+    return _rounded_weights(regression.sgd_least_squares(wide_points(spark, sf_dir, 300), WIDE_STEPS))
+
+
 # -- data generation -------------------------------------------------------
 
 
@@ -722,6 +740,8 @@ QUERIES: dict[str, Query] = {
     "linreg_sgd": linreg_sgd,
     "sgd_least_squares": sgd_least_squares,
     "sgd_intercept": sgd_intercept,
+    "linreg_sgd_20": linreg_sgd_20,
+    "sgd_least_squares_300": sgd_least_squares_300,
     "gen_kmeans_points": gen_kmeans_points,
     "gen_kmeans_centers": gen_kmeans_centers,
     "gen_linreg": gen_linreg,
