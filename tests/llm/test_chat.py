@@ -48,6 +48,28 @@ def test_what_templates_may_not(source):
         chat.Template(source)
 
 
+def test_minus_takes_white_space():
+    assert render("a {%- if true %} b{% endif %}") == "a b"
+    assert render("a \n {{- 'x' -}} \n b {#- gone -#} c {{ -1 }}{{-2}}") == "axbc -12"
+    assert render("{%- if true -%} a {%- endif -%}\n") == "a"
+
+
+@pytest.mark.parametrize(
+    "source", ["{{ 1 // 0 }}", "{{ 'a' * 100000000 }}", "{{ 'a' - 1 }}", "{{ 1 < 'a' }}", "{{ 2 | replace('a') }}"]
+)
+def test_constants_that_fail_are_template_errors(source):
+    with pytest.raises(chat.TemplateError):
+        chat.Template(source)
+
+
+def test_values_that_fail_are_template_errors():
+    for source, x in (("{{ 1 // x }}", 0), ("{{ 'ab' * x }}", 10**9), ("{{ x * x }}", 1 << 600_000)):
+        with pytest.raises(chat.TemplateError):
+            render(source, x=x)
+    assert render("{{ 'ab' * x }}{{ x * x }}", x=3) == "ababab9"
+    assert render("{{ 2 * x }}", x=1.5) == "3.0"
+
+
 def test_values_are_reached_by_key_only():
     assert render("{{ m.real }}{{ m.role }}", m={"role": "r"}) == "r"
     assert render("{{ n.real }}{{ s.upper }}", n=3, s="s") == ""

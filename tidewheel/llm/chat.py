@@ -114,6 +114,21 @@ def _text(value: object) -> str:
     return "" if value is None else value if isinstance(value, str) else str(value)
 
 
+#: Longest text, and number of bits, that a multiplication may give.
+MAX_PRODUCT = 1_000_000
+
+
+def _times(a: object, b: object) -> object:
+    """A product of numbers, or a text or list repeated, within ``MAX_PRODUCT``."""
+    if isinstance(a, int) and isinstance(b, int):
+        size = a.bit_length() + b.bit_length()
+    else:
+        size = max((len(x) * y for x, y in ((a, b), (b, a)) if isinstance(x, (str, list, tuple))), default=0)
+    if size > MAX_PRODUCT:
+        raise TemplateError("a product is too large")
+    return a * b
+
+
 OPERATORS: dict[str, Callable] = {
     "or": lambda a, b: a or b,
     "and": lambda a, b: a and b,
@@ -129,7 +144,7 @@ OPERATORS: dict[str, Callable] = {
     "~": lambda a, b: _text(a) + _text(b),
     "+": operator.add,
     "-": operator.sub,
-    "*": operator.mul,
+    "*": _times,
     "//": operator.floordiv,
     "%": operator.mod,
 }
@@ -276,9 +291,20 @@ class _Template:
     """The statements of a template."""
 
     def __init__(self, source: str):
-        self.parts = [p for p in _PARTS.split(source) if p and not p.startswith("{#")]
+        # Every other part is a tag; a minus at an end of it takes the white space beyond.
+        parts = _PARTS.split(source)
+        for i in range(1, len(parts), 2):
+            if parts[i][2] == "-":
+                parts[i - 1] = parts[i - 1].rstrip()
+            if parts[i][-3] == "-":
+                parts[i + 1] = parts[i + 1].lstrip()
+        self.parts = [p for p in parts if p and not p.startswith("{#")]
         self.at = 0
 
+    @staticmethod
+    def inner(tag: str) -> str:
+        return tag[2:-2].removeprefix("-").removesuffix("-")
+
     def body(self, *closers: str) -> tuple[tuple, _Expression | None]:
         """Nodes up to a closing statement, and that statement."""
         nodes: list = []
@@ -286,9 +312,9 @@ class _Template:
             part = self.parts[self.at]
             self.at += 1
             if part.startswith("{{"):
-                nodes.append(Output(_Expression(part[2:-2]).whole()))
+                nodes.append(Output(_Expression(self.inner(part)).whole()))
             elif part.startswith("{%"):
-                head = _Expression(part[2:-2].strip("-"))
+                head = _Expression(self.inner(part))
                 if head.peek() in closers and closers:
                     return tuple(nodes), head
                 nodes.append(self.statement(head))
@@ -375,7 +401,16 @@ def fold(node):
 
 
 def _function(name: str) -> Callable:
-    return FILTERS[name[1:]] if name.startswith("|") else OPERATORS[name]
+    """An operator or filter whose errors are the template's."""
+    function = FILTERS[name[1:]] if name.startswith("|") else OPERATORS[name]
+
+    def guarded(*args):
+        try:
+            return function(*args)
+        except (TypeError, ArithmeticError, AttributeError) as error:
+            raise TemplateError(f"{name} fails: {error}") from error
+
+    return guarded
 
 
 def _get(value: object, key: object) -> object:
