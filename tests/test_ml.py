@@ -1,4 +1,5 @@
 import math
+import sys
 
 import numpy as np
 import pytest
@@ -198,3 +199,26 @@ def test_steps_with_many_centers(spark):
     _, centers = clustering.kmeans(points(spark, values), start, 2)
     got = sorted(tuple(r) for r in centers.collect())
     assert np.allclose(np.array(got), np.array(current))
+
+
+def test_places_meet_few_of_many_blocks(spark, monkeypatch):
+    """Copies of centres and of points count once, and a point asks near blocks only, wherever it lies."""
+    monkeypatch.setattr(clustering, "_BLOCK_CENTERS", 16)
+    rng = np.random.default_rng(9)
+    angles = rng.uniform(0, 2 * math.pi, 2000)
+    centers = [(i, math.cos(a), math.sin(a)) for i, a in enumerate(angles)] + [(k, 0.5, float(k - 5000)) for k in range(5000, 5600)]
+    copies = centers + [(i + 10_000, x, y) for i, x, y in centers] + [(-5, math.nan, 0.0), (-6, None, 0.0), (-7, 0.0, math.inf)]
+    values = [tuple(map(float, v)) for v in rng.normal(0, 1, (300, 2))] + [(700.0, 700.0), (-900.0, 0.1), (0.5, 300.25)]
+    df = points(spark, values * 3 + [(None, 1.0), (math.nan, 1.0), (math.inf, 1.0)])
+    table = spark.createDataFrame(copies, "id int, x double, y double")
+    got = clustering.nearest_center(df, table).collect()
+    assert sum(r.center_id == -1 and r.distance == sys.float_info.max for r in got) == 3 and len(got) == 912
+    for r in got:
+        if r.center_id != -1:
+            assert (r.distance, r.center_id) == min((math.sqrt((r.x - x) * (r.x - x) + (r.y - y) * (r.y - y)), i) for i, x, y in centers)
+    _, blocks = clustering._blocks(table)
+    x, y = np.array(values).T
+    home = blocks.home(x, y)
+    d = np.array([min(math.hypot(px - cx, py - cy) for _, cx, cy in centers) for px, py in values])
+    owner, _ = blocks.within(x, y, d * 1.000001)
+    assert len(blocks.min_x) > 150 and len(owner) < 5 * len(values) and len(home) == len(values)
