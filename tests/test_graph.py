@@ -292,3 +292,44 @@ def test_loops_end_on_a_relation_known_to_be_empty(spark):
     for mode in ("contrib", "bulk", "static"):
         assert pagerank(none, 2, mode=mode, n=3).count() == 0
     assert pagerank_delta(none, 3, 2).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_edges_laid_out_are_found_in_every_step(spark, no_broadcast, monkeypatch, hot_rows):
+    """No step scans the edges again, though the layout and the state come from one table of vertices."""
+    from tidewheel.operators import components, pagerank as ranks
+    from tidewheel.plans import skew
+
+    plans = []
+    receive = skew.OutEdges.receive
+
+    def watched(self, *args):
+        out = receive(self, *args)
+        plans.append(out._jdf.queryExecution().withCachedData().toString())
+        return out
+
+    monkeypatch.setattr(skew.OutEdges, "receive", watched)
+    edges = frame(spark, EDGES).repartition(2)
+    components.connected_components(edges, 3, hot_rows=hot_rows)
+    for mode in ("bulk", "static"):
+        ranks.pagerank(edges, 2, mode=mode, n=6, eps=None, hot_rows=hot_rows)
+    pagerank_delta(edges, 6, 2, 0.01, hot_rows=hot_rows)
+    for plan in plans:
+        outside, depth = [], None
+        for line in plan.split("\n"):
+            at = len(line) - len(line.lstrip(" :+-"))
+            if depth is not None and at > depth:
+                continue
+            depth = at if "InMemoryRelation" in line else None
+            outside.append(line)
+        assert not any("Repartition" in line or "Generate" in line for line in outside), "\n".join(outside)
+    assert len(plans) > 6
+
+
+def test_contraction_ends_stars_in_few_steps(spark):
+    """Hubs with the smallest and the largest number of their stars."""
+    from tidewheel.operators.components import contracted_components
+
+    stars = [(h * 1000, h * 1000 + k) for h in range(20) for k in range(1, 400)] + [(0, h * 1000) for h in range(1, 20)]
+    labels, steps = contracted_components(frame(spark, stars))
+    assert {r.component for r in labels.collect()} == {0} and labels.count() == 20 * 400 and steps <= 4

@@ -11,6 +11,8 @@ from tidewheel.plans.state import CoPartitioned, LoopState, checkpointed, observ
 
 #: Tables of changed labels that are read beside the base table before they are merged into it.
 LOG = 4
+#: Steps of a contraction that take vertices in their own order.
+PLAIN = 3
 
 
 def connected_components(
@@ -34,14 +36,12 @@ def connected_components(
     spark = edges.sparkSession
     files = LoopState(spark, "components", materialize) if materialize else None
     both = undirected(edges)
-    degrees = checkpointed(out_degrees(both))
-    total = degrees.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
+    total = 2 * edges.count()
     rows: list[tuple] = []
     with CoPartitioned(spark, partitions_for(spark, total)) as loop:
-        own = degrees.select(F.col("src").alias("v"), F.col("src").alias("component"), "outdeg").repartition("v")
-        own, _ = loop.keep(own)
-        layout = out_edges(both, own.select(F.col("v").alias("src"), "outdeg"), hot_rows, total)
-        senders = base = own.select("v", "component")
+        own, _ = loop.keep(out_degrees(both))
+        layout = out_edges(both, own, hot_rows, total, counted=False)
+        senders = base = own.select(F.col("src").alias("v"), F.col("src").alias("component"))
         log: list[DataFrame] = []
         step = 0
         while to_convergence or step < iters:
@@ -95,29 +95,33 @@ def _order(v: Column, step: int) -> Column:
 def contracted_components(edges: DataFrame) -> tuple[DataFrame, int]:
     """``(v, component)`` with the smallest vertex of each component, and the number of steps.
 
-    In a step each vertex is given to the one that comes first, in an order drawn anew, of itself and
-    its neighbours; those are the vertices of the next step, and edges between them are kept once.
-    At least a quarter of all vertices, on average, is gone after a step, on a chain half of them, so
+    In a step each vertex is given to the one that comes first, in some order, of itself and its
+    neighbours; those are the vertices of the next step, and edges between them are kept once, in one
+    direction. The first ``PLAIN`` steps, which have the most edges, take the vertices as they are
+    ordered: that needs neither hashes nor sorting, and ends stars and trees around their smallest. Every
+    other step draws an order anew: at least a quarter of its vertices, on average, is gone then, on a chain half of them, so
     that the steps grow with the logarithm of the vertices, whatever the diameter, and all steps
     together move a few times the edges.
     """
     # Written as files: those have a size that Spark can read, however many joins led to them.
     loop = LoopState(edges.sparkSession, "contraction")
     given: list[DataFrame] = []
-    left = undirected(edges)
+    left = edges.select("src", "dst")
     while True:
         step = len(given)
-        first = F.min(_order(F.col("dst"), step)).alias("first")
-        chosen = left.groupBy("src").agg(first).select(
-            F.col("src").alias("v"), F.least("first", _order(F.col("src"), step))["v"].alias("to")
-        )
+        both = undirected(left)
+        if step >= PLAIN:
+            first = F.min(_order(F.col("dst"), step)).alias("first")
+            chosen = both.groupBy("src").agg(first).select(
+                F.col("src").alias("v"), F.least("first", _order(F.col("src"), step))["v"].alias("to")
+            )
+        else:
+            chosen = both.groupBy("src").agg(F.min("dst").alias("first"))
+            chosen = chosen.select(F.col("src").alias("v"), F.least("first", "src").alias("to"))
         given.append(loop.save(chosen, f"given_{step}"))
-        ends = given[-1].select(F.col("v").alias("src"), F.col("to").alias("a"))
-        other = given[-1].select(F.col("v").alias("dst"), F.col("to").alias("b"))
-        # Both directions are there, so one end is replaced, the edge turned, and then the other.
-        moved = left.where("src <> dst").join(ends, "src").select("dst", "a").distinct().join(other, "dst")
-        moved = moved.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src <> dst").distinct()
-        left = loop.advance(moved, "edges", step)
+        a, b = (given[-1].select(F.col("v").alias(end), F.col("to").alias(to)) for end, to in (("src", "a"), ("dst", "b")))
+        moved = left.where("src <> dst").join(a, "src").join(b, "dst").where("a <> b")
+        left = loop.advance(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges", step)
         if left.isEmpty():
             break
     last = given[-1]

@@ -55,7 +55,7 @@ def pagerank(
         pages, seen = loop.keep(everyone.repartition("v"), senders=sends)
         senders = seen["senders"]
         sources = pages.where("outdeg > 0")
-        layout = out_edges(links, sources.select(F.col("v").alias("src"), "outdeg"), hot_rows, total)
+        layout = out_edges(links, everyone.where("outdeg > 0").withColumnRenamed("v", "src"), hot_rows, total)
         ranks = (pages if mode == "static" else sources).select("v", F.lit(float(init)).alias("rank"))
         for step in range(1, iters + 1):
             summed = (
@@ -119,7 +119,7 @@ def pagerank_delta(
     rows: list[tuple] = []
     with CoPartitioned(spark, partitions_for(spark, total)) as loop:
         pages, seen = loop.keep(degrees.repartition("v"))
-        layout = out_edges(edges, pages.select(F.col("v").alias("src"), "outdeg"), hot_rows, total)
+        layout = out_edges(edges, degrees.withColumnRenamed("v", "src"), hot_rows, total)
         changes = pages.select("v", F.lit(1.0 - 1.0 / n).alias("delta"))
         senders = seen["rows"]
         log: list[DataFrame] = []

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.plans.state import checkpointed
+from tidewheel.plans.state import checkpointed, renamed_apart
 
 # A table of at most this size, as text, is broadcast.
 BROADCAST_BYTES = 8_000_000
@@ -47,37 +47,48 @@ class OutEdges:
         return sent.unionByName(F.broadcast(hot_state).join(self.hot, "src"))
 
     def release(self) -> None:
-        for part in (self.cold, self.hot, self.hot_keys):
+        for part in (self.cold, self.hot):
             if part is not None:
                 part.unpersist()
 
 
 def partitions_for(spark: SparkSession, edges: int) -> int:
     """Partitions of the layout of so many edges."""
-    return max(min(spark.sparkContext.defaultParallelism, 1 + edges // LEAST_PER_PARTITION), -(-edges // ROWS_PER_PARTITION))
+    slots = spark.sparkContext.defaultParallelism
+    parts = max(min(slots, 1 + edges // LEAST_PER_PARTITION), -(-edges // ROWS_PER_PARTITION))
+    # Beyond the slots a multiple of them, so that no slot waits for a last few partitions.
+    return parts if parts <= slots else -(-parts // slots) * slots
 
 
-def out_edges(edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None, total: int | None = None) -> OutEdges:
-    """Lay out ``edges(src, dst)``; ``degrees(src, outdeg)`` counts the rows of each ``src``, ``total`` all of them."""
+def out_edges(
+    edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None, total: int | None = None, counted: bool = True
+) -> OutEdges:
+    """Lay out ``edges(src, dst)``; ``degrees(src, outdeg)`` counts the rows of each ``src``, ``total`` all of them.
+
+    Unless ``counted``, the edges are laid out without ``outdeg``. The state that meets the layout must not
+    be read from the table of ``degrees``, or the cached edges would be made anew in that step.
+    """
     spark = edges.sparkSession
     if total is None:
         total = degrees.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
     limit = max(HOT_MIN_ROWS if hot_rows is None else hot_rows, total // MAX_HOT_KEYS)
 
-    hot_keys = degrees.filter(F.col("outdeg") > limit).persist()
+    hot_keys = checkpointed(renamed_apart(degrees.filter(F.col("outdeg") > limit)))
+    columns = ["src", "dst", "outdeg"] if counted else ["src", "dst"]
     hot = None
     cold = edges
     if hot_keys.isEmpty():
-        hot_keys.unpersist()
         hot_keys = None
     else:
-        small = F.broadcast(hot_keys)
-        hot = edges.join(small, "src").select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
-        cold = edges.join(F.broadcast(hot_keys.select("src")), "src", "left_anti")
+        few, rest = (checkpointed(renamed_apart(hot_keys)) for _ in range(2))
+        hot = edges.join(F.broadcast(few), "src").select(columns).persist(StorageLevel.MEMORY_AND_DISK)
+        cold = edges.join(F.broadcast(rest.select("src")), "src", "left_anti")
     # Partitioned before the degrees join, so the edges are shuffled once.
     parts = partitions_for(spark, total)
-    cold = cold.select("src", "dst").repartition(parts, "src").join(degrees, "src").sortWithinPartitions("src")
-    cold = cold.select("src", "dst", "outdeg").persist(StorageLevel.MEMORY_AND_DISK)
+    cold = cold.select("src", "dst").repartition(parts, "src")
+    if counted:
+        cold = cold.join(degrees, "src")
+    cold = cold.sortWithinPartitions("src").select(columns).persist(StorageLevel.MEMORY_AND_DISK)
     return OutEdges(cold, hot, hot_keys)
 
 

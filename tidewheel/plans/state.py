@@ -41,6 +41,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def renamed_apart(df: DataFrame) -> DataFrame:
+    """``df`` with columns of its own.
+
+    A plan that reads one written table twice gives the second reading new columns, and what was cached over that
+    reading is then no longer found. A copy of the table under columns of its own is another table.
+    """
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def materialize(df: DataFrame, path: str, step: int | str | None = None, single_file: bool = False) -> DataFrame:
     """Write ``df`` (as iteration ``step`` of ``path``) and return it read back from there."""
     target = path if step is None else f"{path}/iteration_{step}"
@@ -133,7 +142,7 @@ class CoPartitioned:
 
     def keep(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
         """``df`` written below the checkpoint folder, and aggregates over its rows, taken while they are written."""
-        df, seen = observed(df, rows=F.count(F.lit(1)), **counts)
+        df, seen = observed(renamed_apart(df), rows=F.count(F.lit(1)), **counts)
         # Once cached, a table's true size is known; otherwise estimates would multiply from step to step.
         cached = df.persist(StorageLevel.MEMORY_AND_DISK)
         cached.count()
