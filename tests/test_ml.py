@@ -222,3 +222,26 @@ def test_places_meet_few_of_many_blocks(spark, monkeypatch):
     d = np.array([min(math.hypot(px - cx, py - cy) for _, cx, cy in centers) for px, py in values])
     owner, _ = blocks.within(x, y, d * 1.000001)
     assert len(blocks.min_x) > 150 and len(owner) < 5 * len(values) and len(home) == len(values)
+
+
+@pytest.mark.parametrize("width", [3, 20])
+def test_points_are_made_once(spark, width):
+    """One pass reads every point and sees that all are as wide; wider and narrower ones are refused."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def features(k):
+        made.add(1)
+        return [float((k * i) % 7) for i in range(1, width + 1)]
+
+    ids = spark.range(0, 400, 1, 4).select(F.col("id").cast("double").alias("label"), "id")
+    regression.sgd_least_squares(ids.select("label", features("id").alias("features")), 2).collect()
+    assert 400 <= made.value < 800
+    for odd in (0, 399):
+
+        @F.udf("array<double>")
+        def uneven(k, odd):
+            return [float((k * i) % 7) for i in range(1, width + 1 + (k == odd))]
+
+        with pytest.raises(ValueError, match=f"points have {width} to {width + 1} features"):
+            regression.sgd_least_squares(ids.select("label", uneven("id", F.lit(odd)).alias("features")), 2)

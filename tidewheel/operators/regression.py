@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Widest point for which the products are aggregated column by column.
@@ -27,23 +27,26 @@ FAN_IN = 256
 
 
 def mean_products(points: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """``avg(x x')`` and ``avg(x label)`` of points ``(label, features)``, in one pass."""
+    """``avg(x x')`` and ``avg(x label)`` of points ``(label, features)``, in one pass, which checks their width too."""
     if width <= MAX_PRODUCT_COLUMNS:
-        x = [F.element_at("features", k + 1) for k in range(width)]
+        x = [F.get("features", F.lit(k)) for k in range(width)]
         pairs = [(i, j) for i in range(width) for j in range(i, width)]
         row = points.agg(
-            *[F.avg(x[i] * x[j]) for i, j in pairs], *[F.avg(x[i] * F.col("label")) for i in range(width)]
+            *[F.avg(x[i] * x[j]) for i, j in pairs], *[F.avg(x[i] * F.col("label")) for i in range(width)], *_widths()
         ).first()
+        _same_width(*row[-2:])
         gram = np.zeros((width, width))
         for (i, j), value in zip(pairs, row):
             gram[i, j] = gram[j, i] = value
-        return gram, np.array(row[len(pairs):], dtype="float64")
+        return gram, np.array(row[len(pairs) : -2], dtype="float64")
 
     # A point's columns are its features, its label and 1.
     columns = width + 2
     padded = -(-columns // TILE) * TILE
     gram = np.zeros((padded, padded))
-    for i, j, part in _tiles(points, width, padded).collect():
+    tiles = _tiles(points, width, padded).collect()
+    _same_width(min(t["least"] for t in tiles), max(t["most"] for t in tiles))
+    for i, j, part, _, _ in tiles:
         at = slice(i, i + TILE), slice(j, j + TILE)
         gram[at] = np.frombuffer(part).reshape(TILE, TILE)
         gram[at[::-1]] = gram[at].T
@@ -54,15 +57,21 @@ def mean_products(points: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 def _tiles(points: DataFrame, width: int, padded: int) -> DataFrame:
     """``(i, j, part)``: the sums of products of columns from ``i`` with columns from ``j``, as bytes, for i <= j.
 
+    Beside them are the ``least`` and the ``most`` features of a point; with others than ``width`` sums are void.
     A task sends its sums once; sums of the same tile are added in two rounds, so that no task
     adds those of more than ``1 / FAN_IN`` of all tasks at once.
     """
     starts = range(0, padded, TILE)
 
     def sums_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total, least, most = None, width, width
         for batch in batches:
             if len(batch):
+                sizes = batch["features"].map(len)
+                least, most = min(least, int(sizes.min())), max(most, int(sizes.max()))
+                if least != most:
+                    total = np.zeros((padded, padded))
+                    break
                 z = np.zeros((len(batch), padded))
                 z[:, :width] = np.stack(batch["features"].to_numpy())
                 z[:, width] = batch["label"]
@@ -73,23 +82,24 @@ def _tiles(points: DataFrame, width: int, padded: int) -> DataFrame:
         if total is not None:
             group = TaskContext.get().partitionId() % FAN_IN
             for i in starts:
-                rows = [(i, j, group, total[i : i + TILE, j : j + TILE].tobytes()) for j in starts if j >= i]
-                yield pd.DataFrame(rows, columns=["i", "j", "group", "part"])
+                rows = [(i, j, group, total[i : i + TILE, j : j + TILE].tobytes(), least, most) for j in starts if j >= i]
+                yield pd.DataFrame(rows, columns=["i", "j", "group", "part", "least", "most"])
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict = {}
         for batch in batches:
-            for i, j, group, part in batch.itertuples(index=False):
+            for i, j, group, part, least, most in batch.itertuples(index=False):
                 value = np.frombuffer(part)
                 key = (i, j, group)
                 if key in totals:
-                    totals[key] += value
+                    before, low, high = totals[key]
+                    totals[key] = before + value, min(low, least), max(high, most)
                 else:
-                    totals[key] = value.copy()
-        for (i, j, group), value in totals.items():
-            yield pd.DataFrame({"i": [i], "j": [j], "group": [group], "part": [value.tobytes()]})
+                    totals[key] = value, least, most
+        for (i, j, group), (value, least, most) in totals.items():
+            yield pd.DataFrame({"i": [i], "j": [j], "group": [group], "part": [value.tobytes()], "least": [least], "most": [most]})
 
-    schema = "i int, j int, group int, part binary"
+    schema = "i int, j int, group int, part binary, least int, most int"
     return (
         points.select("features", F.col("label").cast("double").alias("label"))
         .mapInPandas(sums_of_task, schema)
@@ -134,6 +144,7 @@ def _gradient(points: DataFrame, width: int) -> tuple[Callable[[np.ndarray], np.
         return (lambda w: gram @ w - moment), (lambda: None)
 
     held = points.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    _same_width(*held.agg(*_widths()).first())
 
     def by_pass(w: np.ndarray) -> np.ndarray:
         total = _sum_over_batches(
@@ -144,14 +155,22 @@ def _gradient(points: DataFrame, width: int) -> tuple[Callable[[np.ndarray], np.
     return by_pass, held.unpersist
 
 
+def _widths() -> tuple[Column, Column]:
+    return F.min(F.size("features")), F.max(F.size("features"))
+
+
 def _width(points: DataFrame) -> int:
-    """The number of features of every point; points of unequal width are an error."""
-    least, most = points.agg(F.min(F.size("features")), F.max(F.size("features"))).first()
-    if least is None:
+    """The number of features of a point; whether all have as many is seen in the pass over them."""
+    some = points.select(F.size("features").alias("n")).where(F.col("n").isNotNull()).first()
+    if some is None:
         raise ValueError("no points")
+    return some["n"]
+
+
+def _same_width(least: int, most: int) -> None:
+    """Points of unequal width are an error."""
     if least != most:
         raise ValueError(f"points have {least} to {most} features")
-    return least
 
 
 def _weights(points: DataFrame, weights: np.ndarray, steps: int) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from tidewheel.functions.hashing import hash_int, hash_uniform
 from tidewheel.operators import clustering, datagen, graph, regression, relational, runtimes
@@ -534,11 +537,17 @@ def sgd_intercept(spark, sf_dir):
 
 def wide_points(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
     """A point for every order: its price, and ``width`` features in [-1, 1] out of its keys."""
-    order, customer = F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint")
-    features = F.transform(
-        F.sequence(F.lit(1), F.lit(width)), lambda k: ((order * (2 * k + 1) + customer * k) % 997) / 498.0 - 1.0
-    )
-    return table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 100000).alias("label"), features.alias("features"))
+
+    @arrow_udf("array<double>")
+    def features(order: pa.Array, customer: pa.Array) -> pa.Array:
+        o, c = (np.asarray(keys.to_numpy(zero_copy_only=False), np.int64)[:, None] for keys in (order, customer))
+        k = np.arange(1, width + 1)
+        values = np.fmod(o * (2 * k + 1) + c * k, 997) / 498.0 - 1.0
+        return pa.ListArray.from_arrays(np.arange(len(o) + 1, dtype=np.int32) * width, values.ravel())
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 100000).alias("label"))
+    keys = (F.col(key).cast("bigint") for key in ("o_orderkey", "o_custkey"))
+    return files.spread(orders, "o_orderkey").select("label", features(*keys).alias("features"))
 
 
 def linreg_sgd_20(spark, sf_dir):
