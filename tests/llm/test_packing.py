@@ -36,6 +36,16 @@ def test_ids_are_those_of_whole_texts():
     assert [np.frombuffer(tokens.of(t), "<u2").tolist() for t in TEXTS] == [i[:-1] for i in ids_of(TEXTS)]
 
 
+def test_a_text_is_encoded_at_once():
+    """New words, of which there is no end, cost no call of their own."""
+    tokens = packing._Tokens(vocabulary())
+    encode, calls = tokens.encode, []
+    tokens.encode = lambda text: calls.append(text) or encode(text)
+    texts = [" ".join(f"w{k}x{i}" for i in range(200)) for k in range(5)]
+    assert [np.frombuffer(tokens.of(t), "<u2").tolist() for t in texts] == [i[:-1] for i in ids_of(texts)]
+    assert calls == texts
+
+
 @settings(deadline=None)
 @given(st.text(alphabet=" \n\tab'sé漢1.\u2003", max_size=30))
 def test_cutting_at_spaces_changes_no_id(text):

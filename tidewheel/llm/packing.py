@@ -31,21 +31,6 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SHARD = 512
 #: Classes of topics that keep apart; each class is dealt over many shards.
 TOPICS = 8
-_CACHED = 1 << 18
-
-
-class _Words(dict):
-    """Ids of a word as bytes. The first ``_CACHED`` words asked for, which the frequent ones are among, are kept."""
-
-    def __init__(self, encode: Callable[[str], list[int]], before: str):
-        super().__init__()
-        self.encode, self.before = encode, before
-
-    def __missing__(self, word: str) -> bytes:
-        found = array("H", self.encode(self.before + word)).tobytes()
-        if len(self) < _CACHED:
-            self[word] = found
-        return found
 
 
 def _alphabet() -> dict[str, int]:
@@ -80,9 +65,7 @@ def _by_rank(path: str) -> tuple[Callable[[str], list[int]], list[str]] | None:
 class _Tokens:
     """Ids of whole texts, as bytes of 16-bit numbers.
 
-    With a byte-level vocabulary, a text without two spaces in a row is cut at its spaces: no
-    token crosses such a place, so each word is encoded once and looked up from then on.
-    Texts with strings of added tokens, and other vocabularies, go through ``tokenizers``.
+    Texts with strings of added tokens, and vocabularies that are not byte-level, go through ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -90,18 +73,12 @@ class _Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        found = _by_rank(path)
-        self.encode, self.added = found or (None, [])
-        if found:
-            self.first, self.later = _Words(self.encode, ""), _Words(self.encode, " ")
+        self.encode, self.added = _by_rank(path) or (None, [])
 
     def of(self, text: str) -> bytes:
         if not self.encode or any(a in text for a in self.added):
             return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if "  " in text:
-            return array("H", self.encode(text)).tobytes()
-        words = text.split(" ")
-        return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
+        return array("H", self.encode(text)).tobytes()
 
 
 @cache
