@@ -294,36 +294,35 @@ def test_loops_end_on_a_relation_known_to_be_empty(spark):
     assert pagerank_delta(none, 3, 2).count() == 0
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1])
-def test_edges_laid_out_are_found_in_every_step(spark, no_broadcast, monkeypatch, hot_rows):
-    """No step scans the edges again, though the layout and the state come from one table of vertices."""
-    from tidewheel.operators import components, pagerank as ranks
+def test_edges_laid_out_are_found_in_every_step(spark, no_broadcast, monkeypatch):
+    """No step lays the edges out again, though the layout and the state come from one table of vertices."""
     from tidewheel.plans import skew
+    from tidewheel.plans.state import CoPartitioned
 
+    monkeypatch.setattr(skew, "LEAST_PER_PARTITION", 4)
     plans = []
-    receive = skew.OutEdges.receive
+    keep = CoPartitioned.keep
 
-    def watched(self, *args):
-        out = receive(self, *args)
-        plans.append(out._jdf.queryExecution().withCachedData().toString())
-        return out
+    def watched(self, df, **counts):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("\n"))
+        return keep(self, df, **counts)
 
-    monkeypatch.setattr(skew.OutEdges, "receive", watched)
-    edges = frame(spark, EDGES).repartition(2)
-    components.connected_components(edges, 3, hot_rows=hot_rows)
+    monkeypatch.setattr(CoPartitioned, "keep", watched)
+    edges = frame(spark, EDGES)
+    connected_components(edges, 3)
     for mode in ("bulk", "static"):
-        ranks.pagerank(edges, 2, mode=mode, n=6, eps=None, hot_rows=hot_rows)
-    pagerank_delta(edges, 6, 2, 0.01, hot_rows=hot_rows)
+        pagerank(edges, 2, mode=mode, n=6, eps=None)
+    pagerank_delta(edges, 6, 2, 0.01)
+    cached, inside, outside = None, 0, 0
     for plan in plans:
-        outside, depth = [], None
-        for line in plan.split("\n"):
-            at = len(line) - len(line.lstrip(" :+-"))
-            if depth is not None and at > depth:
-                continue
-            depth = at if "InMemoryRelation" in line else None
-            outside.append(line)
-        assert not any("Repartition" in line or "Generate" in line for line in outside), "\n".join(outside)
-    assert len(plans) > 6
+        cached = None
+        for line in plan:
+            depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            if cached is None or depth <= cached:
+                cached = depth if "InMemoryRelation" in line else None
+            if "REPARTITION_BY_NUM" in line:
+                inside, outside = inside + (cached is not None), outside + (cached is None)
+    assert inside > 6 and not outside
 
 
 def test_contraction_ends_stars_in_few_steps(spark):
