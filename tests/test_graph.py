@@ -332,3 +332,82 @@ def test_contraction_ends_stars_in_few_steps(spark):
     stars = [(h * 1000, h * 1000 + k) for h in range(20) for k in range(1, 400)] + [(0, h * 1000) for h in range(1, 20)]
     labels, steps = contracted_components(frame(spark, stars))
     assert {r.component for r in labels.collect()} == {0} and labels.count() == 20 * 400 and steps <= 4
+
+
+@pytest.mark.parametrize("hot_rows", [None, 0])
+def test_a_step_reads_what_is_cached_and_writes_no_checkpoint(spark, no_broadcast, monkeypatch, hot_rows):
+    """A step's plan moves messages once, however often it reads the tables of the steps before."""
+    from tidewheel.plans import skew, state
+
+    monkeypatch.setattr(skew, "LEAST_PER_PARTITION", 4)
+    plans, cuts = [], []
+    cached, checkpointed = state.CoPartitioned._cached, state.checkpointed
+
+    def watched(self, df, **counts):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("\n"))
+        return cached(self, df, **counts)
+
+    monkeypatch.setattr(state.CoPartitioned, "_cached", watched)
+    monkeypatch.setattr(state, "checkpointed", lambda df: cuts.append(1) or checkpointed(df))
+    edges = frame(spark, EDGES)
+    want = walk(EDGES, "bulk", 6, 6)
+    assert dict(rows(pagerank(edges, 6, mode="bulk", n=6, eps=1e-12, hot_rows=hot_rows))) == pytest.approx(want)
+    pagerank(edges, 6, mode="static", hot_rows=hot_rows)
+    pagerank_delta(edges, 6, 6, 0.01, hot_rows=hot_rows)
+    connected_components(frame(spark, [(k, k + 1) for k in range(20)]), 6, hot_rows=hot_rows)
+    assert len(cuts) == 4  # the results
+    for plan in plans:
+        inside, moved = None, 0
+        for line in plan:
+            depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            if inside is None or depth <= inside:
+                inside = depth if "InMemoryRelation" in line else None
+            moved += inside is None and "Exchange hashpartitioning" in line
+        assert moved <= 1
+
+
+def test_bulk_pagerank_counts_its_pages(spark):
+    got = dict(rows(pagerank(frame(spark, EDGES), 3, mode="bulk")))
+    assert got == pytest.approx(walk(EDGES, "bulk", 3, 6))
+
+
+def spread(edges, steps):
+    """The smallest label that reaches each vertex in so many steps, by hand."""
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    labels = {v: v for v in near}
+    for _ in range(steps):
+        labels = {v: min([labels[v], *(labels[w] for w in near[v])]) for v in near}
+    return labels
+
+
+@pytest.mark.parametrize("steps, hot_rows", [(1, None), (2, None), (4, 1), (5, None), (6, None), (9, 2)])
+def test_components_beside_leaves(spark, monkeypatch, steps, hot_rows):
+    """Stars, trees, chains, pairs, copies and loops, their leaves kept out of the steps."""
+    from tidewheel.operators import components
+
+    made = []
+
+    class Watched(components.CoPartitioned):
+        def __enter__(self):
+            made.append(self)
+            return super().__enter__()
+
+    monkeypatch.setattr(components, "CoPartitioned", Watched)
+    monkeypatch.setattr(components, "LEAVES_FROM", 0)
+    edges = [(500 - k // 3, 500 - k) for k in range(1, 200)] + [(600, k) for k in range(601, 640)] + [(3, 640), (640, 600)]
+    edges += [(k, k + 1) for k in range(700, 712)] + [(800, 801), (803, 802), (803, 802), (810, 810), (811, 811), (811, 4)]
+    edges += [(900, 901), (901, 902), (902, 900), (902, 5)]
+    labels = connected_components(frame(spark, edges), steps, hot_rows=hot_rows)
+    assert dict(rows(labels)) == spread(edges, steps)
+    ends = defaultdict(set)
+    for a, b in edges:
+        ends[a].add(b)
+        ends[b].add(a)
+    alone = sum(1 for v, others in ends.items() if len(others) == 1 and others != {v})
+    assert alone > 150 and made[0].written[1] == made[0].written[-1] == len(ends) - alone
+    names = [(str(a), str(b)) for a, b in edges]
+    if steps == 4:
+        assert dict(rows(connected_components(frame(spark, names, "string"), steps))) == spread(names, steps)

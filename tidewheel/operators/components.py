@@ -11,6 +11,8 @@ from tidewheel.plans.state import CoPartitioned, LoopState, checkpointed, observ
 
 #: Tables of changed labels that are read beside the base table before they are merged into it.
 LOG = 4
+#: Edges, in both directions, from which on vertices with one neighbour are kept out of the steps.
+LEAVES_FROM = 1_000_000
 #: Steps of a contraction that take vertices in their own order.
 PLAIN = 3
 
@@ -33,15 +35,40 @@ def connected_components(
     """
     if to_convergence and not stats and materialize is None:
         return contracted_components(edges)[0]
+    total = 2 * edges.count()
+    if iters > 0 and not to_convergence and not stats and materialize is None and total >= LEAVES_FROM:
+        return _beside_leaves(edges, iters, hot_rows)
+    labels, rows = _spread(edges, total, iters, to_convergence, materialize, hot_rows)
+    if not stats:
+        return labels
+    return labels, edges.sparkSession.createDataFrame(rows, "op string, step int, rows_in bigint, rows_out bigint")
+
+
+def _spread(
+    edges: DataFrame,
+    total: int,
+    iters: int,
+    to_convergence: bool = False,
+    materialize: str | None = None,
+    hot_rows: int | None = None,
+    first: DataFrame | None = None,
+) -> tuple[DataFrame, list[tuple]]:
+    """Labels after ``iters`` steps over ``total`` edges in both directions, and what each step read and wrote.
+
+    Labels ``first`` are those after a step; the result then has those ``before`` the last step, too.
+    """
     spark = edges.sparkSession
     files = LoopState(spark, "components", materialize) if materialize else None
     both = undirected(edges)
-    total = 2 * edges.count()
     rows: list[tuple] = []
     with CoPartitioned(spark, partitions_for(spark, total)) as loop:
-        own, _ = loop.keep(out_degrees(both))
+        own, _ = loop.keep(out_degrees(both), cut=True)
         layout = out_edges(both, own, hot_rows, total, counted=False)
-        senders = base = own.select(F.col("src").alias("v"), F.col("src").alias("component"))
+        if first is None:
+            senders = base = own.select(F.col("src").alias("v"), F.col("src").alias("component"))
+        else:
+            base, _ = loop.keep(first.repartition("v"))
+            senders = base.where("component < v")
         log: list[DataFrame] = []
         step = 0
         while to_convergence or step < iters:
@@ -54,7 +81,8 @@ def connected_components(
                 _latest(heard.hint("shuffle_hash").join(base, "v"), log), messages=F.sum("messages"), heard=F.count("heard")
             )
             lower = met.where("heard < component").select("v", F.col("heard").alias("component"))
-            senders, changed = loop.keep(lower)
+            # The last of a log is cut with the table that it is merged into.
+            senders, changed = loop.keep(lower, cut=len(log) == LOG - 1)
             step += 1
             messages = seen.get["messages"] or 0
             rows += [
@@ -66,15 +94,53 @@ def connected_components(
                 files.advance(_latest(base, log), "labels", step - 1)
             if not changed["rows"]:
                 break
-            if len(log) == LOG:
-                merged, _ = loop.keep(_latest(base, log))
+            if len(log) == LOG and (to_convergence or step < iters):
+                merged, _ = loop.keep(_latest(base, log), cut=True)
                 loop.drop(*log[:-1])
                 base, log = merged, []
-        result = loop.result(_latest(base, log))
+        if first is None:
+            result = loop.result(_latest(base, log))
+        else:
+            # Before the first step each vertex has itself.
+            earlier = _latest(base, log[:-1]).withColumn("before", F.col("component") if log else F.col("v"))
+            result = loop.result(_latest(earlier, log[-1:]))
         layout.release()
-    if not stats:
-        return result
-    return result, spark.createDataFrame(rows, "op string, step int, rows_in bigint, rows_out bigint")
+    return result, rows
+
+
+def _beside_leaves(edges: DataFrame, iters: int, hot_rows: int | None) -> DataFrame:
+    """Labels after ``iters`` steps, where vertices with one neighbour take no part in the steps.
+
+    What such a vertex sends is its own number, in the first step, and from then on what it has heard from its
+    neighbour, which tells that one nothing. So the first step is the smallest neighbour of each vertex, the
+    others need the edges between the rest only, and in the end a leaf has the smallest of itself and
+    what its neighbour had the step before. Joins here have many rows for a busy vertex, which Spark splits.
+    """
+    files = LoopState(edges.sparkSession, "leaves")
+    ends = undirected(edges).groupBy("src").agg(F.min("dst").alias("least"), F.max("dst").alias("most"))
+    leaf = F.coalesce((F.col("least") == F.col("most")) & (F.col("least") != F.col("src")), F.lit(False))
+    own = files.save(
+        ends.select(
+            F.col("src").alias("v"),
+            F.when(F.col("src").isNotNull(), F.least("src", "least")).alias("component"),
+            F.when(leaf, F.col("least")).alias("only"),
+        ),
+        "vertices",
+    )
+    rest, leaves = own.where("only is null"), own.where("only is not null")
+    src, dst = (rest.select(F.col("v").alias(end)) for end in ("src", "dst"))
+    inner = edges.select("src", "dst").where("src <> dst").join(dst, "dst", "left_semi").join(src, "src", "left_semi")
+    inner = files.save(inner, "edges")
+    first = rest.select("v", "component")
+    spread, _ = _spread(inner, 2 * inner.count(), iters - 1, hot_rows=hot_rows, first=first)
+    told = leaves.select("v", "component", "only").join(
+        spread.select(F.col("v").alias("only"), "before"), "only", "left"
+    )
+    # Of two vertices with no others, both are leaves, and neither has a row in what was spread.
+    labels = spread.select("v", "component").unionAll(told.select("v", F.least("component", "before").alias("component")))
+    labels = checkpointed(labels)
+    files.remove()
+    return labels
 
 
 def _latest(labels: DataFrame, log: list[DataFrame]) -> DataFrame:

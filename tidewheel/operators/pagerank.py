@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators.graph import out_degrees, vertex_degrees
 from tidewheel.plans.skew import out_edges, partitions_for
-from tidewheel.plans.state import CoPartitioned, checkpointed, observed
+from tidewheel.plans.state import CUT_EVERY, CoPartitioned, LoopState, checkpointed, observed
 
 DAMPING = 0.85
 #: Tables of changes that are kept before they are summed into one.
@@ -33,20 +33,21 @@ def pagerank(
 ):
     """``(v, rank)`` after ``iters`` supersteps.
 
-    ``n`` (number of pages) and ``eps`` (stop once no page moved by more; ``None``
-    never stops early) belong to ``bulk``. ``init`` is the first rank; ``normalize``
+    ``n`` (number of pages; those at either end of an edge are counted if it is not given) and ``eps``
+    (stop once no page moved by more; ``None`` never stops early) belong to ``bulk``. ``init`` is the first rank; ``normalize``
     scales the result to sum to the number of vertices, in ``static``. With
     ``stats`` the result is a pair: ranks, and ``(op, step, rows_in, rows_out)``.
     """
     if mode not in ("contrib", "bulk", "static"):
         raise ValueError(f"unknown mode {mode!r}")
-    if mode == "bulk" and not n:
-        raise ValueError("bulk mode needs the number of pages n")
     spark = edges.sparkSession
     links = checkpointed(edges.select("src", "dst").distinct()) if mode == "contrib" else edges
-    everyone = checkpointed(vertex_degrees(links) if mode == "static" else _sources(links))
-    total = everyone.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
-    base = 0.15 / n if mode == "bulk" else 0.15
+    # One pass finds the pages and their out-links.
+    whole = mode == "static" or mode == "bulk" and n is None
+    files = LoopState(spark, "pages")
+    everyone = files.save(vertex_degrees(links) if whole else _sources(links), "pages")
+    found, total = everyone.agg(F.count("*"), F.coalesce(F.sum("outdeg"), F.lit(0))).first()
+    base = 0.15 / max(n or found, 1) if mode == "bulk" else 0.15
     watch = mode == "bulk" and eps is not None
     # A page that has out-links sends in the next step.
     sends = F.count(F.nullif("outdeg", F.lit(0)))
@@ -58,17 +59,21 @@ def pagerank(
         layout = out_edges(links, everyone.where("outdeg > 0").withColumnRenamed("v", "src"), hot_rows, total)
         ranks = (pages if mode == "static" else sources).select("v", F.lit(float(init)).alias("rank"))
         for step in range(1, iters + 1):
+            sums = {"total": F.sum(F.col("rank") / F.col("outdeg"))}
+            counts = {}
+            if stats:
+                sums["messages"] = F.count("*")
+                counts["messages"] = F.sum("messages")
             summed = (
                 layout.receive(ranks.select("v", "rank"))
                 .groupBy(F.col("dst").alias("v"))
-                .agg(F.sum(F.col("rank") / F.col("outdeg")).alias("total"), F.count("*").alias("messages"))
+                .agg(*(sum_.alias(name) for name, sum_ in sums.items()))
             )
             if mode == "static":
                 summed = pages.select("v").join(summed.hint("shuffle_hash"), "v", "left")
-                summed = summed.fillna({"total": 0.0, "messages": 0})
+                summed = summed.fillna(dict.fromkeys(sums, 0))
             rank = F.lit(base) + F.lit(DAMPING) * F.col("total")
             moved = summed.withColumn("rank", rank)
-            counts = {"messages": F.sum("messages")}
             if watch:
                 old = ranks.select("v", F.col("rank").alias("old")).hint("shuffle_hash")
                 moved = moved.join(old, "v", "left")
@@ -76,16 +81,19 @@ def pagerank(
             if stats:
                 moved = moved.join(sources.hint("shuffle_hash"), "v", "left")
                 counts["senders"] = sends
-            moved, seen = observed(moved, **counts)
-            old_ranks, ranks = ranks, loop.keep(moved.select("v", "rank"))[0]
+            if counts:
+                moved, seen = observed(moved, **counts)
+            old_ranks, ranks = ranks, loop.keep(moved.select("v", "rank"), cut=step % CUT_EVERY == 0)[0]
             if step > 1:
                 loop.drop(old_ranks)
-            rows.append(("distribute", step, senders, seen.get["messages"] or 0))
-            senders = seen.get.get("senders")
+            if stats:
+                rows.append(("distribute", step, senders, seen.get["messages"] or 0))
+                senders = seen.get["senders"]
             if watch and not seen.get["moved"]:
                 break
         result = loop.result(ranks)
         layout.release()
+    files.remove()
     if mode == "static" and normalize:
         size, sum_ = result.agg(F.count("*"), F.sum("rank")).first()
         result = result.withColumn("rank", F.col("rank") * F.lit(size / sum_))
@@ -114,7 +122,8 @@ def pagerank_delta(
     writes these changes only; the ranks are their sums, made at the end.
     """
     spark = edges.sparkSession
-    degrees = checkpointed(_sources(edges))
+    files = LoopState(spark, "pages")
+    degrees = files.save(_sources(edges), "pages")
     total = degrees.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
     rows: list[tuple] = []
     with CoPartitioned(spark, partitions_for(spark, total)) as loop:
@@ -133,7 +142,7 @@ def pagerank_delta(
             large = F.abs("delta") > F.lit(threshold)
             summed, seen = observed(summed, messages=F.sum("messages"), kept=F.count_if(large))
             updates = summed.where(large).select("v", "delta").hint("shuffle_hash").join(pages.select("v"), "v")
-            changes, updated = loop.keep(updates)
+            changes, updated = loop.keep(updates, cut=step % CUT_EVERY == 0)
             log.append(changes)
             messages = seen.get["messages"] or 0
             rows += [
@@ -145,12 +154,13 @@ def pagerank_delta(
             if not senders:
                 break
             if len(log) > LOG:  # all but the last, which the next step sends, become one
-                merged, _ = loop.keep(_sums(log[:-1], "delta"))
+                merged, _ = loop.keep(_sums(log[:-1], "delta"), cut=True)
                 loop.drop(*log[:-1])
                 log = [merged, changes]
         first = pages.select("v", F.lit(1.0).alias("delta"))
         result = loop.result(_sums([first, *log], "delta").withColumnRenamed("delta", "rank"))
         layout.release()
+    files.remove()
     return (result, spark.createDataFrame(rows, _COUNTS)) if stats else result
 
 

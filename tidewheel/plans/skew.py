@@ -73,7 +73,8 @@ def out_edges(
         total = degrees.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
     limit = max(HOT_MIN_ROWS if hot_rows is None else hot_rows, total // MAX_HOT_KEYS)
 
-    hot_keys = checkpointed(renamed_apart(degrees.filter(F.col("outdeg") > limit)))
+    # In one partition: every step's plan reads them, and a checkpoint that is partitioned by a key is found once only.
+    hot_keys = checkpointed(renamed_apart(degrees.filter(F.col("outdeg") > limit).coalesce(1)))
     columns = ["src", "dst", "outdeg"] if counted else ["src", "dst"]
     hot = None
     cold = edges
