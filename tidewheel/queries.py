@@ -370,14 +370,12 @@ def pagerank_contrib(spark, sf_dir):
 
 
 def pagerank_bulk(spark, sf_dir):
-    edges = supply_edges(spark, sf_dir)
-    return _rounded(pagerank(edges, GRAPH_STEPS, mode="bulk", n=_pages(edges)))
+    return _rounded(pagerank(supply_edges(spark, sf_dir), GRAPH_STEPS, mode="bulk"))
 
 
 def pagerank_bulk_converged(spark, sf_dir):
     """Stops before the last step, when no rank moves by the bound."""
-    edges = supply_edges(spark, sf_dir)
-    return _rounded(pagerank(edges, BULK_STEPS, mode="bulk", n=_pages(edges), eps=BULK_EPS))
+    return _rounded(pagerank(supply_edges(spark, sf_dir), BULK_STEPS, mode="bulk", eps=BULK_EPS))
 
 
 def pagerank_static(spark, sf_dir):
@@ -399,9 +397,7 @@ def pagerank_changes(spark, sf_dir):
 
 
 def pagerank_iteration_stats(spark, sf_dir):
-    edges = supply_edges(spark, sf_dir)
-    _, stats = pagerank(edges, GRAPH_STEPS, mode="bulk", n=_pages(edges), stats=True)
-    return stats
+    return pagerank(supply_edges(spark, sf_dir), GRAPH_STEPS, mode="bulk", stats=True)[1]
 
 
 def pagerank_delta_iteration_stats(spark, sf_dir):
