@@ -411,3 +411,37 @@ def test_components_beside_leaves(spark, monkeypatch, steps, hot_rows):
     names = [(str(a), str(b)) for a, b in edges]
     if steps == 4:
         assert dict(rows(connected_components(frame(spark, names, "string"), steps))) == spread(names, steps)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 20])
+def test_a_pagerank_step_moves_arrays(spark, monkeypatch, hot_rows):
+    """What a step keeps are rows of blocks, not of pages; all sums are those by hand."""
+    from tidewheel.operators import pagerank as ranks
+    from tidewheel.plans import skew
+
+    loops = []
+
+    class Watched(ranks.CoPartitioned):
+        def __enter__(self):
+            loops.append(self)
+            return super().__enter__()
+
+    monkeypatch.setattr(ranks, "CoPartitioned", Watched)
+    monkeypatch.setattr(skew, "LEAST_PER_PARTITION", 1000)
+    edges = [(k * k % 397, (7 * k + k // 5) % 500) for k in range(2500)] + [(3, k) for k in range(450, 510)]
+    got = dict(rows(pagerank(frame(spark, edges), 6, mode="bulk", eps=None, hot_rows=hot_rows)))
+    pages = len({v for edge in edges for v in edge})
+    assert got == pytest.approx(walk(edges, "bulk", 6, pages))
+    blocks = 3
+    assert loops[0].written[-1] == len(got) > 400
+    assert max(loops[0].written[:-1]) <= blocks + 2 * blocks * blocks
+
+
+def test_pagerank_with_null_ends(spark):
+    """An edge from null sends nothing; null is heard of but in `static`, where it keeps the base."""
+    edges = EDGES + [(None, 2), (4, None)]
+    sent = [(s, d) for s, d in edges if s is not None]
+    got = {r.v: r.rank for r in pagerank(frame(spark, edges), 3, mode="bulk", n=6).collect()}
+    assert got == pytest.approx(walk(sent, "bulk", 3, 6))
+    static = {r.v: r.rank for r in pagerank(frame(spark, edges), 3, mode="static").collect()}
+    assert static == pytest.approx({**walk(sent, "static", 3), None: 0.15})

@@ -8,10 +8,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.operators.graph import out_degrees, vertex_degrees
+from tidewheel.operators.graph import out_degrees
+from tidewheel.plans.blocks import Blocks
 from tidewheel.plans.skew import out_edges, partitions_for
 from tidewheel.plans.state import CUT_EVERY, CoPartitioned, LoopState, checkpointed, observed
 
@@ -42,58 +44,40 @@ def pagerank(
         raise ValueError(f"unknown mode {mode!r}")
     spark = edges.sparkSession
     links = checkpointed(edges.select("src", "dst").distinct()) if mode == "contrib" else edges
-    # One pass finds the pages and their out-links.
-    whole = mode == "static" or mode == "bulk" and n is None
-    files = LoopState(spark, "pages")
-    everyone = files.save(vertex_degrees(links) if whole else _sources(links), "pages")
-    found, total = everyone.agg(F.count("*"), F.coalesce(F.sum("outdeg"), F.lit(0))).first()
-    base = 0.15 / max(n or found, 1) if mode == "bulk" else 0.15
-    watch = mode == "bulk" and eps is not None
-    # A page that has out-links sends in the next step.
-    sends = F.count(F.nullif("outdeg", F.lit(0)))
+    blocks = Blocks(links, hot_rows)
+    eps = eps if mode == "bulk" else None
+    stay = mode == "static"
+
+    def first(outdeg: np.ndarray) -> np.ndarray:
+        return np.where(stay | (outdeg > 0), float(init), np.nan)
+
     rows: list[tuple] = []
-    with CoPartitioned(spark, partitions_for(spark, total)) as loop:
-        pages, seen = loop.keep(everyone.repartition("v"), senders=sends)
-        senders = seen["senders"]
-        sources = pages.where("outdeg > 0")
-        layout = out_edges(links, everyone.where("outdeg > 0").withColumnRenamed("v", "src"), hot_rows, total)
-        ranks = (pages if mode == "static" else sources).select("v", F.lit(float(init)).alias("rank"))
+    counts = {name: F.sum(name) for name in ("moved", "senders", "messages")}
+    with CoPartitioned(spark, blocks.parts) as loop:
+        found = blocks.lay_out()
+        base = 0.15 / max(n or found, 1) if mode == "bulk" else 0.15
+
+        def rule(sums: np.ndarray, outdeg: np.ndarray) -> np.ndarray:
+            if stay:  # a page without in-links has the base, and so has null, which no edge finds
+                sums = np.where(np.isnan(sums) | np.isnan(outdeg), 0.0, sums)
+            return base + DAMPING * sums
+
+        ranks, seen = loop.keep(blocks.start(first), **counts)
         for step in range(1, iters + 1):
-            sums = {"total": F.sum(F.col("rank") / F.col("outdeg"))}
-            counts = {}
-            if stats:
-                sums["messages"] = F.count("*")
-                counts["messages"] = F.sum("messages")
-            summed = (
-                layout.receive(ranks.select("v", "rank"))
-                .groupBy(F.col("dst").alias("v"))
-                .agg(*(sum_.alias(name) for name, sum_ in sums.items()))
-            )
-            if mode == "static":
-                summed = pages.select("v").join(summed.hint("shuffle_hash"), "v", "left")
-                summed = summed.fillna(dict.fromkeys(sums, 0))
-            rank = F.lit(base) + F.lit(DAMPING) * F.col("total")
-            moved = summed.withColumn("rank", rank)
-            if watch:
-                old = ranks.select("v", F.col("rank").alias("old")).hint("shuffle_hash")
-                moved = moved.join(old, "v", "left")
-                counts["moved"] = F.count_if(F.abs(F.col("rank") - F.col("old")) > F.lit(eps))
-            if stats:
-                moved = moved.join(sources.hint("shuffle_hash"), "v", "left")
-                counts["senders"] = sends
-            if counts:
-                moved, seen = observed(moved, **counts)
-            old_ranks, ranks = ranks, loop.keep(moved.select("v", "rank"), cut=step % CUT_EVERY == 0)[0]
-            if step > 1:
-                loop.drop(old_ranks)
-            if stats:
-                rows.append(("distribute", step, senders, seen.get["messages"] or 0))
-                senders = seen.get["senders"]
-            if watch and not seen.get["moved"]:
+            cut = step % CUT_EVERY == 0 and step < iters
+            before, sent = ranks, seen
+            ranks, seen = loop.keep(blocks.turn(ranks, rule, eps, send=step < iters and not cut), **counts)
+            loop.drop(before)
+            rows.append(("distribute", step, sent["senders"] or 0, sent["messages"] or 0))
+            if eps is not None and not seen["moved"]:
                 break
-        result = loop.result(ranks)
-        layout.release()
-    files.remove()
+            if cut:  # only ranks are written, not what they send
+                state, _ = loop.keep(ranks.where("kind = 'state'"), cut=True)
+                loop.drop(ranks)
+                ranks, _ = loop.keep(blocks.turn(state, None, None, send=True))
+                loop.drop(state)
+        result = loop.result(blocks.values(ranks, "rank"))
+        blocks.release()
     if mode == "static" and normalize:
         size, sum_ = result.agg(F.count("*"), F.sum("rank")).first()
         result = result.withColumn("rank", F.col("rank") * F.lit(size / sum_))

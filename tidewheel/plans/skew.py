@@ -60,6 +60,11 @@ def partitions_for(spark: SparkSession, edges: int) -> int:
     return parts if parts <= slots else -(-parts // slots) * slots
 
 
+def hot_limit(total: int, hot_rows: int | None = None) -> int:
+    """Edges beyond which a vertex is hot, of ``total``."""
+    return max(HOT_MIN_ROWS if hot_rows is None else hot_rows, total // MAX_HOT_KEYS)
+
+
 def out_edges(
     edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None, total: int | None = None, counted: bool = True
 ) -> OutEdges:
@@ -71,7 +76,7 @@ def out_edges(
     spark = edges.sparkSession
     if total is None:
         total = degrees.agg(F.coalesce(F.sum("outdeg"), F.lit(0))).first()[0]
-    limit = max(HOT_MIN_ROWS if hot_rows is None else hot_rows, total // MAX_HOT_KEYS)
+    limit = hot_limit(total, hot_rows)
 
     # In one partition: every step's plan reads them, and a checkpoint that is partitioned by a key is found once only.
     hot_keys = checkpointed(renamed_apart(degrees.filter(F.col("outdeg") > limit).coalesce(1)))
