@@ -445,3 +445,55 @@ def test_pagerank_with_null_ends(spark):
     assert got == pytest.approx(walk(sent, "bulk", 3, 6))
     static = {r.v: r.rank for r in pagerank(frame(spark, edges), 3, mode="static").collect()}
     assert static == pytest.approx({**walk(sent, "static", 3), None: 0.15})
+
+
+@pytest.mark.parametrize("steps, hot_rows", [(1, None), (2, None), (3, None), (4, 3), (5, None), (7, 0), (10, None), (13, None)])
+def test_leaves_of_what_leaves_hung_on_take_no_part(spark, monkeypatch, steps, hot_rows):
+    """Trees, chains, rings with trees on them, pairs, copies, loops and nulls: as many levels go as steps allow."""
+    from tidewheel.operators import components
+
+    made = []
+
+    class Watched(components.CoPartitioned):
+        def __enter__(self):
+            made.append(self)
+            return super().__enter__()
+
+    monkeypatch.setattr(components, "CoPartitioned", Watched)
+    monkeypatch.setattr(components, "LEAVES_FROM", 0)
+    monkeypatch.setattr(components, "AGAIN_FROM", 0)
+    # A tree of 3, 9, 27, 81 and 243 vertices, numbered from the leaves up, and one from the root down.
+    tree = [(k, 3 * k + j) for k in range(121) for j in (1, 2, 3)]
+    edges = [(5000 - a, 5000 - b) for a, b in tree] + [(6000 + b, 6000 + a) for a, b in tree]
+    edges += [(900, 901), (901, 902), (902, 900), (902, 5), (5, 906), (5, 907), (907, 4), (904, 904), (905, 905), (905, 4)]
+    edges += [(k, k + 1) for k in range(700, 705)] + [(800, 801), (803, 802), (803, 802), (810, 811), (812, 811)]
+    labels = connected_components(frame(spark, edges), steps, hot_rows=hot_rows)
+    assert dict(rows(labels)) == spread(edges, steps)
+    # So many levels go: each needs a step before and one after it.
+    ends = {v for edge in edges for v in edge}
+    levels = max(1, min(4, steps // 2))
+    assert made[0].written[1] == made[0].written[-1] < len(ends) / (2, 6, 18, 40)[levels - 1]
+    if steps == 7:
+        with_null = spark.createDataFrame([*edges, (None, 4), (8000, None)], "src bigint, dst bigint")
+        monkeypatch.setattr(components, "LEAVES_FROM", 10**9)
+        want = connected_components(with_null, steps).collect()
+        monkeypatch.setattr(components, "LEAVES_FROM", 0)
+        names = [(str(a), str(b)) for a, b in edges]
+        assert dict(rows(connected_components(frame(spark, names, "string"), steps))) == spread(names, steps)
+        got = connected_components(with_null, steps).collect()
+        assert len(got) == len(want) == len(ends) + 2 and set(got) == set(want)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_leaves_are_searched_for_in_partitions_of_a_bounded_size(spark, monkeypatch):
+    from tidewheel.operators import components
+
+    seen = []
+    inner = components._beside_leaves
+    monkeypatch.setattr(components, "_beside_leaves", lambda edges, *rest: (
+        seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), inner(edges, *rest))[1])
+    monkeypatch.setattr(components, "LEAVES_FROM", 0)
+    monkeypatch.setattr(components, "ROWS_PER_SEARCH", 10)
+    edges = [(0, k) for k in range(1, 100)]
+    assert dict(rows(connected_components(frame(spark, edges), 3))) == spread(edges, 3)
+    assert seen == [20] and spark.conf.get("spark.sql.shuffle.partitions") == "8"

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.operators.graph import out_degrees, undirected
 from tidewheel.plans.skew import out_edges, partitions_for
-from tidewheel.plans.state import CoPartitioned, LoopState, checkpointed, observed
+from tidewheel.plans.state import CoPartitioned, LoopState, checkpointed, observed, shuffles_in
 
 #: Tables of changed labels that are read beside the base table before they are merged into it.
 LOG = 4
 #: Edges, in both directions, from which on vertices with one neighbour are kept out of the steps.
 LEAVES_FROM = 1_000_000
+#: Edges, in both directions, from which on what is left is searched for leaves again.
+AGAIN_FROM = 1_000_000
+#: Edges, in both directions, in a partition when vertices are searched for leaves: their tables of vertices stay small.
+ROWS_PER_SEARCH = 2_000_000
 #: Steps of a contraction that take vertices in their own order.
 PLAIN = 3
 
@@ -37,7 +43,8 @@ def connected_components(
         return contracted_components(edges)[0]
     total = 2 * edges.count()
     if iters > 0 and not to_convergence and not stats and materialize is None and total >= LEAVES_FROM:
-        return _beside_leaves(edges, iters, hot_rows)
+        with shuffles_in(edges.sparkSession, -(-total // ROWS_PER_SEARCH)):
+            return _beside_leaves(edges, total, iters, hot_rows)
     labels, rows = _spread(edges, total, iters, to_convergence, materialize, hot_rows)
     if not stats:
         return labels
@@ -52,10 +59,12 @@ def _spread(
     materialize: str | None = None,
     hot_rows: int | None = None,
     first: DataFrame | None = None,
+    earlier: int = 0,
 ) -> tuple[DataFrame, list[tuple]]:
     """Labels after ``iters`` steps over ``total`` edges in both directions, and what each step read and wrote.
 
-    Labels ``first`` are those after a step; the result then has those ``before`` the last step, too.
+    Labels ``first`` are those after ``earlier`` steps before; the result then has the labels of so many steps
+    before the last, too, in columns as ``_back`` names them. ``earlier`` is at most ``LOG``.
     """
     spark = edges.sparkSession
     files = LoopState(spark, "components", materialize) if materialize else None
@@ -70,8 +79,11 @@ def _spread(
             base, _ = loop.keep(first.repartition("v"))
             senders = base.where("component < v")
         log: list[DataFrame] = []
-        step = 0
+        step = left = 0
         while to_convergence or step < iters:
+            left = iters - step - 1
+            # The log is merged in time for all labels that the result has to be in the last one.
+            full = len(log) == LOG - 1 or (left == earlier and len(log) + 1 + earlier > LOG)
             heard = (
                 layout.receive(senders)
                 .groupBy(F.col("dst").alias("v"))
@@ -82,7 +94,7 @@ def _spread(
             )
             lower = met.where("heard < component").select("v", F.col("heard").alias("component"))
             # The last of a log is cut with the table that it is merged into.
-            senders, changed = loop.keep(lower, cut=len(log) == LOG - 1)
+            senders, changed = loop.keep(lower, cut=full)
             step += 1
             messages = seen.get["messages"] or 0
             rows += [
@@ -94,63 +106,93 @@ def _spread(
                 files.advance(_latest(base, log), "labels", step - 1)
             if not changed["rows"]:
                 break
-            if len(log) == LOG and (to_convergence or step < iters):
+            if full and (to_convergence or left):
                 merged, _ = loop.keep(_latest(base, log), cut=True)
                 loop.drop(*log[:-1])
                 base, log = merged, []
-        if first is None:
-            result = loop.result(_latest(base, log))
-        else:
+        # Of the steps that were left when no label fell any more, each would have changed nothing again.
+        known = [max(0, len(log) - max(0, back - left)) for back in range(1, earlier + 1)]
+        labels = _latest(base, log, known)
+        if earlier and not log:
             # Before the first step each vertex has itself.
-            earlier = _latest(base, log[:-1]).withColumn("before", F.col("component") if log else F.col("v"))
-            result = loop.result(_latest(earlier, log[-1:]))
+            labels = labels.withColumn(_back(1), F.col("v"))
+        result = loop.result(labels)
         layout.release()
     return result, rows
 
 
-def _beside_leaves(edges: DataFrame, iters: int, hot_rows: int | None) -> DataFrame:
-    """Labels after ``iters`` steps, where vertices with one neighbour take no part in the steps.
+def _beside_leaves(edges: DataFrame, total: int, iters: int, hot_rows: int | None) -> DataFrame:
+    """Labels after ``iters`` steps, where vertices with one neighbour take no part; ``total`` edges in both directions.
 
-    What such a vertex sends is its own number, in the first step, and from then on what it has heard from its
-    neighbour, which tells that one nothing. So the first step is the smallest neighbour of each vertex, the
-    others need the edges between the rest only, and in the end a leaf has the smallest of itself and
-    what its neighbour had the step before. Joins here have many rows for a busy vertex, which Spark splits.
+    What such a vertex sends is its own label, in the first step, and from then on what it has heard from its
+    neighbour, which tells that one nothing. So the first step is the smallest label next to each vertex, the
+    others need the edges between the rest only, and in the end a leaf has the smallest of that first step and
+    what its neighbour had the step before. Whatever labels the rest begins with, the same holds for the leaves it has
+    itself: as long as that takes away half of the edges, they are left out in the same way, and a tree is
+    gone in as many steps as it is high. Leaves left out ``n`` steps deep need ``n`` earlier labels at the end, which
+    are there if at least ``n`` steps follow. Joins here have many rows for a busy vertex, which Spark splits.
     """
     files = LoopState(edges.sparkSession, "leaves")
-    ends = undirected(edges).groupBy("src").agg(F.min("dst").alias("least"), F.max("dst").alias("most"))
-    leaf = F.coalesce((F.col("least") == F.col("most")) & (F.col("least") != F.col("src")), F.lit(False))
-    own = files.save(
-        ends.select(
-            F.col("src").alias("v"),
-            F.when(F.col("src").isNotNull(), F.least("src", "least")).alias("component"),
-            F.when(leaf, F.col("least")).alias("only"),
-        ),
-        "vertices",
-    )
-    rest, leaves = own.where("only is null"), own.where("only is not null")
-    src, dst = (rest.select(F.col("v").alias(end)) for end in ("src", "dst"))
-    inner = edges.select("src", "dst").where("src <> dst").join(dst, "dst", "left_semi").join(src, "src", "left_semi")
-    inner = files.save(inner, "edges")
-    first = rest.select("v", "component")
-    spread, _ = _spread(inner, 2 * inner.count(), iters - 1, hot_rows=hot_rows, first=first)
-    told = leaves.select("v", "component", "only").join(
-        spread.select(F.col("v").alias("only"), "before"), "only", "left"
-    )
-    # Of two vertices with no others, both are leaves, and neither has a row in what was spread.
-    labels = spread.select("v", "component").unionAll(told.select("v", F.least("component", "before").alias("component")))
-    labels = checkpointed(labels)
+    # Two readings: a task then has one direction only, and half as many vertices.
+    told = _told(edges, "src", "dst")
+    least = F.when(F.col("src").isNotNull(), F.least("src", F.min("dst")))
+    levels: list[DataFrame] = []
+    inner = edges
+    while True:
+        ends = told.groupBy("src").agg(
+            F.min("dst").alias("least"), F.max("dst").alias("most"), least.alias("component")
+        )
+        only = F.when((F.col("least") == F.col("most")) & (F.col("least") != F.col("src")), F.col("least"))
+        found = ends.select(F.col("src").alias("v"), "component", only.alias("only"))
+        levels.append(files.save(found, f"level_{len(levels)}"))
+        rest = levels[-1].where("only is null").select("v", "component")
+        inner = inner.select("src", "dst").where("src <> dst")
+        for end, of in (("dst", "b"), ("src", "a")):
+            inner = inner.join(rest.select(F.col("v").alias(end), F.col("component").alias(of)).hint("shuffle_hash"), end)
+        inner = files.save(inner.select("src", "dst", "a", "b"), f"edges_{len(levels)}")
+        last, total = total, 2 * inner.count()
+        deeper = len(levels) + 1
+        if total < AGAIN_FROM or 2 * deeper > iters or deeper > LOG or 2 * total > last:
+            break
+        told = _told(inner, "a", "b").unionAll(rest.select("v", F.lit(None).alias("dst"), "component"))
+        least = F.min("label")
+    steps = iters - len(levels)
+    spread, _ = _spread(inner.select("src", "dst"), total, steps, hot_rows=hot_rows, first=rest, earlier=len(levels))
+    for level in reversed(range(len(levels))):
+        then = [_back(n) for n in range(level + 1)]
+        before = [F.col(_back(n + 1)).alias(f"heard_{n}") for n in range(level + 1)]
+        heard = spread.select(F.col("v").alias("only"), *before)
+        leaves = levels[level].where("only is not null").withColumnRenamed("component", "first")
+        leaves = leaves.join(heard.hint("shuffle_hash"), "only", "left")
+        # Of two vertices with no others, both are leaves, and neither has a row in what was spread.
+        leaves = leaves.select("v", *(F.least("first", f"heard_{n}").alias(then[n]) for n in range(level + 1)))
+        labels = spread.select("v", *then).unionAll(leaves)
+        spread = files.save(labels, f"labels_{level}") if level else checkpointed(labels)
     files.remove()
-    return labels
+    return spread
+
 
+def _told(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """What both ends of ``edges`` hear, as ``(src, dst, label)``; columns ``a`` and ``b`` have the labels of the ends."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col(a).alias("label"))
+    return edges.select("src", "dst", F.col(b).alias("label")).unionAll(back)
 
-def _latest(labels: DataFrame, log: list[DataFrame]) -> DataFrame:
-    """``labels`` with each component as the log has it; labels only ever fall."""
+
+def _back(steps: int) -> str:
+    """The column of the labels so many steps before the last."""
+    return f"before_{steps}" if steps else "component"
+
+
+def _latest(labels: DataFrame, log: list[DataFrame], known: Sequence[int] = ()) -> DataFrame:
+    """``labels`` with each component as the log has it, and as its first tables have it, ``known`` of them.
+
+    Labels only ever fall.
+    """
     names = [f"component_{k}" for k in range(len(log))]
     for name, changed in zip(names, log):
         labels = labels.join(changed.withColumnRenamed("component", name).hint("shuffle_hash"), "v", "left")
-    if names:
-        labels = labels.withColumn("component", F.least("component", *names)).drop(*names)
-    return labels
+    falls = [F.least("component", *names[:n]) if n else F.col("component") for n in (len(log), *known)]
+    return labels.withColumns({_back(back): label for back, label in enumerate(falls)}).drop(*names)
 
 
 def _order(v: Column, step: int) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -116,6 +118,18 @@ def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
     return df.observe(seen, *(c.alias(name) for name, c in counts.items())), seen
 
 
+@contextmanager
+def shuffles_in(spark: SparkSession, parts: int) -> Iterator[None]:
+    """Inside ``with``, shuffles have at least ``parts`` partitions, before Spark merges small ones."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(parts, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class CoPartitioned:
     """The tables of a loop, all hash-partitioned alike by what each is grouped by.
 
