@@ -488,12 +488,13 @@ def test_leaves_of_what_leaves_hung_on_take_no_part(spark, monkeypatch, steps, h
 def test_leaves_are_searched_for_in_partitions_of_a_bounded_size(spark, monkeypatch):
     from tidewheel.operators import components
 
-    seen = []
+    names = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"]
+    before, seen = [spark.conf.get(name) for name in names], []
     inner = components._beside_leaves
     monkeypatch.setattr(components, "_beside_leaves", lambda edges, *rest: (
-        seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), inner(edges, *rest))[1])
+        seen.append([spark.conf.get(name) for name in names]), inner(edges, *rest))[1])
     monkeypatch.setattr(components, "LEAVES_FROM", 0)
     monkeypatch.setattr(components, "ROWS_PER_SEARCH", 10)
     edges = [(0, k) for k in range(1, 100)]
     assert dict(rows(connected_components(frame(spark, edges), 3))) == spread(edges, 3)
-    assert seen == [20] and spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    assert seen == [["20", components.READ_PER_SEARCH]] and [spark.conf.get(name) for name in names] == before

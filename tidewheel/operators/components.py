@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators.graph import out_degrees, undirected
 from tidewheel.plans.skew import out_edges, partitions_for
-from tidewheel.plans.state import CoPartitioned, LoopState, checkpointed, observed, shuffles_in
+from tidewheel.plans.state import CoPartitioned, LoopState, checkpointed, observed, small_tasks
 
 #: Tables of changed labels that are read beside the base table before they are merged into it.
 LOG = 4
@@ -19,6 +19,8 @@ LEAVES_FROM = 1_000_000
 AGAIN_FROM = 1_000_000
 #: Edges, in both directions, in a partition when vertices are searched for leaves: their tables of vertices stay small.
 ROWS_PER_SEARCH = 2_000_000
+#: What a task of that search reads of a file: a few million edges at most, where they are packed tightest.
+READ_PER_SEARCH = "8m"
 #: Steps of a contraction that take vertices in their own order.
 PLAIN = 3
 
@@ -43,7 +45,7 @@ def connected_components(
         return contracted_components(edges)[0]
     total = 2 * edges.count()
     if iters > 0 and not to_convergence and not stats and materialize is None and total >= LEAVES_FROM:
-        with shuffles_in(edges.sparkSession, -(-total // ROWS_PER_SEARCH)):
+        with small_tasks(edges.sparkSession, -(-total // ROWS_PER_SEARCH), READ_PER_SEARCH):
             return _beside_leaves(edges, total, iters, hot_rows)
     labels, rows = _spread(edges, total, iters, to_convergence, materialize, hot_rows)
     if not stats:

@@ -119,15 +119,22 @@ def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
 
 
 @contextmanager
-def shuffles_in(spark: SparkSession, parts: int) -> Iterator[None]:
-    """Inside ``with``, shuffles have at least ``parts`` partitions, before Spark merges small ones."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(max(parts, int(before))))
+def small_tasks(spark: SparkSession, parts: int, read: str) -> Iterator[None]:
+    """Inside ``with``, shuffles have at least ``parts`` partitions, before Spark merges small ones.
+
+    A task reads at most ``read`` bytes of a file, in Spark's notation, if its row groups are no larger.
+    """
+    settings = {"spark.sql.files.maxPartitionBytes": read}
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        settings["spark.sql.shuffle.partitions"] = str(parts)
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class CoPartitioned:
