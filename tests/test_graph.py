@@ -498,3 +498,23 @@ def test_leaves_are_searched_for_in_partitions_of_a_bounded_size(spark, monkeypa
     edges = [(0, k) for k in range(1, 100)]
     assert dict(rows(connected_components(frame(spark, edges), 3))) == spread(edges, 3)
     assert seen == [["20", components.READ_PER_SEARCH]] and [spark.conf.get(name) for name in names] == before
+
+
+def test_a_step_holds_a_bounded_part(spark, monkeypatch):
+    """Hash tables of labels do not grow with the edges."""
+    from tidewheel.operators import components
+
+    parts = []
+
+    class Watched(components.CoPartitioned):
+        def __enter__(self):
+            parts.append(self._parts)
+            return super().__enter__()
+
+    monkeypatch.setattr(components, "CoPartitioned", Watched)
+    monkeypatch.setattr(components, "ROWS_PER_STEP", 10)
+    chain = [(k, k + 1) for k in range(40)]
+    labels, stats = connected_components(frame(spark, chain), 9, stats=True)
+    assert dict(rows(labels)) == spread(chain, 9)
+    assert [tuple(r) for r in stats.where("op = 'component_filter'").select("rows_out").collect()] == [(40 - k,) for k in range(9)]
+    assert parts == [8]

@@ -13,6 +13,8 @@ from tidewheel.plans.state import CoPartitioned, LoopState, checkpointed, observ
 
 #: Tables of changed labels that are read beside the base table before they are merged into it.
 LOG = 4
+#: Edges, in both directions, in a partition of the loop: a task holds what its vertices heard, and its log, in memory.
+ROWS_PER_STEP = 1_000_000
 #: Edges, in both directions, from which on vertices with one neighbour are kept out of the steps.
 LEAVES_FROM = 1_000_000
 #: Edges, in both directions, from which on what is left is searched for leaves again.
@@ -72,9 +74,10 @@ def _spread(
     files = LoopState(spark, "components", materialize) if materialize else None
     both = undirected(edges)
     rows: list[tuple] = []
-    with CoPartitioned(spark, partitions_for(spark, total)) as loop:
+    parts = partitions_for(spark, total, ROWS_PER_STEP)
+    with CoPartitioned(spark, parts) as loop:
         own, _ = loop.keep(out_degrees(both), cut=True)
-        layout = out_edges(both, own, hot_rows, total, counted=False)
+        layout = out_edges(both, own, hot_rows, total, counted=False, parts=parts)
         if first is None:
             senders = base = own.select(F.col("src").alias("v"), F.col("src").alias("component"))
         else:

@@ -52,10 +52,10 @@ class OutEdges:
                 part.unpersist()
 
 
-def partitions_for(spark: SparkSession, edges: int) -> int:
-    """Partitions of the layout of so many edges."""
+def partitions_for(spark: SparkSession, edges: int, rows: int = ROWS_PER_PARTITION) -> int:
+    """Partitions of the layout of so many edges, of about ``rows`` at most."""
     slots = spark.sparkContext.defaultParallelism
-    parts = max(min(slots, 1 + edges // LEAST_PER_PARTITION), -(-edges // ROWS_PER_PARTITION))
+    parts = max(min(slots, 1 + edges // LEAST_PER_PARTITION), -(-edges // rows))
     # Beyond the slots a multiple of them, so that no slot waits for a last few partitions.
     return parts if parts <= slots else -(-parts // slots) * slots
 
@@ -66,11 +66,17 @@ def hot_limit(total: int, hot_rows: int | None = None) -> int:
 
 
 def out_edges(
-    edges: DataFrame, degrees: DataFrame, hot_rows: int | None = None, total: int | None = None, counted: bool = True
+    edges: DataFrame,
+    degrees: DataFrame,
+    hot_rows: int | None = None,
+    total: int | None = None,
+    counted: bool = True,
+    parts: int | None = None,
 ) -> OutEdges:
     """Lay out ``edges(src, dst)``; ``degrees(src, outdeg)`` counts the rows of each ``src``, ``total`` all of them.
 
-    Unless ``counted``, the edges are laid out without ``outdeg``. The state that meets the layout must not
+    Unless ``counted``, the edges are laid out without ``outdeg``. ``parts`` are those of ``partitions_for`` unless
+    given. The state that meets the layout must not
     be read from the table of ``degrees``, or the cached edges would be made anew in that step.
     """
     spark = edges.sparkSession
@@ -90,7 +96,7 @@ def out_edges(
         hot = edges.join(F.broadcast(few), "src").select(columns).persist(StorageLevel.MEMORY_AND_DISK)
         cold = edges.join(F.broadcast(rest.select("src")), "src", "left_anti")
     # Partitioned before the degrees join, so the edges are shuffled once.
-    parts = partitions_for(spark, total)
+    parts = parts or partitions_for(spark, total)
     cold = cold.select("src", "dst").repartition(parts, "src")
     if counted:
         cold = cold.join(degrees, "src")
