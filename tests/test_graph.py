@@ -500,21 +500,40 @@ def test_leaves_are_searched_for_in_partitions_of_a_bounded_size(spark, monkeypa
     assert seen == [["20", components.READ_PER_SEARCH]] and [spark.conf.get(name) for name in names] == before
 
 
-def test_a_step_holds_a_bounded_part(spark, monkeypatch):
-    """Hash tables of labels do not grow with the edges."""
+def test_a_step_holds_a_bounded_part_and_with_files_no_log(spark, tmp_path, monkeypatch):
+    """Hash tables of labels do not grow with the edges, nor, where all labels are written anyway, with the steps."""
     from tidewheel.operators import components
 
-    parts = []
+    parts, joins = [], []
 
     class Watched(components.CoPartitioned):
         def __enter__(self):
             parts.append(self._parts)
             return super().__enter__()
 
+        def keep(self, df, **counts):
+            lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            inside, found = None, 0
+            for line in lines:
+                depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+                if inside is None or depth <= inside:
+                    inside = depth if "InMemoryRelation" in line else None
+                found += inside is None and "ShuffledHashJoin" in line
+            joins.append(found)
+            return super().keep(df, **counts)
+
     monkeypatch.setattr(components, "CoPartitioned", Watched)
     monkeypatch.setattr(components, "ROWS_PER_STEP", 10)
     chain = [(k, k + 1) for k in range(40)]
+    path = str(tmp_path / "cc")
+    for steps in (3, 4, 9):
+        joins.clear()
+        labels = connected_components(frame(spark, chain), steps, materialize=f"{path}_{steps}")
+        assert dict(rows(labels)) == spread(chain, steps)
+        for step in range(steps):
+            assert dict(rows(spark.read.parquet(f"{path}_{steps}/labels/iteration_{step}"))) == spread(chain, step + 1)
+        assert max(joins) == 1
     labels, stats = connected_components(frame(spark, chain), 9, stats=True)
     assert dict(rows(labels)) == spread(chain, 9)
     assert [tuple(r) for r in stats.where("op = 'component_filter'").select("rows_out").collect()] == [(40 - k,) for k in range(9)]
-    assert parts == [8]
+    assert parts == [8, 8, 8, 8]

@@ -84,11 +84,12 @@ def _spread(
             base, _ = loop.keep(first.repartition("v"))
             senders = base.where("component < v")
         log: list[DataFrame] = []
+        sent: list[DataFrame] = []
         step = left = 0
         while to_convergence or step < iters:
             left = iters - step - 1
             # The log is merged in time for all labels that the result has to be in the last one.
-            full = len(log) == LOG - 1 or (left == earlier and len(log) + 1 + earlier > LOG)
+            full = (step % LOG if files else len(log)) == LOG - 1 or (left == earlier and len(log) + 1 + earlier > LOG)
             heard = (
                 layout.receive(senders)
                 .groupBy(F.col("dst").alias("v"))
@@ -107,14 +108,19 @@ def _spread(
                 ("component_filter", step, seen.get["heard"], changed["rows"]),
             ]
             log.append(senders)
-            if files:
-                files.advance(_latest(base, log), "labels", step - 1)
+            more = changed["rows"] and (to_convergence or left)
+            if files or (more and full):
+                merged, _ = loop.keep(_latest(base, log), cut=full and not files)
+                if files:
+                    # Each step writes all labels: no log is left of them, and what is written serves as the cut, too.
+                    file = files.advance(merged, "labels", step - 1)
+                    if full and more:
+                        whole, merged = merged, loop.keep(file.repartition(parts, "v"))[0]
+                        loop.drop(whole)
+                loop.drop(base, *sent, *log[:-1])
+                base, log, sent = merged, [], [senders]
             if not changed["rows"]:
                 break
-            if full and (to_convergence or left):
-                merged, _ = loop.keep(_latest(base, log), cut=True)
-                loop.drop(*log[:-1])
-                base, log = merged, []
         # Of the steps that were left when no label fell any more, each would have changed nothing again.
         known = [max(0, len(log) - max(0, back - left)) for back in range(1, earlier + 1)]
         labels = _latest(base, log, known)
